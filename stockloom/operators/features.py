@@ -81,6 +81,27 @@ def is_train(position: str = "frame_no", total: str = "frame_rows", share: float
     return F.col(position) <= F.floor(F.col(total).cast("double") * F.lit(share))
 
 
+def moving_averages(features: DataFrame, series: Sequence[str] = SERIES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """7- and 30-row moving averages of the feature rows, null until a full frame is there."""
+    rows = features.select(
+        *series, "date", "quantity_sold",
+        F.col("frame_no").alias("row_no"), F.col("frame_rows").alias("series_rows"),
+    )
+    order = chunk_order(series)
+
+    def full_mean(n: int):
+        return F.when(F.col("row_no") >= n, F.avg("quantity_sold").over(order.rowsBetween(1 - n, 0)))
+
+    return uncut(cut(rows, 29, chunk_rows).withColumns({"ma_7": full_mean(7), "ma_30": full_mean(30)})).drop(
+        "row_no", "series_rows"
+    )
+
+
+def history(features: DataFrame, rows: int, series: Sequence[str] = SERIES) -> DataFrame:
+    """The last ``rows`` feature rows of each series."""
+    return features.filter(F.col("frame_no") > F.col("frame_rows") - rows).select(*series, "date", "quantity_sold")
+
+
 # --- scaling -------------------------------------------------------------------------------
 
 

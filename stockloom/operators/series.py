@@ -88,7 +88,3 @@ def uncut(df: DataFrame) -> DataFrame:
     """Drop the copied rows again."""
     return df.filter(~F.col("is_halo")).drop("chunk", "is_halo")
 
-
-def last_rows(numbered: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` rows of each numbered series."""
-    return numbered.filter(F.col("row_no") > F.col("series_rows") - n)
