@@ -86,4 +86,5 @@ def with_ctes(query: str, *names: str) -> str:
     for name in names:
         visit(name)
     parts = ",\n".join(f"{n} as ({CTES[n]})" for n in ordered)
-    return f"with {parts}\n{query}"
+    recursive = any(f"from {n} " in CTES[n] for n in ordered)
+    return f"with {'recursive ' if recursive else ''}{parts}\n{query}"

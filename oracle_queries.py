@@ -10,7 +10,13 @@ ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, query: str, *ctes: str) -> None:
-    ORACLES[name] = with_ctes(query, *ctes) if ctes else query
+    """Register a counterpart; date columns come out as text, as in the Spark queries."""
+    ORACLES[name] = with_ctes(f"{query}\n", *ctes)
+
+
+def as_text(name: str, *columns: str) -> None:
+    replaced = ", ".join(f"cast({c} as varchar) as {c}" for c in columns)
+    ORACLES[name] = f"select * replace ({replaced}) from (\n{ORACLES[name]}\n)"
 
 
 # --- derived frames --------------------------------------------------------------------------
@@ -70,7 +76,7 @@ define("days", ["trend"], """
 NOISE = ", ".join(f"{z!r}" for z in np.random.RandomState(42).standard_normal(60).tolist())
 define("noisy", ["trend"], f"""
   select product_id, day_no, cast(last_date + day_no as date) as date,
-    greatest(1, cast(trunc(mean + slope * (day_no - 1) + deviation * 0.3e0 * (list_transform([{NOISE}], z -> cast(z as double)))[day_no]) as bigint)) as quantity
+    greatest(1, cast(trunc(mean + slope * (day_no - 1) + deviation * 0.3e0 * (cast([{NOISE}] as double[]))[day_no]) as bigint)) as quantity
   from trend, (select cast(range as integer) as day_no from range(1, 61))""")
 define("predicted30", ["days"], """
   select product_id, cast(sum(quantity) as bigint) as predicted from days where day_no <= 30 group by product_id""")
@@ -170,7 +176,7 @@ oracle("parameter_sql", """
 # --- projections -----------------------------------------------------------------------------
 
 oracle("calendar_features", "select product_id, dt as date, month, day_of_week, day_of_month, quarter, is_weekend from base", "base")
-oracle("week_cyclical", "select product_id, dt as date, round(week_sin, 9) as week_sin, round(week_cos, 9) as week_cos from base", "base")
+oracle("week_cyclical", "select product_id, dt as date, round(week_sin, 9) + 0e0 as week_sin, round(week_cos, 9) + 0e0 as week_cos from base", "base")
 oracle("season_features", "select product_id, dt as date, season, season_encoded, is_festival_month from rolled", "rolled")
 oracle("peak_season_flag", "select product_id, dt as date, season, category, is_peak_disease_season from features", "features")
 oracle("product_sales", """
@@ -276,18 +282,18 @@ oracle("sequence_windows", """
 oracle("training_sets", """
   select product_id, seq_no <= floor(seq_rows * 0.8e0) as is_train, count(*) as n, min(date) as date_from, max(date) as date_to,
     cast(sum(len(x)) as bigint) as window_rows, round(sum(y), 4) as y_total from seqs group by 1, 2""", "seqs")
-oracle("stock_ledger", f"""
-  with recursive steps as (
-    select s.product_id, cast(s.date as date) as dt, s.quantity_sold as q, c.base_demand as base, s.lead_time_days as lead,
-      {FACTOR.format(s='s.season', c='s.category')} as mult, row_number() over (partition by s.product_id order by s.date) as n
-    from sales s join catalog c using (product_id)),
-  run as (
-    select product_id, n, dt, cast(greatest(0, base * 45 + cast(floor(base * mult * lead * 1.2e0) as bigint) - q) as bigint) as stock from steps where n = 1
-    union all
-    select s.product_id, s.n, s.dt, cast(greatest(0, r.stock - s.q + case when (s.n - 1) % s.lead = 0 then cast(floor(s.base * s.mult * s.lead * 1.2e0) as bigint) else 0 end) as bigint)
-    from run r join steps s on s.product_id = r.product_id and s.n = r.n + 1)
-  select product_id, dt as date, stock as current_stock from run""")
-ORACLES["stock_ledger"] = with_ctes("select 1", "sales", "catalog").replace("with ", "with recursive ", 1).removesuffix("\nselect 1") + ",\n" + ORACLES["stock_ledger"].strip().removeprefix("with recursive ")
+define("ledger_steps", ["sales", "catalog"], f"""
+  select s.product_id, cast(s.date as date) as dt, s.quantity_sold as q, c.base_demand as base, s.lead_time_days as lead,
+    {FACTOR.format(s='s.season', c='s.category')} as mult, row_number() over (partition by s.product_id order by s.date) as n
+  from sales s join catalog c using (product_id)""")
+define("ledger_days", ["ledger_steps"], """
+  select product_id, n, dt, cast(greatest(0, base * 45 + cast(floor(base * mult * lead * 1.2e0) as bigint) - q) as bigint) as stock
+  from ledger_steps where n = 1
+  union all
+  select s.product_id, s.n, s.dt, cast(greatest(0, r.stock - s.q
+    + case when (s.n - 1) % s.lead = 0 then cast(floor(s.base * s.mult * s.lead * 1.2e0) as bigint) else 0 end) as bigint)
+  from ledger_days r join ledger_steps s on s.product_id = r.product_id and s.n = r.n + 1""")
+oracle("stock_ledger", "select product_id, dt as date, stock as current_stock from ledger_days", "ledger_days")
 
 # --- forecasts -------------------------------------------------------------------------------
 
@@ -380,3 +386,12 @@ oracle("daily_sales_tail", "select * from report_lines order by product_id desc,
 oracle("export_report", """
   select 'Forecasts' as sheet, count(*) as lines from rec union all
   select 'Alerts', greatest(1, count(*)) from alert_lines union all select 'Daily Sales', count(*) from report_lines""", "rec", "alert_lines", "report_lines")
+
+for name in (
+    "scan_sales calendar_features week_cyclical season_features peak_season_flag lag_features rolling_stats "
+    "rolling_stats_shifted feature_vector tabular_features eda_moving_average last_n_history minmax_scaled "
+    "inverse_scaled sequence_windows stock_ledger forecast_daily forecast_noisy forecast_band naive_forecast"
+).split():
+    as_text(name, "date")
+as_text("chrono_split", "last_train_date")
+as_text("training_sets", "date_from", "date_to")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stockloom import rules
 from stockloom.functions import stock_rules
@@ -20,22 +20,39 @@ from stockloom.sources import exports, inventory_store, sales as sales_source
 from stockloom.sources.lineitem_sales import Store, table
 from stockloom.streaming.inventory_stream import apply_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 PRODUCT = "P007"
 TREES = 20
 
 
-def query(function: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[function.__name__] = function
+def register(name: str, function: Query) -> None:
+    """Register a query; date columns come out as text."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = function(spark, sf_dir)
+        dates = [f.name for f in df.schema if isinstance(f.dataType, T.DateType)]
+        return df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
+
+    QUERIES[name] = run
+
+
+def query(function: Query) -> Query:
+    register(function.__name__, function)
     return function
 
 
 def on_sales(name: str, function: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: function(Store.of(spark, sf_dir).sales)
+    register(name, lambda spark, sf_dir: function(Store.of(spark, sf_dir).sales))
 
 
 def on_features(name: str, function: Callable[[DataFrame], DataFrame]) -> None:
-    QUERIES[name] = lambda spark, sf_dir: function(features_of(spark, sf_dir))
+    """A query that reads the feature frame once: the frame is part of its plan."""
+    register(name, lambda spark, sf_dir: function(features_of(spark, sf_dir)))
+
+
+def on_stored_features(name: str, function: Callable[[DataFrame], DataFrame]) -> None:
+    """A query that reads the feature frame more than once, and so reads a written one."""
+    register(name, lambda spark, sf_dir: function(stored_features(spark, sf_dir)))
 
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
@@ -46,6 +63,11 @@ def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feats.series_features(Store.of(spark, sf_dir).sales)
 
 
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature frame as a table, written at its first use."""
+    return Store.of(spark, sf_dir).written_once("features", lambda: features_of(spark, sf_dir))
+
+
 def counts_of(events: DataFrame) -> DataFrame:
     """Stock counts taken from purchase events."""
     number = F.lit(1) + F.col("user_id") % 25
@@ -62,7 +84,8 @@ def inventory_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recommendations_of(spark: SparkSession, sf_dir: str, as_of: str | None = None, horizon: int = 30) -> DataFrame:
-    return stock.trend_recommendations(features_of(spark, sf_dir), Store.of(spark, sf_dir).catalog, as_of, horizon)
+    store = Store.of(spark, sf_dir)
+    return stock.trend_recommendations(feats.series_features(store.sales), store.sales, store.catalog, as_of, horizon)
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -240,9 +263,9 @@ def scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(path), ("min", "max"))
 
 
-on_features("minmax_scaled", lambda features: rounded(
+on_stored_features("minmax_scaled", lambda features: rounded(
     feats.scaled(features).select("product_id", "date", *rules.FEATURES), rules.FEATURES))
-on_features("inverse_scaled", lambda features: feats.scaled(features).select(
+on_stored_features("inverse_scaled", lambda features: feats.scaled(features).select(
     "product_id", "date", F.round(feats.unscaled(F.col("quantity_sold")), 6).alias("quantity")))
 
 
@@ -257,9 +280,9 @@ def sequence_figures(rows: DataFrame) -> DataFrame:
     )
 
 
-on_features("sequence_windows", lambda features: sequence_figures(feats.sequences(feats.scaled(features))))
-on_sales("training_sets", lambda sales: rounded(
-    feats.training_set(sales).groupBy("product_id", "is_train").agg(
+on_stored_features("sequence_windows", lambda features: sequence_figures(feats.sequences(feats.scaled(features))))
+on_stored_features("training_sets", lambda features: rounded(
+    feats.training_set(features).groupBy("product_id", "is_train").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("date_from"), F.max("date").alias("date_to"),
         F.sum(F.size("x")).alias("window_rows"), F.sum("y").alias("y_total")),
     ("y_total",), 4))
@@ -280,24 +303,24 @@ def stock_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on_features("forecast_daily", lambda features: forecast.forecast_days(forecast.recent_trend(features), 30))
-on_features("forecast_total", lambda features: forecast.totals(
-    forecast.forecast_days(forecast.recent_trend(features), 30)))
+on_features("forecast_total", lambda features: forecast.with_total(forecast.recent_trend(features), 30).select(
+    "product_id", "predicted_demand"))
 on_features("forecast_noisy", lambda features: forecast.noisy_forecast_days(forecast.recent_trend(features), 60))
 on_features("forecast_band", lambda features: rounded(forecast.with_band(
     forecast.forecast_days(forecast.recent_trend(features), 30)), ("upper", "lower")))
-on_features("naive_forecast", forecast.naive_forecast)
-on_features("forecast_metrics", lambda features: metrics.forecast_metrics(
+on_stored_features("naive_forecast", forecast.naive_forecast)
+on_stored_features("forecast_metrics", lambda features: metrics.forecast_metrics(
     forecast.naive_forecast(features).withColumn("model", F.lit(comparison.NAIVE))))
 
 
 @query
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = features_of(spark, sf_dir)
+    features = stored_features(spark, sf_dir)
     return rounded(boosting.test_predictions(features, boosting.fit(features, TREES)), ("y_pred",))
 
 
 def ar_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scaled = feats.scaled(features_of(spark, sf_dir))
+    scaled = feats.scaled(stored_features(spark, sf_dir))
     return scaled, regression.regression_rows(scaled)
 
 
@@ -324,8 +347,10 @@ def actual_vs_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored model comparison, trained at its first use."""
     store = Store.of(spark, sf_dir)
-    return comparison.train(store.sales, store.catalog, scratch_path(spark, "models"), trees=TREES)
+    path = store.path_once("models", lambda path: comparison.train(store.sales, store.catalog, path, trees=TREES))
+    return comparison.load_comparison(spark, path)
 
 
 @query
@@ -381,14 +406,13 @@ def turnover_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recommend_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommendations_of(spark, sf_dir).drop("mean")
+    return recommendations_of(spark, sf_dir).drop("mean", "last_date")
 
 
 @query
 def recommend_all_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendation and alert of every product in each of the four seasons."""
-    trend = forecast.recent_trend(features_of(spark, sf_dir))
-    total = forecast.totals(forecast.forecast_days(trend, 30)).join(trend.select("product_id", "mean"), "product_id")
+    total = forecast.with_total(forecast.recent_trend(features_of(spark, sf_dir)), 30)
     seasons = F.explode(F.array(*[F.lit(s) for s in rules.SEASON_MONTHS]))
     store = Store.of(spark, sf_dir)
     recommended = stock.recommend(total.withColumn("season", seasons), store.catalog)
@@ -434,7 +458,8 @@ def stock_vs_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def forecast_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stock.horizon_recommendations(features_of(spark, sf_dir), Store.of(spark, sf_dir).catalog)
+    store = Store.of(spark, sf_dir)
+    rows = stock.horizon_recommendations(features_of(spark, sf_dir), store.sales, store.catalog)
     return rows.select(
         "product_id", "horizon", "predicted_demand", "recommended_stock", "safety_stock", "reorder_point",
         "buffer_pct", "seasonal_factor", F.col("avg_forecast").cast("long").alias("avg_forecast"))
@@ -489,14 +514,14 @@ def inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def forecast_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.forecast_report(
-        features_of(spark, sf_dir), Store.of(spark, sf_dir).catalog, inventory_of(spark, sf_dir))
+    store = Store.of(spark, sf_dir)
+    return reports.forecast_report(store.sales, store.catalog, inventory_of(spark, sf_dir))
 
 
 @query
 def alerts_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.alerts_report(
-        features_of(spark, sf_dir), Store.of(spark, sf_dir).catalog, inventory_of(spark, sf_dir))
+    store = Store.of(spark, sf_dir)
+    return reports.alerts_report(store.sales, store.catalog, inventory_of(spark, sf_dir))
 
 
 @query

@@ -197,7 +197,7 @@ def sequences(
     )
 
 
-def training_set(sales: DataFrame, series: Sequence[str] = SERIES, length: int = rules.WINDOW_ROWS) -> DataFrame:
-    """Sales to sequences in one plan: features, scaling, sequences, train flag."""
-    rows = sequences(scaled(series_features(sales, series), series=series), series, length)
+def training_set(features: DataFrame, series: Sequence[str] = SERIES, length: int = rules.WINDOW_ROWS) -> DataFrame:
+    """Features to sequences: scaling, sequences, train flag. Reads ``features`` twice."""
+    rows = sequences(scaled(features, series=series), series, length)
     return rows.withColumn("is_train", is_train("seq_no", "seq_rows"))

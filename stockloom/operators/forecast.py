@@ -48,13 +48,13 @@ def _units(value: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), whole(value))
 
 
-def _line() -> Column:
-    return F.col("mean") + F.col("slope") * (F.col("day_no") - 1)
+def _line(day: Column) -> Column:
+    return F.col("mean") + F.col("slope") * (day - 1)
 
 
 def forecast_days(trend: DataFrame, horizon: int, series: Sequence[str] = SERIES) -> DataFrame:
     """One row per series and coming day: the mean plus the slope per day ahead, at least 1 unit."""
-    return _grid(trend, horizon).select(*series, "day_no", "date", _units(_line()).alias("quantity"))
+    return _grid(trend, horizon).select(*series, "day_no", "date", _units(_line(F.col("day_no"))).alias("quantity"))
 
 
 def noise(horizon: int, seed: int = 42) -> list[float]:
@@ -64,9 +64,9 @@ def noise(horizon: int, seed: int = 42) -> list[float]:
 
 def noisy_forecast_days(trend: DataFrame, horizon: int, series: Sequence[str] = SERIES, seed: int = 42) -> DataFrame:
     """The trend forecast with seeded noise of 0.3 deviations."""
-    draws = F.array(*[F.lit(z) for z in noise(horizon, seed)])
-    jitter = F.col("deviation") * F.lit(rules.NOISE_SHARE) * F.element_at(draws, F.col("day_no"))
-    return _grid(trend, horizon).select(*series, "day_no", "date", _units(_line() + jitter).alias("quantity"))
+    day = F.col("day_no")
+    value = _units(_line(day) + _jitter(horizon, seed, day))
+    return _grid(trend, horizon).select(*series, "day_no", "date", value.alias("quantity"))
 
 
 def with_band(days: DataFrame, share: float = rules.BAND_SHARE) -> DataFrame:
@@ -75,17 +75,36 @@ def with_band(days: DataFrame, share: float = rules.BAND_SHARE) -> DataFrame:
     })
 
 
-def totals(days: DataFrame, series: Sequence[str] = SERIES) -> DataFrame:
-    return days.groupBy(*series).agg(F.sum("quantity").alias("predicted_demand"))
+def _jitter(horizon: int, seed: int, day: Column) -> Column:
+    draws = F.array(*[F.lit(z) for z in noise(horizon, seed)])
+    return F.col("deviation") * F.lit(rules.NOISE_SHARE) * F.element_at(draws, day.cast("int"))
+
+
+def with_total(trend: DataFrame, horizon: int) -> DataFrame:
+    """Add ``predicted_demand``, the trend forecast summed over ``horizon`` days.
+
+    The days are summed inside the row of the series: neither a join nor a shuffle is needed.
+    """
+    days = F.sequence(F.lit(1), F.lit(horizon))
+    total = F.aggregate(days, F.lit(0).cast("long"), lambda sum_, day: sum_ + _units(_line(day)))
+    return trend.withColumn("predicted_demand", total)
+
+
+def with_horizon_totals(
+    trend: DataFrame, horizons: Sequence[int] = rules.HORIZONS, noisy: bool = True, seed: int = 42
+) -> DataFrame:
+    """One row per series and horizon with the total and the mean of the (noisy) forecast."""
+    longest = max(horizons)
 
+    def value(day: Column) -> Column:
+        line = _line(day)
+        return _units(line + _jitter(longest, seed, day)) if noisy else _units(line)
 
-def horizon_totals(days: DataFrame, horizons: Sequence[int] = rules.HORIZONS, series: Sequence[str] = SERIES) -> DataFrame:
-    """Totals for several horizons from one forecast as long as the longest of them."""
-    spans = F.explode(F.filter(F.array(*[F.lit(h) for h in horizons]), lambda h: h >= F.col("day_no")))
+    total = F.aggregate(F.sequence(F.lit(1), F.col("horizon")), F.lit(0).cast("long"), lambda sum_, day: sum_ + value(day))
     return (
-        days.withColumn("horizon", spans)
-        .groupBy(*series, "horizon")
-        .agg(F.sum("quantity").alias("predicted_demand"), F.avg("quantity").alias("avg_forecast"))
+        trend.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+        .withColumn("predicted_demand", total)
+        .withColumn("avg_forecast", F.col("predicted_demand") / F.col("horizon"))
     )
 
 

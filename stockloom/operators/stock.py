@@ -38,13 +38,11 @@ def recommend(forecasts: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def trend_recommendations(
-    features: DataFrame, catalog: DataFrame, as_of: Column | str | None = None, horizon: int = 30
+    features: DataFrame, sales: DataFrame, catalog: DataFrame, as_of: Column | str | None = None, horizon: int = 30
 ) -> DataFrame:
-    """Recommendations from the trend forecast over ``horizon`` days."""
-    trend = forecast.recent_trend(features)
-    days = forecast.forecast_days(trend, horizon)
-    total = forecast.totals(days).join(trend.select("product_id", "mean"), "product_id")
-    return recommend(with_season(total, features, as_of), catalog)
+    """Recommendations from the trend forecast over ``horizon`` days, for the season of ``as_of``."""
+    total = forecast.with_total(forecast.recent_trend(features), horizon).drop("slope", "deviation")
+    return recommend(with_season(total, sales, as_of), catalog)
 
 
 def with_stock(recommendations: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -70,16 +68,19 @@ ALERT_COLUMNS = (
 )
 
 
-def alerts(recommendations: DataFrame, inventory: DataFrame) -> DataFrame:
-    """All alerts, the most severe first."""
+def unsorted_alerts(recommendations: DataFrame, inventory: DataFrame) -> DataFrame:
     return (
         with_alert(with_stock(recommendations, inventory))
         .filter(F.col("alert_type").isNotNull())
         .select(*ALERT_COLUMNS)
-        .orderBy(alert_rules.severity_rank("severity"), "product_id")
     )
 
 
+def alerts(recommendations: DataFrame, inventory: DataFrame) -> DataFrame:
+    """All alerts, the most severe first."""
+    return unsorted_alerts(recommendations, inventory).orderBy(alert_rules.severity_rank("severity"), "product_id")
+
+
 def shelf_statuses(recommendations: DataFrame, inventory: DataFrame) -> DataFrame:
     """Traffic light and turnover class per product, as in the stock editor."""
     return with_stock(recommendations, inventory).select(
@@ -97,13 +98,12 @@ def stock_vs_recommended(recommendations: DataFrame, inventory: DataFrame) -> Da
 
 def horizon_recommendations(
     features: DataFrame,
+    sales: DataFrame,
     catalog: DataFrame,
     as_of: Column | str | None = None,
     horizons=rules.HORIZONS,
     noisy: bool = True,
 ) -> DataFrame:
     """Forecast figures and recommendation per product for several horizons."""
-    trend = forecast.recent_trend(features)
-    days = (forecast.noisy_forecast_days if noisy else forecast.forecast_days)(trend, max(horizons))
-    total = forecast.horizon_totals(days, horizons).join(trend.select("product_id", "mean"), "product_id")
-    return recommend(with_season(total, features, as_of), catalog)
+    total = forecast.with_horizon_totals(forecast.recent_trend(features), horizons, noisy)
+    return recommend(with_season(total, sales, as_of), catalog)

@@ -21,7 +21,7 @@ def stock_status_table(
     slow: float = rules.SLOW_UNITS,
 ) -> DataFrame:
     """Forecast, recommendation, stock, turnover class and alert status of every product."""
-    recommended = stock.trend_recommendations(series_features(sales), catalog, as_of, horizon)
+    recommended = stock.trend_recommendations(series_features(sales), sales, catalog, as_of, horizon)
     return (
         stock.with_alert(stock.with_stock(recommended, inventory))
         .select(

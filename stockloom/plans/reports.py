@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stockloom import rules
 from stockloom.functions import alerts as alert_rules
 from stockloom.operators import stock
+from stockloom.operators.features import series_features
 from stockloom.sources.sales import with_revenue
 
 
 def forecast_report(
-    features: DataFrame, catalog: DataFrame, inventory: DataFrame, as_of: Column | str | None = None, horizon: int = 30
+    sales: DataFrame, catalog: DataFrame, inventory: DataFrame, as_of: Column | str | None = None, horizon: int = 30
 ) -> DataFrame:
-    recommended = stock.trend_recommendations(features, catalog, as_of, horizon)
+    recommended = stock.trend_recommendations(series_features(sales), sales, catalog, as_of, horizon)
     return stock.with_stock(recommended, inventory).select(
         "product_id", "product_name", F.initcap("category").alias("category"), "unit_price",
         F.lit(horizon).alias("horizon_days"), F.col("predicted_demand").alias("forecast"),
@@ -23,16 +24,16 @@ def forecast_report(
 
 
 def alerts_report(
-    features: DataFrame, catalog: DataFrame, inventory: DataFrame, as_of: Column | str | None = None, horizon: int = 30
+    sales: DataFrame, catalog: DataFrame, inventory: DataFrame, as_of: Column | str | None = None, horizon: int = 30
 ) -> DataFrame:
     """The alerts, or one row saying that there are none."""
-    found = stock.alerts(stock.trend_recommendations(features, catalog, as_of, horizon), inventory)
-    listed = found.select(
+    recommended = stock.trend_recommendations(series_features(sales), sales, catalog, as_of, horizon)
+    listed = stock.unsorted_alerts(recommended, inventory).select(
         F.col("product_name").alias("product"), "alert_type", "severity", "current_stock", "recommended_stock",
         "reorder_point", F.coalesce("deficit", "excess").alias("deficit_or_excess"),
         F.lit(None).cast("string").alias("status"), "message", "product_id",
     )
-    counted = listed.agg(F.count(F.lit(1)).alias("_n"))
+    counted = listed.limit(1).agg(F.count(F.lit(1)).alias("_n"))
     status, message = rules.NO_ALERTS
     healthy = counted.filter("_n = 0").select(*[
         F.lit({"status": status, "message": message}.get(f.name)).cast(f.dataType).alias(f.name) for f in listed.schema

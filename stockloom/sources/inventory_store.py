@@ -6,6 +6,8 @@ failed write leaves no files in its folder, so readers keep seeing the snapshot
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -51,8 +53,11 @@ class InventoryStore:
             updates = updates.withColumn("ts", F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz"))
         self.save(ops.upsert(self.load(), updates, tie))
 
-    def update_stock(self, product_id: str, new_quantity: int) -> None:
-        self.bulk_update(self.spark.createDataFrame([(product_id, new_quantity)], "product_id string, new_quantity double"))
+    def update_stock(self, product_id: str, new_quantity: float, ts: datetime | None = None) -> None:
+        row, schema = (product_id, float(new_quantity)), "product_id string, new_quantity double"
+        if ts is not None:
+            row, schema = (*row, ts), f"{schema}, ts timestamp_ntz"
+        self.bulk_update(self.spark.createDataFrame([row], schema))
 
     def stock_levels(self) -> DataFrame:
         return self.load().select("product_id", "current_stock")

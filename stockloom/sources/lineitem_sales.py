@@ -6,6 +6,8 @@ totals are worked on afterwards; the order lines themselves are scanned once, th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stockloom import rules
@@ -106,6 +108,8 @@ class Store:
         daily = self._written("daily", daily_units(spark, sf_dir))
         self.catalog = self._written("catalog", derive_catalog(daily))
         numbered = self._written("numbered", number_rows(catalogued(daily, self.catalog)))
+        self._tables: dict[str, DataFrame] = {}
+        self._paths: dict[str, str] = {}
         self.sales_path = scratch_path(spark, "sales")
         load_table(spark, derive_sales(numbered), self.sales_path)
 
@@ -114,6 +118,20 @@ class Store:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def written_once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table derived from this store, written at its first use."""
+        if name not in self._tables:
+            self._tables[name] = self._written(name, build())
+        return self._tables[name]
+
+    def path_once(self, name: str, fill: Callable[[str], object]) -> str:
+        """A folder of this store, filled at its first use."""
+        if name not in self._paths:
+            path = scratch_path(self.spark, name)
+            fill(path)
+            self._paths[name] = path
+        return self._paths[name]
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> "Store":
         key = (spark.sparkContext.applicationId, sf_dir)
