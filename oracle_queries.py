@@ -223,6 +223,9 @@ oracle("top_selling", f"""
   group by 1, 2 order by total_sold desc, product_name limit 10""", "sales")
 oracle("monthly_trend", f"""
   select substr(date, 1, 7) as month, {SUM} as total_units, {REV} as total_revenue, count(distinct product_id) as products_sold from sales group by 1""", "sales")
+oracle("monthly_trend_tail", f"""
+  select substr(date, 1, 7) as month, {SUM} as total_units, {REV} as total_revenue, count(distinct product_id) as products_sold
+  from sales group by 1 order by 1 desc limit 6""", "sales")
 oracle("seasonal_demand", f"select season, product_name, category, {SUM} as total_demand, {AVG1} as avg_daily from sales group by 1, 2, 3", "sales")
 oracle("slow_movers", f"""
   select product_name, category, {AVG1} as avg_daily_demand, {SUM} as total_sold from sales group by 1, 2 having {AVG1} < 100""", "sales")

@@ -140,9 +140,11 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A three-sheet report; the result counts the lines of each sheet as read back."""
+    store, held, features = Store.of(spark, sf_dir), inventory_of(spark, sf_dir), stored_features(spark, sf_dir)
     sheets = {
-        "Forecasts": forecast_report(spark, sf_dir), "Alerts": alerts_report(spark, sf_dir),
-        "Daily Sales": daily_sales_report(spark, sf_dir),
+        "Forecasts": reports.forecast_report(store.sales, store.catalog, held, features=features),
+        "Alerts": reports.alerts_report(store.sales, store.catalog, held, features=features),
+        "Daily Sales": reports.daily_sales_report(features, store.catalog),
     }
     folders = exports.export_report(sheets, scratch_path(spark, "workbook"), "parquet")
     counts = [
@@ -217,6 +219,7 @@ for key, preset in PRESET_KEYS.items():
 
 on_sales("top_selling", agg.top_selling)
 on_sales("monthly_trend", agg.monthly_trend)
+on_sales("monthly_trend_tail", lambda sales: agg.tail(agg.monthly_trend(sales), 6, "month"))
 on_sales("seasonal_demand", agg.seasonal_demand)
 # The mean demand of the test products starts at about 36 units, hence a higher limit than the default.
 on_sales("slow_movers", lambda sales: agg.slow_movers(sales, 100.0))

@@ -21,19 +21,19 @@ def alert_type(stock: Column, recommended: Column, reorder: Column, factor: Colu
     )
 
 
-def _kind_part(kind: Column, position: int) -> Column:
+def _kind_part(kind: str, position: int) -> Column:
     return lookup(kind, {name: parts[position] for name, parts in rules.ALERT_KINDS.items()}, None)
 
 
-def severity_rank(severity: Column | str) -> Column:
-    return lookup(col(severity), rules.SEVERITY_RANKS, 3)
+def severity_rank(severity: str) -> Column:
+    return lookup(severity, rules.SEVERITY_RANKS, 3)
 
 
 def alert_details(
-    kind: Column | str, stock: Column | str, recommended: Column | str, reorder: Column | str, factor: Column | str
+    kind_name: str, stock: Column | str, recommended: Column | str, reorder: Column | str, factor: Column | str
 ) -> dict[str, Column]:
-    """The other fields of the alert record; they are null where ``kind`` is."""
-    kind, stock, recommended, reorder, factor = map(col, (kind, stock, recommended, reorder, factor))
+    """The other fields of the alert record; they are null where the alert type ``kind_name`` is."""
+    kind, stock, recommended, reorder, factor = map(col, (kind_name, stock, recommended, reorder, factor))
     gap = recommended - stock
     percent = half_even(ratio(stock, recommended) * F.lit(100), 0).cast("long").cast("string")
     slots = {
@@ -47,9 +47,9 @@ def alert_details(
     for name, values in slots.items():
         message = message.when(kind == name, F.format_string(rules.ALERT_TEXTS[name], *values))
     return {
-        "severity": _kind_part(kind, 0),
-        "label": _kind_part(kind, 1),
-        "icon": _kind_part(kind, 2),
+        "severity": _kind_part(kind_name, 0),
+        "label": _kind_part(kind_name, 1),
+        "icon": _kind_part(kind_name, 2),
         "deficit": F.when(kind != "OVERSTOCK", gap),
         "excess": F.when(kind == "OVERSTOCK", -gap),
         "message": message.otherwise(None),

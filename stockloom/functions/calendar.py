@@ -1,4 +1,4 @@
-"""Calendar, season and festival expressions."""
+"""Calendar, season and festival expressions. Arguments are column names or SQL text."""
 
 from __future__ import annotations
 
@@ -7,60 +7,60 @@ from math import pi
 from pyspark.sql import Column, functions as F
 
 from stockloom import rules
-from stockloom.functions.numeric import col, lookup
+from stockloom.functions.numeric import literal, lookup, lookup_text
 
 
-def season_of_month(month: Column | str) -> Column:
-    month, branches = col(month), F
-    for season, months in rules.SEASON_MONTHS.items():
-        branches = branches.when(month.isin(*months), season)
-    return branches.otherwise(rules.UNKNOWN_SEASON)
+def _season_text(month: str) -> str:
+    return lookup_text(month, {months: season for season, months in rules.SEASON_MONTHS.items()}, rules.UNKNOWN_SEASON)
 
 
-def season_of_date(date: Column | str) -> Column:
+def season_of_month(month: str) -> Column:
+    return F.expr(_season_text(month))
+
+
+def season_of_date(date: str) -> Column:
     """Season of a date, a timestamp or ``yyyy-MM-dd`` text."""
-    return season_of_month(F.month(col(date)))
+    return season_of_month(f"month({date})")
 
 
-def season_code(season: Column | str) -> Column:
-    return lookup(col(season), rules.SEASON_CODES, 0)
+def season_code(season: str) -> Column:
+    return lookup(season, rules.SEASON_CODES, 0)
 
 
-def festival_flag(month: Column | str) -> Column:
-    return col(month).isin(*rules.FESTIVAL_MONTHS).cast("int")
+def festival_flag(month: str) -> Column:
+    return lookup(month, {rules.FESTIVAL_MONTHS: 1}, 0)
 
 
-def peak_season_flag(season: Column | str, category: Column | str) -> Column:
-    risky = F.lit(False)
-    for peak, kind in rules.PEAK_SEASONS:
-        risky = risky | ((col(season) == peak) & (col(category) == kind))
-    return F.coalesce(risky, F.lit(False)).cast("int")
+def peak_season_flag(season: str, category: str) -> Column:
+    pairs = " or ".join(
+        f"({season} = {literal(peak)} and {category} = {literal(kind)})" for peak, kind in rules.PEAK_SEASONS
+    )
+    return F.expr(f"case when {pairs} then 1 else 0 end")
 
 
-def week_wave(date: Column | str, wave) -> Column:
+def week_wave(date: str, wave: str) -> Column:
     """sin or cos over the ISO week; week 53 is not wrapped."""
-    return wave(F.lit(2 * pi) * F.weekofyear(col(date)).cast("double") / F.lit(52.0))
+    return F.expr(f"{wave}({literal(2 * pi)} * weekofyear({date}) / 52.0D)")
 
 
-def calendar_columns(date: Column | str) -> dict[str, Column]:
+def calendar_columns(date: str) -> dict[str, Column]:
     """Calendar features of a date, Monday being day 0."""
-    day = F.weekday(col(date))
     return {
-        "month": F.month(col(date)),
-        "day_of_week": day,
-        "day_of_month": F.dayofmonth(col(date)),
-        "quarter": F.quarter(col(date)),
-        "is_weekend": (day >= 5).cast("int"),
-        "week_sin": week_wave(date, F.sin),
-        "week_cos": week_wave(date, F.cos),
+        "month": F.expr(f"month({date})"),
+        "day_of_week": F.expr(f"weekday({date})"),
+        "day_of_month": F.expr(f"dayofmonth({date})"),
+        "quarter": F.expr(f"quarter({date})"),
+        "is_weekend": F.expr(f"int(weekday({date}) >= 5)"),
+        "week_sin": week_wave(date, "sin"),
+        "week_cos": week_wave(date, "cos"),
     }
 
 
-def season_columns(date: Column | str) -> dict[str, Column]:
+def season_columns(date: str) -> dict[str, Column]:
     """Season, its code and the festival flag, all taken from the month of the date."""
-    season = season_of_date(date)
+    month = f"month({date})"
     return {
-        "season": season,
-        "season_encoded": season_code(season),
-        "is_festival_month": festival_flag(F.month(col(date))),
+        "season": season_of_month(month),
+        "season_encoded": season_code(f"({_season_text(month)})"),
+        "is_festival_month": festival_flag(month),
     }

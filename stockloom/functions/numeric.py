@@ -1,4 +1,4 @@
-"""Number rules shared by the other expressions."""
+"""Number and table rules shared by the other expressions."""
 
 from __future__ import annotations
 
@@ -24,12 +24,31 @@ def grouped(value: Column) -> Column:
     return F.format_number(value, 0)
 
 
-def lookup(key: Column, table: dict, default) -> Column:
-    """Value of a small fixed table as a CASE expression: no join, stays in generated code."""
-    branches = None
-    for name, value in table.items():
-        branches = F.when(key == name, value) if branches is None else branches.when(key == name, value)
-    return branches.otherwise(default)
+def literal(value) -> str:
+    """A value as SQL text; fractions are doubles, never decimals."""
+    if value is None:
+        return "null"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
+
+
+def lookup_text(key: str, table: dict, default) -> str:
+    """Value of a small fixed table as CASE text: no join, stays in generated code.
+
+    ``key`` is SQL text. A table key that is a tuple stands for each of its members.
+    """
+    def members(name) -> str:
+        return ", ".join(literal(n) for n in (name if isinstance(name, tuple) else (name,)))
+
+    branches = " ".join(f"when {key} in ({members(name)}) then {literal(value)}" for name, value in table.items())
+    return f"case {branches} else {literal(default)} end"
+
+
+def lookup(key: str, table: dict, default) -> Column:
+    return F.expr(lookup_text(key, table, default))
 
 
 def ratio(part: Column, total: Column, when_zero: float | None = None) -> Column:

@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from stockloom import rules
-from stockloom.functions.numeric import col, half_even, lookup, ratio, whole
+from stockloom.functions.numeric import col, half_even, literal, lookup, ratio, whole
 
 
-def seasonal_factor(season: Column | str, category: Column | str, factors: dict | None = None) -> Column:
-    branches = F
-    for (peak, kind), value in (factors or rules.SEASONAL_FACTORS).items():
-        branches = branches.when((col(season) == peak) & (col(category) == kind), value)
-    return branches.otherwise(1.0)
+def seasonal_factor(season: str, category: str, factors: dict | None = None) -> Column:
+    """Demand factor of a category in a season. Arguments are column names or SQL text."""
+    branches = " ".join(
+        f"when {season} = {literal(peak)} and {category} = {literal(kind)} then {literal(value)}"
+        for (peak, kind), value in (factors or rules.SEASONAL_FACTORS).items()
+    )
+    return F.expr(f"case {branches} else 1.0D end")
 
 
-def season_buffer(season: Column | str, factor: Column, buffers: dict | None = None) -> Column:
+def season_buffer(season: str, factor: Column, buffers: dict | None = None) -> Column:
     """Buffer share of the season; strong seasonal products get a little more."""
-    base = lookup(col(season), buffers or rules.SEASON_BUFFERS, rules.DEFAULT_BUFFER)
+    base = lookup(season, buffers or rules.SEASON_BUFFERS, rules.DEFAULT_BUFFER)
     return F.when(factor > rules.PEAK_FACTOR, base + F.lit(rules.PEAK_BUFFER_EXTRA)).otherwise(base)
 
 
@@ -52,8 +54,8 @@ def shelf_status(stock: Column | str, recommended: Column | str) -> Column:
 
 def recommendation(
     predicted: Column | str,
-    season: Column | str,
-    category: Column | str,
+    season: str,
+    category: str,
     daily: Column | str | None = None,
     lead: Column | str | None = None,
 ) -> dict[str, Column]:

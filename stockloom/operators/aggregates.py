@@ -44,6 +44,11 @@ def monthly_trend(sales: DataFrame) -> DataFrame:
     )
 
 
+def tail(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """The last ``n`` rows by ``keys``, in that order."""
+    return df.orderBy(*[F.desc(k) for k in keys]).limit(n).orderBy(*keys)
+
+
 def seasonal_demand(sales: DataFrame) -> DataFrame:
     return (
         sales.groupBy("season", "product_name", "category")

@@ -36,7 +36,7 @@ def series_features(
     """
     first = ("category",) if "category" in sales.columns else ()
     numbered = number_rows(base_features(sales), series, first=first)
-    category = F.col("category") if first else F.lit("unknown")
+    category = "category" if first else "'unknown'"
     order = chunk_order(series)
     end = -1 if shifted else 0
     quantity = F.col("quantity_sold")

@@ -10,13 +10,16 @@ from stockloom import rules
 from stockloom.functions.numeric import whole
 from stockloom.operators.series import SERIES
 
+# A block is what one task walks through; a series of n rows leaves n / BLOCK_ROWS rows to carry on.
+BLOCK_ROWS = 65_536
+
 
 def clamped_balance(
     numbered: DataFrame,
     change: Column,
     opening: Column,
     series: Sequence[str] = SERIES,
-    block_rows: int = 512,
+    block_rows: int = BLOCK_ROWS,
     name: str = "current_stock",
 ) -> DataFrame:
     """Add ``max(0, balance + change)`` carried from row to row of each numbered series.
@@ -63,7 +66,7 @@ def stock_ledger(
     delivery_factor: Column | float = rules.DELIVERY_FACTOR,
     opening_days: int = rules.OPENING_STOCK_DAYS,
     series: Sequence[str] = SERIES,
-    block_rows: int = 512,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Stock at the end of each day: a delivery every ``lead`` days, then the day's sales."""
     share = delivery_factor if isinstance(delivery_factor, Column) else F.lit(float(delivery_factor))

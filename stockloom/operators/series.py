@@ -65,18 +65,10 @@ def cut(df: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     home = F.expr(f"(row_no - 1) div {int(chunk_rows)}")
     left = (home + 1) * chunk_rows - F.col("row_no")
     goes_on = (left < halo) & ((home + 1) * chunk_rows < F.col("series_rows"))
-    return df.withColumn(
-        "_place",
-        F.explode(
-            F.when(
-                goes_on,
-                F.array(
-                    F.struct(home.alias("chunk"), F.lit(False).alias("is_halo")),
-                    F.struct((home + 1).alias("chunk"), F.lit(True).alias("is_halo")),
-                ),
-            ).otherwise(F.array(F.struct(home.alias("chunk"), F.lit(False).alias("is_halo"))))
-        ),
-    ).select(*df.columns, "_place.chunk", "_place.is_halo")
+    places = F.sequence(home, home + goes_on.cast("int"))
+    return (
+        df.withColumn("chunk", F.explode(places)).withColumn("is_halo", F.col("chunk") != home)
+    )
 
 
 def chunk_order(series: Sequence[str] = SERIES) -> WindowSpec:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from datetime import date
+
+from pyspark.sql import DataFrame, functions as F
 
 from stockloom import rules
 from stockloom.functions import alerts as alert_rules, calendar, stock_rules
 from stockloom.operators import forecast
 
 
-def with_season(df: DataFrame, sales: DataFrame, as_of: Column | str | None = None) -> DataFrame:
+def with_season(df: DataFrame, sales: DataFrame, as_of: date | str | None = None) -> DataFrame:
     """Add the season of the day ``as_of``, by default of the last day with sales."""
     if as_of is not None:
-        day = F.lit(as_of) if isinstance(as_of, str) else as_of
-        return df.withColumn("season", calendar.season_of_date(day))
-    last = sales.agg(calendar.season_of_date(F.to_date(F.max("date"))).alias("season"))
+        return df.withColumn("season", calendar.season_of_date(f"date'{as_of}'"))
+    last = sales.agg(F.max("date").alias("_last")).select(calendar.season_of_date("_last").alias("season"))
     return df.crossJoin(F.broadcast(last))  # one row
 
 
@@ -38,7 +39,7 @@ def recommend(forecasts: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def trend_recommendations(
-    features: DataFrame, sales: DataFrame, catalog: DataFrame, as_of: Column | str | None = None, horizon: int = 30
+    features: DataFrame, sales: DataFrame, catalog: DataFrame, as_of: date | str | None = None, horizon: int = 30
 ) -> DataFrame:
     """Recommendations from the trend forecast over ``horizon`` days, for the season of ``as_of``."""
     total = forecast.with_total(forecast.recent_trend(features), horizon).drop("slope", "deviation")
@@ -100,7 +101,7 @@ def horizon_recommendations(
     features: DataFrame,
     sales: DataFrame,
     catalog: DataFrame,
-    as_of: Column | str | None = None,
+    as_of: date | str | None = None,
     horizons=rules.HORIZONS,
     noisy: bool = True,
 ) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from datetime import date
+
+from pyspark.sql import DataFrame, functions as F
 
 from stockloom import rules
 from stockloom.functions import stock_rules
@@ -15,7 +17,7 @@ def stock_status_table(
     sales: DataFrame,
     catalog: DataFrame,
     inventory: DataFrame,
-    as_of: Column | str | None = None,
+    as_of: date | str | None = None,
     horizon: int = 30,
     fast: float = rules.FAST_UNITS,
     slow: float = rules.SLOW_UNITS,

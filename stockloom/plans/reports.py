@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from datetime import date
+
+from pyspark.sql import DataFrame, functions as F
 
 from stockloom import rules
 from stockloom.functions import alerts as alert_rules
 from stockloom.operators import stock
+from stockloom.operators.aggregates import tail
 from stockloom.operators.features import series_features
 from stockloom.sources.sales import with_revenue
 
 
 def forecast_report(
-    sales: DataFrame, catalog: DataFrame, inventory: DataFrame, as_of: Column | str | None = None, horizon: int = 30
+    sales: DataFrame,
+    catalog: DataFrame,
+    inventory: DataFrame,
+    as_of: date | str | None = None,
+    horizon: int = 30,
+    features: DataFrame | None = None,
 ) -> DataFrame:
-    recommended = stock.trend_recommendations(series_features(sales), sales, catalog, as_of, horizon)
+    """One line per product. ``features`` is the feature frame of the sales, where one is stored."""
+    features = series_features(sales) if features is None else features
+    recommended = stock.trend_recommendations(features, sales, catalog, as_of, horizon)
     return stock.with_stock(recommended, inventory).select(
         "product_id", "product_name", F.initcap("category").alias("category"), "unit_price",
         F.lit(horizon).alias("horizon_days"), F.col("predicted_demand").alias("forecast"),
@@ -24,10 +34,16 @@ def forecast_report(
 
 
 def alerts_report(
-    sales: DataFrame, catalog: DataFrame, inventory: DataFrame, as_of: Column | str | None = None, horizon: int = 30
+    sales: DataFrame,
+    catalog: DataFrame,
+    inventory: DataFrame,
+    as_of: date | str | None = None,
+    horizon: int = 30,
+    features: DataFrame | None = None,
 ) -> DataFrame:
     """The alerts, or one row saying that there are none."""
-    recommended = stock.trend_recommendations(series_features(sales), sales, catalog, as_of, horizon)
+    features = series_features(sales) if features is None else features
+    recommended = stock.trend_recommendations(features, sales, catalog, as_of, horizon)
     listed = stock.unsorted_alerts(recommended, inventory).select(
         F.col("product_name").alias("product"), "alert_type", "severity", "current_stock", "recommended_stock",
         "reorder_point", F.coalesce("deficit", "excess").alias("deficit_or_excess"),
@@ -64,4 +80,4 @@ def daily_sales_report(features: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def daily_sales_tail(report: DataFrame, n: int = 200) -> DataFrame:
     """The last ``n`` lines of the daily sales report, by product and date."""
-    return report.orderBy(F.desc("product_id"), F.desc("date")).limit(n).orderBy("product_id", "date")
+    return tail(report, n, "product_id", "date")

@@ -52,15 +52,16 @@ def daily_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_catalog(daily: DataFrame) -> DataFrame:
     """One row per brand: its category, mean units per selling day, highest price and lead time."""
-    number = brand_number(F.col("brand"))
+    number = F.col("_number")
+    numbered = daily.withColumn("_number", brand_number(F.col("brand")))
     sold = whole(F.col("units")) * (F.lit(1) + number % 4)
-    return daily.groupBy("brand").agg(
+    return numbered.groupBy("brand", "_number").agg(
         F.floor(F.sum(sold) / F.count(F.lit(1))).cast("int").alias("base_demand"),
         F.max("price").alias("unit_price"),
     ).select(
         F.concat(F.lit("P"), F.lpad(number.cast("string"), 3, "0")).alias("product_id"),
         F.col("brand").alias("product_name"),
-        lookup(number % 8, CATEGORY_OF_BRAND, None).alias("category"),
+        lookup("_number % 8", CATEGORY_OF_BRAND, None).alias("category"),
         "base_demand",
         "unit_price",
         (F.lit(3) + number % 5).alias("lead_time_days"),
