@@ -317,6 +317,14 @@ oracle("forecast_metrics", """
     round_even(avg(case when sign(dy) = sign(dp) then 1e0 when dy is not null then 0e0 end) * 100, 2) as directional_accuracy
   from (select *, y - lag(y) over w as dy, y_pred - lag(y_pred) over w as dp from tested window w as (partition by product_id order by step))
   group by 1""", "tested")
+define("ar_inputs", ["seqs"], """
+  select product_id, list_concat([""" + ", ".join(f"x[{i}][1]" for i in range(1, 31)) + """], x[30][2:17], [1e0, y]) as z
+  from seqs where seq_no <= floor(seq_rows * 0.8e0)""")
+oracle("ar_product_sums", """
+  select product_id, pos, cast(floor(sum(z[i] * z[j]) * 1e6 + 0.1e0) as bigint) as millionths
+  from ar_inputs, (select a.range as i, b.range as j, cast(row_number() over (order by a.range, b.range) - 1 as integer) as pos
+    from range(1, 49) a, range(1, 49) b where a.range <= b.range)
+  group by product_id, pos""", "ar_inputs")
 oracle("product_selection", """
   select w.product_id, case when c.product_id is null then 'unknown' else 'selected' end as status
   from (select distinct 'P' || lpad(cast(c_custkey % 40 as varchar), 3, '0') as product_id from customer) w left join catalog c using (product_id)""", "catalog")

@@ -327,6 +327,17 @@ def ar_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return scaled, regression.regression_rows(scaled)
 
 
+@query
+def ar_product_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the regressions are fitted from: sums of products over the training rows, in millionths.
+
+    Many sums are exact halves of the last digit; the 0.1 keeps rounding away from them.
+    """
+    _, rows = ar_rows(spark, sf_dir)
+    return regression.product_sums(rows.filter("is_train")).select(
+        "product_id", "pos", F.floor(F.col("value") * 1e6 + F.lit(0.1)).alias("millionths"))
+
+
 @query
 def ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = ar_rows(spark, sf_dir)
