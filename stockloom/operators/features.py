@@ -8,22 +8,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from stockloom import rules
 from stockloom.functions import calendar
-from stockloom.operators.series import CHUNK_ROWS, SERIES, chunk_order, cut, number_rows, uncut
+from stockloom.operators.series import CHUNK_ROWS, SERIES, chunk_order, cut, number_and_cut, uncut
 from stockloom.sources.sales import dated
 
 LAGS = (1, 7, 30)
 WARM_UP = max(LAGS)
 
 
+def with_calendar(dated_rows: DataFrame) -> DataFrame:
+    return dated_rows.withColumns({**calendar.calendar_columns("date"), **calendar.season_columns("date")})
+
+
 def base_features(sales: DataFrame) -> DataFrame:
     """Calendar and season features; season and festival flag are recomputed from the date."""
-    rows = dated(sales)
-    return rows.withColumns({**calendar.calendar_columns("date"), **calendar.season_columns("date")})
+    return with_calendar(dated(sales))
 
 
 def series_features(
     sales: DataFrame,
     series: Sequence[str] = SERIES,
+    order: Sequence[str] = ("date",),
     keep_warm_up: bool = False,
     shifted: bool = False,
     chunk_rows: int = CHUNK_ROWS,
@@ -31,31 +35,29 @@ def series_features(
     """The feature frame of all series.
 
     Lags and rolling figures count rows, not days, and see the full series; rows without all lags
-    are dropped afterwards. The rolling figures include the row itself unless ``shifted``.
-    ``frame_no`` and ``frame_rows`` number the rows that are kept.
+    are dropped afterwards. The rolling figures include the row itself unless ``shifted``. The peak
+    season goes by the category of the first row of the series. ``frame_no`` and ``frame_rows`` number
+    the rows that are kept. All that follows from the date is added after the shuffle.
     """
     first = ("category",) if "category" in sales.columns else ()
-    numbered = number_rows(base_features(sales), series, first=first)
-    category = "category" if first else "'unknown'"
-    order = chunk_order(series)
+    rows = number_and_cut(dated(sales), WARM_UP + int(shifted), series, order, chunk_rows, first=first)
+    by = chunk_order(series, order)
     end = -1 if shifted else 0
     quantity = F.col("quantity_sold")
-    week = order.rowsBetween(end - 6, end)
-    month = order.rowsBetween(end - 29, end)
-    framed = cut(numbered, WARM_UP, chunk_rows).withColumns({
-        "is_peak_disease_season": calendar.peak_season_flag("season", category),
-        **{f"lag_{n}": F.lag(quantity, n).over(order) for n in LAGS},
+    week, month = by.rowsBetween(end - 6, end), by.rowsBetween(end - 29, end)
+    framed = uncut(rows.withColumns({
+        **{f"lag_{n}": F.lag(quantity, n).over(by) for n in LAGS},
         "rolling_mean_7": F.avg(quantity).over(week),
         "rolling_mean_30": F.avg(quantity).over(month),
         "rolling_std_7": F.coalesce(F.stddev_samp(quantity).over(week), F.lit(0.0)),
-    })
-    rows = uncut(framed)
+    }))
     if not keep_warm_up:
-        rows = rows.dropna(subset=[f"lag_{n}" for n in LAGS])
-    return rows.withColumns({
+        framed = framed.dropna(subset=[f"lag_{n}" for n in LAGS])
+    return with_calendar(framed).withColumns({
+        "is_peak_disease_season": calendar.peak_season_flag("season", "first_category" if first else "'unknown'"),
         "frame_no": F.col("row_no") - WARM_UP,
         "frame_rows": F.col("series_rows") - WARM_UP,
-    })
+    }).drop("first_category")
 
 
 def vector(df: DataFrame, columns: Sequence[str] = rules.FEATURES):

@@ -60,14 +60,13 @@ def test_warm_up_rows_can_be_kept(make_sales):
 def test_numbers_and_first_values(spark):
     rows = [("A", "2022-03-05", "late"), ("A", "2022-01-02", "early"), ("B", "2022-02-01", "b"), ("A", "2022-01-01", None)]
     df = dated(spark.createDataFrame(rows, "product_id string, date string, category string"))
-    got = {
-        (r.product_id, str(r.date)): (r.row_no, r.series_rows, r.category)
-        for r in series.number_rows(df, first=("category",)).collect()
-    }
-    assert got == {
-        ("A", "2022-01-01"): (1, 3, None), ("A", "2022-01-02"): (2, 3, None), ("A", "2022-03-05"): (3, 3, None),
-        ("B", "2022-02-01"): (1, 1, "b"),
-    }
+    want = {("A", "2022-01-01"): (1, 3), ("A", "2022-01-02"): (2, 3), ("A", "2022-03-05"): (3, 3), ("B", "2022-02-01"): (1, 1)}
+    numbered = series.number_rows(df).collect()
+    assert {(r.product_id, str(r.date)): (r.row_no, r.series_rows) for r in numbered} == want
+    for chunk_rows in (1, 2, 100):
+        rows = series.uncut(series.number_and_cut(df, 1, chunk_rows=chunk_rows, first=("category",))).collect()
+        assert {(r.product_id, str(r.date)): (r.row_no, r.series_rows) for r in rows} == want
+        assert {(r.product_id, r.first_category) for r in rows} == {("A", None), ("B", "b")}
 
 
 def test_no_window_group_outgrows_a_chunk(make_sales, skewed):
@@ -75,6 +74,24 @@ def test_no_window_group_outgrows_a_chunk(make_sales, skewed):
     groups = series.cut(numbered, 30, 50).groupBy("product_id", "chunk").count().collect()
     assert max(r["count"] for r in groups) <= 80
     assert sum(r["count"] for r in groups if r.product_id == "HOT") == 420 + 30 * 8
+    # chunks of whole months: at most a month more, and two months of rows before
+    groups = series.number_and_cut(dated(make_sales(skewed)), 30, chunk_rows=50).groupBy("product_id", "chunk").count()
+    assert max(r["count"] for r in groups.collect()) <= 50 + 31 + 62
+
+
+def test_sparse_and_dense_months(spark):
+    """Months of very different size, so that chunks are skipped and short ones follow each other."""
+    rng = np.random.default_rng(2)
+    sizes = [3, 200, 1, 1, 90, 2, 60, 5, 5, 5, 70, 1]
+    rows = [("A", f"2022-{m + 1:02d}-01", i, int(rng.integers(1, 99))) for m, n in enumerate(sizes) for i in range(n)]
+    df = dated(spark.createDataFrame(rows, "product_id string, date string, n int, quantity_sold int"))
+    want = pd.Series([r[3] for r in rows])
+    for chunk_rows in (30, 31, 64):
+        cut = series.number_and_cut(df, 30, order=("date", "n"), chunk_rows=chunk_rows)
+        by = series.chunk_order(order=("date", "n"))
+        got = series.uncut(cut.withColumn("lag", F.lag("quantity_sold", 30).over(by))).orderBy("row_no").toPandas()
+        assert list(got.row_no) == list(range(1, len(rows) + 1))
+        assert list(got.lag.fillna(-1)) == list(want.shift(30).fillna(-1))
 
 
 def test_halo_must_fit_a_chunk(make_sales):
