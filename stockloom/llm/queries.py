@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.llm import quality, simhash
+from stockloom.llm import mixing, packing, pii, quality, simhash
 from stockloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,25 @@ def query(function):
     return function
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the files of public tokenizers lie on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document, and the output shards that hold its copies."""
+    return mixing.assigned(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal numbers, dates and addresses replaced by keyed pseudonyms of the same format."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), count="n_replaced")
+
+
 @query
 def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; a third of the ids is held out from the labels."""
@@ -32,3 +51,9 @@ def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 2,048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
