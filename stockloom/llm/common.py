@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,3 +34,16 @@ def word_count(text: str | Column) -> Column:
     """The number of runs of characters other than ASCII white space; 0 for null."""
     spaced = F.trim(F.translate(text, ASCII_SPACE, " " * len(ASCII_SPACE)))
     return F.when(F.length(spaced) > 0, F.size(F.split(spaced, " +"))).otherwise(0).cast("long")
+
+
+def in_blocks(texts: list[str | None], characters: int) -> Iterator[list[str | None]]:
+    """Consecutive texts, as many at once as stay below a number of characters, or one."""
+    block, held = [], 0
+    for text in texts:
+        if block and held + len(text or "") > characters:
+            yield block
+            block, held = [], 0
+        block.append(text)
+        held += len(text or "")
+    if block:
+        yield block

@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stockloom.llm.common import written
+from stockloom.llm.common import in_blocks, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -67,29 +67,17 @@ class WordEncoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts as little-endian 32-bit numbers; none for a null or empty text."""
         split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        new = set().union(*split) - self.known.keys()
+        words = set().union(*split)
+        new = [word for word in words if word not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*split)
-        self.learn(list(new))
+            new = list(words)
+        self.learn(new)
         get = self.known.__getitem__
         return [
             self.whole(text) if text and "<|" in text else b"".join(map(get, words)) for text, words in zip(texts, split)]
 
 
-def in_blocks(texts: list[str | None], characters: int):
-    """Consecutive texts, as many at once as stay below a number of characters, or one."""
-    block, held = [], 0
-    for text in texts:
-        if block and held + len(text or "") > characters:
-            yield block
-            block, held = [], 0
-        block.append(text)
-        held += len(text or "")
-    if block:
-        yield block
-
-
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document, whose ids end with END_ID; ``ids`` adds them as binary."""
     def cut(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.llm import mixing, packing, pii, quality, simhash
+from stockloom.llm import html_text, mixing, packing, pii, quality, simhash, token_counts, url_filter
 from stockloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,22 @@ def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op6_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    text = F.coalesce("text", F.lit(""))
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(text).cast("long").alias("n_bytes"),
+        token_counts.token_count("text", tokenizer_path("piece_bpe_32k.model")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query
+def op7_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return url_filter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
 @query
 def op8_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
@@ -57,3 +73,10 @@ def op8_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 2,048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op10_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extracted("html").alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
