@@ -42,28 +42,30 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def meet(df: DataFrame, tables: Tables, radii: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """``cell, code, probe`` rows of a frame of distinct ``code`` values.
+def meet(df: DataFrame, tables: Tables, radii: Callable[[np.ndarray], np.ndarray], largest: int = 2) -> DataFrame:
+    """``cell, id, code, probe`` rows of a frame of distinct ``id`` and their ``code``.
 
-    ``radii(codes)`` gives the radius of each code (row) in each table (column); -1 leaves the table out.
+    ``radii(codes)`` gives the radius of each code (row) in each table (column), ``largest`` at most; -1 leaves the table
+    out. A cell is a key of a table; its lowest 8 bits are the table's number.
     """
-    masks = [[flips(len(bits), r) for r in range(len(bits) + 1)] if len(bits) <= 12 else
-             [flips(len(bits), r) for r in range(4)] for bits in tables]
+    masks = [[flips(len(bits), r) for r in range(largest + 1)] for bits in tables]
 
     def emit(batches):
         for batch in batches:
-            codes = batch["code"].to_numpy(np.int64)
+            ids, codes = batch["id"].to_numpy(np.int64), batch["code"].to_numpy(np.int64)
             reach = radii(codes)
             for t, bits in enumerate(tables):
                 keys = keys_of(codes, bits)
-                yield pd.DataFrame({"cell": keys << 8 | t, "code": codes, "probe": False})
+                yield pd.DataFrame({"cell": keys << 8 | t, "id": ids, "code": codes, "probe": False})
                 for r in range(int(reach[:, t].max(initial=-1)) + 1):
                     chosen = reach[:, t] >= r
                     near = (keys[chosen, None] ^ masks[t][r][None, :]).ravel()
+                    times = len(masks[t][r])
                     yield pd.DataFrame({
-                        "cell": near << 8 | t, "code": np.repeat(codes[chosen], len(masks[t][r])), "probe": True})
+                        "cell": near << 8 | t, "id": np.repeat(ids[chosen], times),
+                        "code": np.repeat(codes[chosen], times), "probe": True})
 
-    return df.select("code").mapInPandas(emit, "cell long, code long, probe boolean")
+    return df.select("id", "code").mapInPandas(emit, "cell long, id long, code long, probe boolean")
 
 
 def dealt(rows: DataFrame, count: int) -> DataFrame:
@@ -77,7 +79,7 @@ def dealt(rows: DataFrame, count: int) -> DataFrame:
         "large_cells",
     )
     down, across = F.coalesce("down", F.lit(1)), F.coalesce("across", F.lit(1))
-    own = F.pmod(F.xxhash64("code", F.lit("block")), F.when(F.col("probe"), down).otherwise(across)).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit("block")), F.when(F.col("probe"), down).otherwise(across)).cast("int")
     block = F.when(F.col("probe"), F.transform(F.sequence(F.lit(0), across - 1), lambda j: own * across + j)).otherwise(
         F.transform(F.sequence(F.lit(0), down - 1), lambda i: i * across + own))
     parts = parts_for(spark, count, GROUP_ROWS)
@@ -86,8 +88,8 @@ def dealt(rows: DataFrame, count: int) -> DataFrame:
     ).withColumn("part", F.pmod(F.xxhash64("cell", "block"), F.lit(parts)))
 
 
-def candidates(cells: np.ndarray, codes: np.ndarray, probe: np.ndarray, most: int, visit) -> None:
-    """Call ``visit(probe rows, entry rows)`` for pairs under the same cell whose different codes differ in at most
+def candidates(cells: np.ndarray, ids: np.ndarray, codes: np.ndarray, probe: np.ndarray, most: int, visit) -> None:
+    """Call ``visit(probe rows, entry rows)`` for pairs of different ids under the same cell whose codes differ in at most
     ``most`` bits. ``cells`` names cell and block."""
     entries, probes = np.flatnonzero(~probe), np.flatnonzero(probe)
     entries = entries[np.argsort(cells[entries], kind="stable")]
@@ -105,7 +107,7 @@ def candidates(cells: np.ndarray, codes: np.ndarray, probe: np.ndarray, most: in
         p = np.repeat(probes[start:stop], n)
         e = entries[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[start:stop], n)]
         near = popcount(codes[p].view(np.uint64) ^ codes[e].view(np.uint64))
-        keep = (near <= most) & (codes[p] != codes[e])
+        keep = (near <= most) & (ids[p] != ids[e])
         if keep.any():
             visit(p[keep], e[keep])
         start = stop

@@ -10,6 +10,7 @@ shuffled within their shard.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -131,20 +132,34 @@ def shard_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
         F.sort_array(F.collect_list(F.col("end"))).alias("ends"))
 
 
-def assigned(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS, shards: int = SHARDS,
-    seed: int = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, size`` (words), ``source_size, target, taken`` (words that the mix takes,
-    repeats counted) and ``shards`` (one entry per copy that the mix holds).
+@dataclass
+class Plan:
+    """``sources``: source, place, blocks (how many), source_size, target. ``taken``: place, block and the shards that its
+    copies go to."""
+
+    sources: DataFrame
+    taken: DataFrame
+    seed: int
+
+    def joined(self, rows: DataFrame, doc_id: str, source: str) -> DataFrame:
+        """The rows with ``place, block, source_size, target, shards``."""
+        named = self.sources.select(F.col("source").alias("_source"), "place", "blocks", "source_size", "target")
+        return rows.join(named, F.col(source).eqNullSafe(F.col("_source"))).withColumn(
+            "block", block_of(self.seed, source, doc_id)).drop("_source", "blocks").join(self.taken, ["place", "block"])
+
+
+def block_of(seed: int, source: str, doc_id: str):
+    return F.pmod(F.xxhash64(F.lit(seed), source, doc_id), "blocks")
+
+
+def plan_of(
+    rows: DataFrame, weights: Sequence[int] = WEIGHTS, most_repeats: int = MOST_REPEATS, shards: int = SHARDS, seed: int = SEED,
+) -> Plan:
+    """What the mix takes of ``rows`` (``doc_id, source, size``).
 
     Whole passes over a source are taken as often as they fit into its target, then permuted blocks while they fit, then
-    up to CLOSING blocks out of turn that bring the sum nearer to the target. A null text has size 0 and
-    is never counted; a null source is a source of its own; an empty table gives no rows. Repeated rows with one doc_id
-    lie in one block. Same rows and seed give the same mix.
+    up to CLOSING blocks out of turn that bring the sum nearer to the target.
     """
-    rows = written(
-        docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     planned = written(
         targets(sources, weights, most_repeats).withColumn(
@@ -152,15 +167,31 @@ def assigned(
             "passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)),
         "targets")
     named = planned.select(F.col("source").alias("_source"), "place", "blocks")
-    blocked = rows.join(named, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "size", "place", F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), "blocks").alias("block"))
-    sizes = blocked.groupBy("place", "block").agg(F.sum("size").alias("words"))
-
+    sizes = (
+        rows.join(named, F.col("source").eqNullSafe(F.col("_source")))
+        .groupBy("place", block_of(seed, "source", "doc_id").alias("block")).agg(F.sum("size").alias("words"))
+    )
+    numbered = written(drawn_blocks(sizes, planned.select("place", "source_size", "target", "passes")), "blocks")
+    quotas = numbered.groupBy("place").agg(F.sum(F.col("passes") + F.col("drawn").cast("long")).cast("long").alias("quota"))
+    none = F.array().cast("array<bigint>")
+    whole = F.when(F.col("passes") > 0, F.transform(
+        F.sequence(F.lit(0), F.col("passes").cast("int") - 1),
+        lambda e: (e * F.col("held") + F.col("position")).cast("long"))).otherwise(none)
+    partial = F.when(
+        F.col("drawn"), F.array((F.col("passes") * F.col("held") + F.col("extra")).cast("long"))).otherwise(none)
+    # the i-th block drawn from a source goes to the shard whose run of the source's quota holds i
+    taken = numbered.join(shard_quotas(quotas, shards, seed), "place").select("place", "block", F.transform(
+        F.concat(whole, partial), lambda i: F.size(F.filter("ends", lambda end: end <= i))).alias("shards"))
+    return Plan(planned, written(taken, "taken_blocks"), seed)
+
+
+def drawn_blocks(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """``place, block, passes, drawn, position, extra, held``: whether a block is drawn beyond the whole passes, its position
+    among its source's ``held`` blocks, and how many blocks before it are drawn."""
     per_source, upto = Window.partitionBy("place"), Window.partitionBy("place").orderBy("block")
-    plan = planned.select("place", "source_size", "target", "passes")
-    remainder = F.col("target") - F.col("passes") * F.col("source_size")
-    filled = F.sum("words").over(upto.rowsBetween(Window.unboundedPreceding, 0))
-    laid = sizes.join(plan, "place").withColumns({"rest": remainder, "filled": filled})
+    laid = sizes.join(plan, "place").withColumns({
+        "rest": F.col("target") - F.col("passes") * F.col("source_size"),
+        "filled": F.sum("words").over(upto.rowsBetween(Window.unboundedPreceding, 0))})
     fits = (F.col("filled") <= F.col("rest")) & (F.col("rest") > 0)
     gap = F.col("rest") - F.coalesce(F.max(F.when(fits, F.col("filled"))).over(per_source), F.lit(0))
     drawn = laid.withColumns({"drawn": fits, "gap": gap})
@@ -173,22 +204,37 @@ def assigned(
         drawn = drawn.withColumn("now", (nearest == 1) & miss.isNotNull()).withColumns({
             "drawn": F.col("drawn") | F.col("now"),
             "gap": F.col("gap") - F.coalesce(F.max(F.when(F.col("now"), F.col("words"))).over(per_source), F.lit(0))})
-    numbered = written(drawn.withColumns({
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    return drawn.withColumns({
         "position": F.row_number().over(upto) - 1,
-        "extra": F.sum(F.col("drawn").cast("long")).over(upto.rowsBetween(Window.unboundedPreceding, -1)),
+        "extra": F.coalesce(F.sum(F.col("drawn").cast("long")).over(before), F.lit(0)),
         "held": F.count(F.lit(1)).over(per_source),
-    }).select("place", "block", "passes", "drawn", "position", F.coalesce("extra", F.lit(0)).alias("extra"), "held"), "blocks")
+    }).select("place", "block", "passes", "drawn", "position", "extra", "held")
 
-    quotas = numbered.groupBy("place").agg(F.sum(F.col("passes") + F.col("drawn").cast("long")).cast("long").alias("quota"))
-    ends = shard_quotas(quotas, shards, seed)
-    whole = F.when(F.col("passes") > 0, F.transform(
-        F.sequence(F.lit(0), F.col("passes").cast("int") - 1), lambda e: (e * F.col("held") + F.col("position")).cast("long"),
-    )).otherwise(F.array().cast("array<bigint>"))
-    partial = F.when(F.col("drawn"), F.array((F.col("passes") * F.col("held") + F.col("extra")).cast("long"))).otherwise(
-        F.array().cast("array<bigint>"))
-    taken = written(numbered.join(ends, "place").select(
-        "place", "block", F.transform(
-            F.concat(whole, partial), lambda i: F.size(F.filter("ends", lambda end: end <= i))).alias("shards")), "taken_blocks")
-    named = taken.join(plan, "place").select("place", "block", "source_size", "target", "shards")
-    return blocked.join(named, ["place", "block"]).select(
+
+def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    return written(docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sizes")
+
+
+def assigned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, size`` (words), ``source_size, target, taken`` (words that the mix takes,
+    repeats counted) and ``shards`` (one entry per copy that the mix holds).
+
+    A null text has size 0; a null source is a source of its own; an empty table gives no rows. Repeated rows with one
+    doc_id lie in one block. Same rows and seed give the same mix.
+    """
+    rows = sized(docs, doc_id, text, source)
+    return plan_of(rows, **options).joined(rows, "doc_id", "source").select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of the mix with the columns of ``docs``: each as often as the mix takes it, dealt out by shard and shuffled
+    within. Rows of blocks that aren't drawn are left out."""
+    plan = plan_of(sized(docs, doc_id, text, source), **options)
+    keys = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_from"))
+    copies = plan.joined(keys, "_id", "_from").select("_row", "_id", F.posexplode("shards").alias("_copy", "_shard"))
+    order = F.xxhash64(F.lit(plan.seed), "_id", "_copy")
+    return copies.withColumn("_order", order).repartition("_shard", F.pmod("_order", F.lit(64))).sortWithinPartitions(
+        "_shard", "_order").select("_row.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.llm import html_text, mixing, packing, pii, quality, simhash, token_counts, url_filter
+from stockloom.llm import html_text, itq, mixing, multi_index, packing, pii, quality, simhash, token_counts, url_filter
 from stockloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,18 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op1_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    return multi_index.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+@query
+def op2_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and class of every vector."""
+    return itq.classes(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, and the output shards that hold its copies."""

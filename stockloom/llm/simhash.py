@@ -170,7 +170,7 @@ def links(codes: DataFrame, most: int = MAX_BITS, partitions: int = PARTITIONS)
     """
     groups = bit_groups(codes, partitions)
     radii = radius_finder(groups, key_counts(codes, groups), most)
-    met = written(hamming.meet(codes, groups, radii), "simhash_cells")
+    met = written(hamming.meet(codes.select(F.col("code").alias("id"), "code"), groups, radii).drop("id"), "simhash_cells")
 
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
         cells, values = hamming.named_blocks(frame), frame["code"].to_numpy(np.int64)
@@ -184,13 +184,13 @@ def links(codes: DataFrame, most: int = MAX_BITS, partitions: int = PARTITIONS)
             nodes = np.flatnonzero(root != np.arange(len(names)))
             left[:], right[:] = [nodes], [root[nodes]]
 
-        hamming.candidates(cells, values, frame["probe"].to_numpy(bool), most, visit)
+        hamming.candidates(cells, values, values, frame["probe"].to_numpy(bool), most, visit)
         src = np.concatenate(left) if left else np.zeros(0, np.int64)
         dst = np.concatenate(right) if right else np.zeros(0, np.int64)
         return pd.DataFrame({"src": names[dst], "dst": names[src]})
 
     rows = met.count()
-    return hamming.dealt(met, rows).groupBy("part").applyInPandas(edges, "src long, dst long").distinct()
+    return hamming.dealt(met.withColumn("id", F.col("code")), rows).drop("id").groupBy("part").applyInPandas(edges, "src long, dst long").distinct()
 
 
 def classes(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, most: int = MAX_BITS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
