@@ -81,8 +81,8 @@ def state_of(name: str, attributes: str, main: bool, boilerplate: bool, apart: b
         return main, boilerplate, True
     if name in MAIN_TAGS:
         return True, False, apart
-    of_main = main and name == "header" or main and names <= {"header"}
-    if (name in BOILERPLATE_TAGS or names & BOILERPLATE_NAMES and name != "body") and not of_main:
+    own = {"header"} if main else set()  # a header within the main element is its own
+    if name in BOILERPLATE_TAGS - own or names & (BOILERPLATE_NAMES - own) and name != "body":
         return main, True, apart
     if names & MAIN_NAMES and name not in ("body", "html"):
         return True, False, apart

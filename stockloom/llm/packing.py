@@ -161,7 +161,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, strand_pieces: int = STR
     keys = ["strand", "length", "part"]
     counted = written(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "runs")
 
-    def strand(key, runs: pd.DataFrame) -> pd.DataFrame:
+    def strand(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
         return sweep(runs["length"].to_numpy(), runs["n"].to_numpy(), capacity).assign(strand=key[0])
 
     plan = (

@@ -230,15 +230,17 @@ def pseudonym(m: Column, key: str) -> Column:
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text", count: str | None = None) -> DataFrame:
     """``docs`` with the personal values of the whole text replaced; all else stays, also repeated rows and extra columns.
 
-    ``count`` names a column for the number of replaced values. A null text stays null (count 0), an empty one empty.
+    ``count`` names a column for the number of replaced values, in place of one that has this name. A null text stays null
+    (count 0), an empty one empty; an empty table gives no rows.
     """
-    found = docs.withColumn("_found", F.regexp_extract_all(text, F.lit(PATTERN), 0))
+    # the row is kept apart, so that its columns may have any names
+    apart = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    found = apart.withColumn("_found", F.regexp_extract_all("_text", F.lit(PATTERN), 0))
     named = found.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    woven = F.array_join(F.flatten(F.zip_with(
+        F.split("_text", PATTERN, -1), "_new", lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
+    replaced = F.when(F.size("_found") > 0, woven).otherwise(F.col("_text"))
     changed = F.coalesce(F.aggregate(
         F.zip_with("_found", "_new", lambda a, b: (a != b).cast("int")), F.lit(0), lambda s, x: s + x), F.lit(0))
-    woven = F.array_join(F.flatten(F.zip_with(
-        F.split(text, PATTERN, -1), "_new", lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
-    out = named.withColumn(text, F.when(F.size("_found") > 0, woven).otherwise(F.col(text)))
-    if count:
-        out = out.withColumn(count, changed)
-    return out.drop("_found", "_new")
+    kept = [replaced.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns if c != count]
+    return named.select(*kept, *([changed.alias(count)] if count else []))

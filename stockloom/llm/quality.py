@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Documented bounds of the model: labelled rows, hashed terms and latent dimensions. They fix the broadcast size.
 MAX_LABELLED = 2000
@@ -131,11 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, neighbours
     return Model(inverse, axes, unit(weighted @ axes), rows["quality"].to_numpy(np.float64), neighbours)
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score from 0 to 1 that a document is good.
+def score_of(docs: DataFrame, model: Model, text: str = "text") -> Column:
+    """The score from 0 to 1 that a document is good, as a column of ``docs``.
 
-    Each whole text is scored; null and empty texts are scored by the prior of the sample. Without any labelled row
-    every score is 0.5. Repeated rows get equal scores.
+    Each whole text is scored; null and empty texts have no terms and are scored by the labelled vectors nearest to none,
+    that is by the sample's prior. Without any labelled row every score is 0.5. Equal texts get equal scores.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -147,4 +147,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", name: str = "score
         ]
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn(name, score(F.col(text)))
+    return score(F.col(text))
+
+
+def kept(docs: DataFrame, model: Model, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches ``least``."""
+    return docs.filter(score_of(docs, model, text) >= least)

@@ -55,8 +55,9 @@ def op5_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out))
-    return quality.scored(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score_of(docs, model).alias("score"))
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query

@@ -217,7 +217,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     """One document of each class: the row whose id is the smallest of the class (of rows that repeat the id, the one
     with the smallest text). A row without an id can't be named as a copy and stays. All columns are returned."""
     found = classes(docs, text=text, doc_id=doc_id, **options)
-    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(text))
-    kept = docs.join(firsts, doc_id, "left_semi").withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
+    firsts = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy("_text"))
+    kept = named.join(firsts, "_id", "left_semi").withColumn("_rank", rank).filter("_rank = 1").select("_row.*")
     return kept.unionByName(docs.filter(F.col(doc_id).isNull()))

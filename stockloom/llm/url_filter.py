@@ -105,6 +105,14 @@ def empty_model() -> Model:
         [np.zeros((2, 1 if order == 0 else 1 << CONTEXT_BITS)) for order in range(ORDER + 1)])
 
 
+def add(model: Model, urls: list[str], accepted: int) -> None:
+    """Add the characters of URLs of one class to the counts."""
+    for order, (pair, context) in enumerate(slots(urls)):
+        model.pairs[order][accepted] += np.bincount(pair, minlength=model.pairs[order].shape[1])
+        if context is not None:
+            model.contexts[order][accepted] += np.bincount(context, minlength=model.contexts[order].shape[1])
+
+
 def count_characters(labelled: DataFrame) -> Model:
     """The counts of all URLs (``url, accepted``). Tasks add up their rows; only sums of slots are shuffled."""
     def count(batches):
@@ -113,10 +121,7 @@ def count_characters(labelled: DataFrame) -> Model:
             for c in (0, 1):
                 urls = batch["url"][batch["accepted"] == bool(c)].tolist()
                 if urls:
-                    for order, (pair, context) in enumerate(slots(urls)):
-                        model.pairs[order][c] += np.bincount(pair, minlength=model.pairs[order].shape[1])
-                        if context is not None:
-                            model.contexts[order][c] += np.bincount(context, minlength=model.contexts[order].shape[1])
+                    add(model, urls, c)
         for kind, tables in enumerate((model.pairs, model.contexts)):
             for order, both in enumerate(tables):
                 for c in (0, 1):
@@ -147,12 +152,18 @@ def scorer(docs: DataFrame, model: Model):
 
 
 def calibrated(labelled: DataFrame, model: Model) -> float:
-    """The threshold with the best mean of both classes' accuracies (ties: the one nearest to 0); 0 if a class is missing."""
+    """The threshold with the best mean of both classes' accuracies (ties: the one nearest to 0); 0 if a class is missing.
+    Scores are counted in bins by Spark."""
     bins = labelled.select(
         "accepted", F.greatest(F.lit(-SPAN * BINS), F.least(F.lit(SPAN * BINS), F.floor(
             scorer(labelled, model)(F.col("url")) * BINS))).cast("int").alias("bin")).groupBy("accepted", "bin").count().toPandas()
     counts = np.zeros((2, 2 * SPAN * BINS + 1))
     counts[bins["accepted"].astype(int), bins["bin"] + SPAN * BINS] = bins["count"]
+    return best_edge(counts)
+
+
+def best_edge(counts: np.ndarray) -> float:
+    """The lower edge of a bin that parts the counts of both classes (rows) best."""
     if not counts.sum(axis=1).all():
         return 0.0
     below = np.cumsum(counts, axis=1) / counts.sum(axis=1, keepdims=True)
@@ -170,18 +181,15 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url") ->
     scored as they are (an empty one scores 0). Without labelled URLs of both kinds the threshold is 0. Repeated rows get
     equal verdicts; columns of the input with the names of the new ones are replaced.
     """
-    address = F.coalesce(F.col(url), F.lit(""))
-    host, path = host_of(address), path_of(address)
+    apart = pages.select(F.struct(*pages.columns).alias("_row"), F.coalesce(F.col(url), F.lit("")).alias("url"))
+    host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = longest_rule(host, path, rules)
-    labelled = pages.select(address.alias("url"), verdict.alias("verdict")).filter("verdict is not null").select(
-        "url", (F.col("verdict") == "allow").alias("accepted"))
-    apart = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
-    model = count_characters(labelled.filter(~apart))
-    model.threshold = calibrated(labelled.filter(apart), model)
-    known = pages.withColumn("_address", address).withColumn("_score", scorer(pages, model)(F.col("_address")))
-    named = host_of(F.col("_address")), path_of(F.col("_address"))
-    rule, verdict = longest_rule(*named, rules)
-    default = F.when(F.col("_score") >= F.lit(model.threshold), "allow").otherwise("block")
-    return known.withColumns({
-        "host": named[0], "path": named[1], "rule": rule, "verdict": F.coalesce(verdict, default), "score": F.col("_score"),
-    }).drop("_address", "_score")
+    labelled = apart.select("url", (verdict == "allow").alias("accepted")).filter("accepted is not null")
+    held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
+    model = count_characters(labelled.filter(~held))
+    model.threshold = calibrated(labelled.filter(held), model)
+    scored = apart.withColumn("score", scorer(pages, model)(F.col("url")))
+    default = F.when(F.col("score") >= F.lit(model.threshold), "allow").otherwise("block")
+    new = {"host": host, "path": path, "rule": rule, "verdict": F.coalesce(verdict, default), "score": F.col("score")}
+    return scored.select(
+        *[F.col("_row").getField(c).alias(c) for c in pages.columns if c not in new], *[c.alias(n) for n, c in new.items()])

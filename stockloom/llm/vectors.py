@@ -31,4 +31,4 @@ def one_per_id(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def sample(vectors: DataFrame, most: int) -> np.ndarray:
     """At most ``most`` usable vectors, those with the smallest hash of their id; they fit an index on the driver."""
     rows = vectors.filter("vector is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vector").toPandas()
-    return np.array(rows["vector"].tolist(), np.float64).reshape(len(rows), -1)
+    return np.array(rows["vector"].tolist(), np.float64) if len(rows) else np.zeros((0, 0))
