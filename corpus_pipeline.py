@@ -12,7 +12,7 @@ from stockloom.llm.queries import tokenizer_path
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that their labelled neighbours don't vote down."""
     model = quality.fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, name="_score").filter("_score >= 0.5").drop("_score")
+    return quality.kept(docs, model)
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
