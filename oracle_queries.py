@@ -6,6 +6,8 @@ import numpy as np
 
 from oracle_base import FACTOR, PEAK, SEASON, define, with_ctes
 
+RIDGE = 1.0
+
 ORACLES: dict[str, str] = {}
 
 
@@ -42,10 +44,11 @@ define("rolled", ["base"], f"""
   from base window w as (partition by product_id order by dt)""")
 define("features", ["rolled"], "select * from rolled where lag_30 is not null")
 
+# The order of the features.
 FEATURES = (
-    "quantity_sold month day_of_week day_of_month quarter is_weekend week_sin week_cos season_encoded "
-    "is_festival_month is_peak_disease_season lag_1 lag_7 lag_30 rolling_mean_7 rolling_mean_30 rolling_std_7"
-).split()
+    "quantity_sold", "month", "day_of_week", "day_of_month", "quarter", "is_weekend", "week_sin", "week_cos", "season_encoded",
+    "is_festival_month", "is_peak_disease_season", "lag_1", "lag_7", "lag_30", "rolling_mean_7", "rolling_mean_30", "rolling_std_7",
+)
 define("bounds", ["features"], "select product_id, " + ", ".join(
     f"cast(min({c}) as double) as lo_{c}, cast(max({c}) as double) as hi_{c}" for c in FEATURES
 ) + " from features group by product_id")
@@ -110,15 +113,21 @@ def define_recommendation(suffix: str, source: str) -> None:
       from rec{suffix}_b""")
 
 
+for span in (7, 60):
+    define(f"predicted{span}", ["days"], f"""
+      select product_id, cast(sum(quantity) as bigint) as predicted from days where day_no <= {span} group by product_id""")
+    define(f"demand{span}", [f"predicted{span}", "trend", "now_season"], f"""
+      select p.product_id, p.predicted, t.mean, s.season from predicted{span} p join trend t using (product_id), now_season s""")
+    define_recommendation(str(span), f"demand{span}")
 define_recommendation("", "demand30")
 define_recommendation("_seasons", "demand_seasons")
 define_recommendation("_spans", "demand_spans")
 
-define("counts", [], """
-  select 'P' || lpad(cast(1 + user_id % 25 as varchar), 3, '0') as product_id, cast(trunc(value * 10) as integer) as new_quantity, ts, event_id, value
-  from events where event_type = 'purchase'""")
+define("counts", ["catalog"], """
+  select product_id, category, cast(trunc(value * base_demand) as integer) as new_quantity, ts
+  from events join catalog on product_id = 'P' || lpad(cast(1 + user_id % 25 as varchar), 3, '0') where event_type = 'purchase'""")
 define("newest", ["counts"], """
-  select product_id, greatest(0, arg_max(new_quantity, (ts, event_id))) as quantity, max(ts) as ts from counts group by product_id""")
+  select product_id, greatest(0, arg_max(new_quantity, (ts, new_quantity))) as quantity, max(ts) as ts from counts group by product_id""")
 define("inventory", ["catalog", "newest"], """
   select coalesce(c.product_id, n.product_id) as product_id,
     cast(case when n.ts is not null then n.quantity else c.base_demand * 30 end as integer) as current_stock, n.ts as last_updated
@@ -156,8 +165,8 @@ def define_alerts(suffix: str) -> None:
       from typed{suffix}""")
 
 
-define_alerts("")
-define_alerts("_seasons")
+for suffix in ("", "_seasons", "7", "60"):
+    define_alerts(suffix)
 TITLE = "upper(category[1]) || category[2:]"
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -168,7 +177,9 @@ oracle("derived_sales", "select * from sales", "sales")
 oracle("derived_catalog", "select * from catalog", "catalog")
 oracle("sales_profile", """
   select 'ok' as status, count(*) as rows, min(date) as date_from, max(date) as date_to, count(distinct product_id) as products from sales""", "sales")
-oracle("custom_sql", "select product_name, cast(sum(quantity_sold) as bigint) as total_sold from sales group by 1 order by 2 desc", "sales")
+oracle("custom_sql", """
+  select category, season, count(distinct product_id) as products, cast(sum(quantity_sold) as bigint) as units from sales
+  where quantity_sold > 0 group by 1, 2""", "sales")
 oracle("parameter_sql", """
   select product_name, count(*) as days, cast(sum(quantity_sold) as bigint) as total_sold from sales
   where category = 'fever' and quantity_sold >= 50 group by 1""", "sales")
@@ -228,7 +239,7 @@ oracle("monthly_trend_tail", f"""
   from sales group by 1 order by 1 desc limit 6""", "sales")
 oracle("seasonal_demand", f"select season, product_name, category, {SUM} as total_demand, {AVG1} as avg_daily from sales group by 1, 2, 3", "sales")
 oracle("slow_movers", f"""
-  select product_name, category, {AVG1} as avg_daily_demand, {SUM} as total_sold from sales group by 1, 2 having {AVG1} < 100""", "sales")
+  select product_name, category, {AVG1} as avg_daily_demand, {SUM} as total_sold from sales group by 1, 2 having {AVG1} < (select avg(quantity_sold) from sales)""", "sales")
 oracle("category_revenue", f"select category, {REV} as total_revenue, {SUM} as total_units, {AVG1} as avg_daily from sales group by 1", "sales")
 oracle("eda_monthly", f"select substr(date, 1, 7) as month, {SUM} as total_units, {REV} as total_revenue from sales group by 1", "sales")
 oracle("eda_top_products", f"select product_name, {SUM} as total_units from sales group by 1 order by total_units desc, product_name limit 12", "sales")
@@ -310,21 +321,82 @@ define("tested", ["features"], """
   from features f join features l on f.product_id = l.product_id and l.frame_no = trunc(f.frame_rows * 0.8e0)
   where f.frame_no > trunc(f.frame_rows * 0.8e0)""")
 oracle("naive_forecast", "select * from tested", "tested")
-oracle("forecast_metrics", """
-  select product_id, 'Naive' as model, count(*) as test_samples, round_even(avg(abs(y - y_pred)), 4) as mae,
-    round_even(sqrt(avg((y - y_pred) * (y - y_pred))), 4) as rmse,
-    round_even(avg(abs((y - y_pred) / y)) filter (where y <> 0) * 100, 2) as mape,
-    round_even(avg(case when sign(dy) = sign(dp) then 1e0 when dy is not null then 0e0 end) * 100, 2) as directional_accuracy
-  from (select *, y - lag(y) over w as dy, y_pred - lag(y_pred) over w as dp from tested window w as (partition by product_id order by step))
-  group by 1""", "tested")
-define("ar_inputs", ["seqs"], """
-  select product_id, list_concat([""" + ", ".join(f"x[{i}][1]" for i in range(1, 31)) + """], x[30][2:17], [1e0, y]) as z
-  from seqs where seq_no <= floor(seq_rows * 0.8e0)""")
-oracle("ar_product_sums", """
-  select product_id, pos, cast(floor(sum(z[i] * z[j]) * 1e6 + 0.1e0) as bigint) as millionths
-  from ar_inputs, (select a.range as i, b.range as j, cast(row_number() over (order by a.range, b.range) - 1 as integer) as pos
+define("ar_rows", ["windows"], """
+  select product_id, dt as date, list_concat([""" + ", ".join(f"x[{i}][1]" for i in range(1, 31)) + """], x[30][2:17], [1e0, quantity_sold]) as z,
+    frame_no - 30 as seq_no, frame_rows - 30 as seq_rows, cast(floor((frame_rows - 30) * 0.8e0) as bigint) as split, lo, hi from windows""")
+define("ar_upper", ["ar_rows"], """
+  select product_id, pos, i, j, sum(z[i] * z[j]) as v
+  from ar_rows, (select a.range as i, b.range as j, cast(row_number() over (order by a.range, b.range) - 1 as integer) as pos
     from range(1, 49) a, range(1, 49) b where a.range <= b.range)
-  group by product_id, pos""", "ar_inputs")
+  where seq_no <= split group by product_id, pos, i, j""")
+oracle("ar_product_sums", "select product_id, pos, cast(floor(v * 1e6 + 0.1e0) as bigint) as millionths from ar_upper", "ar_upper")
+# The normal equations with the ridge on their diagonal, solved by Gauss-Jordan elimination: 47 unknowns, column 48 is the right side.
+define("ar_matrix", ["ar_upper"], f"""
+  select product_id, i, j, v + case when i < j then 0e0 when i = 47 then 1e-9 else {RIDGE!r} end as v from ar_upper where i <= 47
+  union all select product_id, j, i, v from ar_upper where i < j and j <= 47""")
+define("gauss", ["ar_matrix"], """
+  select product_id, 1 as k, i, j, v from ar_matrix
+  union all
+  select product_id, k + 1, i, j, case when i = k then v / diagonal else v - in_column * in_row / diagonal end
+  from (select *, max(case when i = k and j = k then v end) over (partition by product_id) as diagonal,
+      max(case when i = k then v end) over (partition by product_id, j) as in_row,
+      max(case when j = k then v end) over (partition by product_id, i) as in_column
+    from gauss where k <= 47)""")
+define("ar_weights", ["gauss"], "select product_id, list(v order by i) as w from gauss where k = 48 and j = 48 group by product_id")
+define("ar_tested", ["ar_rows", "ar_weights"], """
+  select product_id, date, seq_no - split as step, seq_rows - split as steps, z[48] * (hi - lo) + lo as y,
+    list_dot_product(z[1:47], w) * (hi - lo) + lo as y_pred
+  from ar_rows join ar_weights using (product_id) where seq_no > split""")
+oracle("ar_forecast", "select * replace (round(y, 3) as y, round(y_pred, 3) as y_pred) from ar_tested", "ar_tested")
+oracle("actual_vs_predicted", "select product_id, date, round(y, 2) as actual, round(y_pred, 2) as predicted from ar_tested", "ar_tested")
+define("ar_ends", ["scaled", "ar_weights"], """
+  select s.product_id, max(dt) as last_date, any_value(lo) as lo, any_value(hi) as hi, any_value(w) as w, list(quantity_sold order by frame_no) as past,
+    any_value(w)[47] + list_dot_product(any_value(w)[31:46], max_by([""" + ", ".join(FEATURES[1:]) + """], frame_no)) as fixed
+  from scaled s join ar_weights using (product_id) where frame_no > frame_rows - 30 and frame_rows >= 30 group by s.product_id""")
+define("ar_steps", ["ar_ends"], """
+  select product_id, 0 as day_no, past, 0e0 as value from ar_ends
+  union all
+  select product_id, day_no + 1, list_append(past[2:30], value), value
+  from (select s.product_id, s.day_no, s.past, list_dot_product(s.past, e.w[1:30]) + e.fixed as value
+    from ar_steps s join ar_ends e on s.product_id = e.product_id where s.day_no < 30)""")
+define("ar_days", ["ar_steps", "ar_ends"], """
+  select product_id, day_no, cast(last_date + day_no as date) as date,
+    cast(trunc(greatest(value * (hi - lo) + lo, 0)) as bigint) as quantity
+  from ar_steps join ar_ends using (product_id) where day_no > 0""")
+oracle("ar_rollout", "select * from ar_days", "ar_days")
+
+
+def define_scores(name: str, source: str, model: str) -> None:
+    define(name, [source], f"""
+      select product_id, '{model}' as model, count(*) as test_samples, round_even(avg(abs(y - y_pred)), 4) as mae,
+        round_even(sqrt(avg((y - y_pred) * (y - y_pred))), 4) as rmse,
+        round_even(avg(abs((y - y_pred) / y)) filter (where y <> 0) * 100, 2) as mape,
+        round_even(avg(case when sign(dy) = sign(dp) then 1e0 when dy is not null then 0e0 end) * 100, 2) as directional_accuracy
+      from (select *, y - lag(y) over w as dy, y_pred - lag(y_pred) over w as dp from {source} window w as (partition by product_id order by step))
+      group by 1""")
+
+
+define_scores("naive_scores", "tested", "Naive")
+define_scores("ar_scores", "ar_tested", "AR")
+oracle("forecast_metrics", "select * from naive_scores", "naive_scores")
+define("scores", ["naive_scores", "ar_scores"], """
+  select * from naive_scores union all select * from ar_scores
+  union all select product_id, 'GBT', test_samples, null, null, null, null from naive_scores""")
+oracle("comparison_scores", """
+  select product_id, product_name, model, test_samples, 'evaluated' as status, round(mae, 2) as mae, round(rmse, 2) as rmse, round(mape, 2) as mape,
+    round(directional_accuracy, 2) as directional_accuracy, true as holds from scores join catalog using (product_id)""", "scores", "catalog")
+define("ranges", ["features"], """
+  select product_id, count(*) as frame_rows, cast(max(quantity_sold) - min(quantity_sold) as double) as span from features group by 1""")
+define("errors", ["ranges", "tested", "ar_tested"], """
+  select product_id, model, frame_rows, count(*) as test_rows, avg((y - y_pred) / span * ((y - y_pred) / span)) as scaled_mse, avg(abs((y - y_pred) / span)) as scaled_mae
+  from (select product_id, 'Naive' as model, y, y_pred from tested union all select product_id, 'AR', y, y_pred from ar_tested
+    union all select product_id, 'GBT', y, null from tested) join ranges using (product_id) group by 1, 2, 3""")
+oracle("training_record", """
+  select product_id, model, 'evaluated' as status, test_rows as test_samples, frame_rows, frame_rows - test_rows as train_rows, test_rows,
+    round(scaled_mse, 4) as scaled_mse, round(scaled_mae, 4) as scaled_mae from errors""", "errors")
+oracle("selected_training", """
+  select product_id, model, test_samples, round(mae, 2) as mae, round(rmse, 2) as rmse, round(mape, 2) as mape, round(directional_accuracy, 2) as directional_accuracy
+  from ar_scores join catalog using (product_id) where category in ('fever', 'allergy')""", "ar_scores", "catalog")
 oracle("product_selection", """
   select w.product_id, case when c.product_id is null then 'unknown' else 'selected' end as status
   from (select distinct 'P' || lpad(cast(c_custkey % 40 as varchar), 3, '0') as product_id from customer) w left join catalog c using (product_id)""", "catalog")
@@ -334,7 +406,7 @@ oracle("product_selection", """
 oracle("safety_stock", "select product_id, safety_stock from rec", "rec")
 oracle("reorder_point", "select product_id, reorder_point from rec", "rec")
 TURNOVER = "case when {d} >= 90 then 'Fast-Moving' when {d} <= 45 then 'Slow-Moving' else 'Normal' end"
-oracle("turnover_class", f"select product_id, {TURNOVER.format(d='mean')} as turnover from trend", "trend")
+oracle("turnover_class", f"select product_id, {TURNOVER.format(d='round_even(mean, 1)')} as turnover from trend", "trend")
 oracle("recommend_stock", """
   select product_id, product_name, category, unit_price, season, predicted as predicted_demand, avg_daily_demand, lead_time_days, safety_stock,
     reorder_point, buffer_pct, buffer_units, recommended_stock, seasonal_factor from rec""", "rec")
@@ -357,6 +429,14 @@ oracle("business_kpis", """
     round_even((select sum(current_stock) from inventory)::double / greatest(1, sum(predicted)) * 30, 1) as coverage_days,
     cast(sum(recommended_stock) as bigint) as total_recommended, (select cast(sum(current_stock) as bigint) from inventory) as total_current,
     round_even(avg(seasonal_factor), 2) as avg_seasonal_factor from alerted""", "alerted", "inventory")
+define("demand_model", ["predicted30", "trend", "now_season", "catalog", "ar_days"], """
+  select p.product_id, coalesce(r.total, p.predicted) as predicted, t.mean, s.season, case when r.total is null then 'trend' else 'AR' end as model_type
+  from predicted30 p join trend t using (product_id)
+    left join (select product_id, cast(sum(quantity) as bigint) as total from ar_days join catalog using (product_id) where category <> 'diabetes' group by 1) r
+    using (product_id), now_season s""")
+define_recommendation("_model", "demand_model")
+oracle("model_first_forecast", """
+  select product_id, model_type, season, predicted as predicted_demand, safety_stock, reorder_point, recommended_stock from rec_model""", "rec_model")
 oracle("inventory_status", f"""
   select product_id, product_name, current_stock, recommended_stock, safety_stock, reorder_point, {TURNOVER.format(d='avg_daily_demand')} as turnover,
     case when share < 0.5e0 then 'Critical' when share < 0.8e0 then 'Low' when share > 1.3e0 then 'Overstock' else 'OK' end as status from alerted""", "alerted")
@@ -373,16 +453,17 @@ for name in ("inventory_upsert", "inventory_stream"):
 oracle("inventory_levels", "select product_id, current_stock from inventory", "inventory")
 oracle("inventory_backfill", """
   select coalesce(n.product_id, c.product_id) as product_id, coalesce(n.quantity, c.base_demand * 30) as current_stock, n.ts as last_updated
-  from catalog c full join (select product_id, greatest(0, arg_max(new_quantity, (ts, event_id))) as quantity, max(ts) as ts
-    from counts where value > 200 group by 1) n using (product_id)""", "catalog", "counts")
+  from catalog c full join (select product_id, greatest(0, arg_max(new_quantity, (ts, new_quantity))) as quantity, max(ts) as ts
+    from counts where category <> 'diabetes' group by 1) n using (product_id)""", "catalog", "counts")
 
 # --- reports ---------------------------------------------------------------------------------
 
-FORECAST_REPORT = f"""
-  select product_id, product_name, {TITLE} as category, unit_price, 30 as horizon_days, predicted as forecast, avg_daily_demand, safety_stock,
-    reorder_point, recommended_stock, buffer_pct, seasonal_factor, lead_time_days, current_stock from alerted"""
-oracle("forecast_report", FORECAST_REPORT, "alerted")
-oracle("export_csv", FORECAST_REPORT, "alerted")
+for span, source in ((30, "alerted"), (7, "alerted7"), (60, "alerted60")):
+    FORECAST_REPORT = f"""
+      select product_id, product_name, {TITLE} as category, unit_price, {span} as horizon_days, predicted as forecast, avg_daily_demand, safety_stock,
+        reorder_point, recommended_stock, buffer_pct, seasonal_factor, lead_time_days, current_stock from {source}"""
+    for name in ("forecast_report", "export_csv") if span == 30 else (f"forecast_report_{span}",):
+        oracle(name, FORECAST_REPORT, source)
 define("alert_lines", ["alerted"], """
   select product_name as product, alert_type, severity, current_stock, recommended_stock, reorder_point, coalesce(deficit, excess) as deficit_or_excess,
     cast(null as varchar) as status, message from alerted where alert_type is not null""")
@@ -401,7 +482,8 @@ oracle("export_report", """
 for name in (
     "scan_sales calendar_features week_cyclical season_features peak_season_flag lag_features rolling_stats "
     "rolling_stats_shifted feature_vector tabular_features eda_moving_average last_n_history minmax_scaled "
-    "inverse_scaled sequence_windows stock_ledger forecast_daily forecast_noisy forecast_band naive_forecast"
+    "inverse_scaled sequence_windows stock_ledger forecast_daily forecast_noisy forecast_band naive_forecast "
+    "ar_forecast ar_rollout actual_vs_predicted"
 ).split():
     as_text(name, "date")
 as_text("chrono_split", "last_train_date")

@@ -6,11 +6,14 @@ Queries whose columns are computed in floating point round them, so that both en
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stockloom import rules
 from stockloom.functions import stock_rules
+from stockloom.functions.numeric import half_even
 from stockloom.operators import (
     aggregates as agg, boosting, features as feats, forecast, inventory as inv, ledger, metrics, regression, series, stock,
 )
@@ -23,7 +26,6 @@ from stockloom.streaming.inventory_stream import apply_counts
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 PRODUCT = "P007"
-TREES = 20
 
 
 def register(name: str, function: Query) -> None:
@@ -55,6 +57,11 @@ def on_stored_features(name: str, function: Callable[[DataFrame], DataFrame]) ->
     register(name, lambda spark, sf_dir: function(stored_features(spark, sf_dir)))
 
 
+def on_last_rows(name: str, function: Callable[[DataFrame], DataFrame]) -> None:
+    """A query that reads the last rows of each series only."""
+    register(name, lambda spark, sf_dir: function(last_rows_of(spark, sf_dir)))
+
+
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -68,24 +75,29 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Store.of(spark, sf_dir).written_once("features", lambda: features_of(spark, sf_dir))
 
 
-def counts_of(events: DataFrame) -> DataFrame:
-    """Stock counts taken from purchase events."""
+def last_rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that trends and stock rules look back on."""
+    return feats.last_rows(Store.of(spark, sf_dir).sales, rules.WINDOW_ROWS)
+
+
+def counts_of(events: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Stock counts taken from purchase events: their value is the number of days that the stock lasts at base demand."""
     number = F.lit(1) + F.col("user_id") % 25
-    return events.filter("event_type = 'purchase'").select(
-        F.concat(F.lit("P"), F.lpad(number.cast("string"), 3, "0")).alias("product_id"),
-        (F.col("value") * 10).cast("int").alias("new_quantity"), "ts", "event_id",
-    )
+    counted = events.filter("event_type = 'purchase'").withColumn(
+        "product_id", F.concat(F.lit("P"), F.lpad(number.cast("string"), 3, "0")))
+    return counted.join(catalog, "product_id").select(
+        "product_id", "category", (F.col("value") * F.col("base_demand")).cast("int").alias("new_quantity"), "ts")
 
 
 def inventory_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default inventory after all counts."""
-    start = inv.defaults(Store.of(spark, sf_dir).catalog)
-    return inv.upsert(start, counts_of(table(spark, sf_dir, "events")), tie=("event_id",))
+    catalog = Store.of(spark, sf_dir).catalog
+    return inv.upsert(inv.defaults(catalog), counts_of(table(spark, sf_dir, "events"), catalog))
 
 
 def recommendations_of(spark: SparkSession, sf_dir: str, as_of: str | None = None, horizon: int = 30) -> DataFrame:
     store = Store.of(spark, sf_dir)
-    return stock.trend_recommendations(feats.series_features(store.sales), store.sales, store.catalog, as_of, horizon)
+    return stock.trend_recommendations(last_rows_of(spark, sf_dir), store.sales, store.catalog, as_of, horizon)
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -120,7 +132,7 @@ def derived_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 on_sales("sales_profile", sales_source.profile)
-on_sales("custom_sql", lambda sales: presets.run_sql(sales, presets.DEFAULT_QUERY))
+on_sales("custom_sql", lambda sales: presets.run_sql(sales, presets.EXAMPLE_QUERY))
 on_sales("parameter_sql", lambda sales: presets.run_sql(
     sales,
     "select product_name, count(*) as days, sum(quantity_sold) as total_sold from sales "
@@ -140,11 +152,11 @@ def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A three-sheet report; the result counts the lines of each sheet as read back."""
-    store, held, features = Store.of(spark, sf_dir), inventory_of(spark, sf_dir), stored_features(spark, sf_dir)
+    store, held = Store.of(spark, sf_dir), inventory_of(spark, sf_dir)
     sheets = {
-        "Forecasts": reports.forecast_report(store.sales, store.catalog, held, features=features),
-        "Alerts": reports.alerts_report(store.sales, store.catalog, held, features=features),
-        "Daily Sales": reports.daily_sales_report(features, store.catalog),
+        "Forecasts": reports.forecast_report(store.sales, store.catalog, held),
+        "Alerts": reports.alerts_report(store.sales, store.catalog, held),
+        "Daily Sales": reports.daily_sales_report(stored_features(spark, sf_dir), store.catalog),
     }
     folders = exports.export_report(sheets, scratch_path(spark, "workbook"), "parquet")
     counts = [
@@ -202,27 +214,14 @@ def expiry_risk_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- aggregates ------------------------------------------------------------------------------
 
 
-PRESET_KEYS = {
-    "preset_top10_products": "Top 10 Products by Total Sales",
-    "preset_monthly_trend": "Monthly Sales Trend",
-    "preset_seasonal_category": "Seasonal Demand by Category",
-    "preset_slow_bottom5": "Slow-Moving Products (Bottom 5 Avg Daily)",
-    "preset_fast_top5": "Fast-Moving Products (Top 5 Avg Daily)",
-    "preset_season_revenue": "Season-wise Revenue",
-    "expiry_risk_products": "Expiry Risk Products (Current High Stock)",
-    "preset_festival_vs_normal": "Festival Month vs Normal Month Demand",
-    "preset_yoy": "Year-over-Year Sales Comparison",
-    "low_stock_days": "Low Stock Days per Product",
-}
-for key, preset in PRESET_KEYS.items():
-    on_sales(key, presets.PRESETS[preset])
+for preset in presets.PRESETS:
+    on_sales(preset, presets.PRESETS[preset])
 
 on_sales("top_selling", agg.top_selling)
 on_sales("monthly_trend", agg.monthly_trend)
 on_sales("monthly_trend_tail", lambda sales: agg.tail(agg.monthly_trend(sales), 6, "month"))
 on_sales("seasonal_demand", agg.seasonal_demand)
-# The mean demand of the test products starts at about 36 units, hence a higher limit than the default.
-on_sales("slow_movers", lambda sales: agg.slow_movers(sales, 100.0))
+on_sales("slow_movers", lambda sales: agg.slow_movers(sales, None))
 on_sales("category_revenue", agg.category_revenue)
 on_sales("eda_monthly", lambda sales: rounded(agg.monthly_totals(sales), ("total_revenue",), 2))
 on_sales("eda_top_products", agg.top_products)
@@ -252,7 +251,7 @@ def catalog_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_features("eda_moving_average", lambda features: rounded(
     feats.moving_averages(features), ("ma_7", "ma_30")))
-on_features("last_n_history", lambda features: feats.history(features, 90))
+on_sales("last_n_history", lambda sales: feats.last_rows(sales, 90).select("product_id", "date", "quantity_sold"))
 on_features("chrono_split", lambda features: features.groupBy("product_id").agg(
     F.count_if(feats.is_train()).alias("train_rows"), F.count_if(~feats.is_train()).alias("test_rows"),
     F.max(F.when(feats.is_train(), F.col("date"))).alias("last_train_date")))
@@ -305,12 +304,12 @@ def stock_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- forecasts -------------------------------------------------------------------------------
 
 
-on_features("forecast_daily", lambda features: forecast.forecast_days(forecast.recent_trend(features), 30))
-on_features("forecast_total", lambda features: forecast.with_total(forecast.recent_trend(features), 30).select(
+on_last_rows("forecast_daily", lambda last: forecast.forecast_days(forecast.recent_trend(last), 30))
+on_last_rows("forecast_total", lambda last: forecast.with_total(forecast.recent_trend(last), 30).select(
     "product_id", "predicted_demand"))
-on_features("forecast_noisy", lambda features: forecast.noisy_forecast_days(forecast.recent_trend(features), 60))
-on_features("forecast_band", lambda features: rounded(forecast.with_band(
-    forecast.forecast_days(forecast.recent_trend(features), 30)), ("upper", "lower")))
+on_last_rows("forecast_noisy", lambda last: forecast.noisy_forecast_days(forecast.recent_trend(last), 60))
+on_last_rows("forecast_band", lambda last: rounded(forecast.with_band(
+    forecast.forecast_days(forecast.recent_trend(last), 30)), ("upper", "lower")))
 on_stored_features("naive_forecast", forecast.naive_forecast)
 on_stored_features("forecast_metrics", lambda features: metrics.forecast_metrics(
     forecast.naive_forecast(features).withColumn("model", F.lit(comparison.NAIVE))))
@@ -318,8 +317,12 @@ on_stored_features("forecast_metrics", lambda features: metrics.forecast_metrics
 
 @query
 def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = stored_features(spark, sf_dir)
-    return rounded(boosting.test_predictions(features, boosting.fit(features, TREES)), ("y_pred",))
+    """The pooled model of the stored comparison, applied again to the test rows."""
+    trained(spark, sf_dir)
+    store = Store.of(spark, sf_dir)
+    path = store.path_once("models", lambda path: None)
+    booster = PipelineModel.load(f"{path}/booster")
+    return rounded(boosting.test_predictions(spark.read.parquet(f"{path}/features"), booster), ("y_pred",))
 
 
 def ar_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +344,7 @@ def ar_product_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ar_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rows = ar_rows(spark, sf_dir)
-    return rounded(regression.test_predictions(rows, regression.fit(rows)), ("y", "y_pred"))
+    return rounded(regression.test_predictions(rows, regression.fit(rows)), ("y", "y_pred"), 3)
 
 
 @query
@@ -357,13 +360,13 @@ def actual_vs_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "weights")
     regression.save_weights(regression.fit(rows), path)
     tested = regression.test_predictions(rows, regression.load_weights(spark, path))
-    return tested.select("product_id", "date", F.round("y", 4).alias("actual"), F.round("y_pred", 4).alias("predicted"))
+    return tested.select("product_id", "date", F.round("y", 2).alias("actual"), F.round("y_pred", 2).alias("predicted"))
 
 
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored model comparison, trained at its first use."""
     store = Store.of(spark, sf_dir)
-    path = store.path_once("models", lambda path: comparison.train(store.sales, store.catalog, path, trees=TREES))
+    path = store.path_once("models", lambda path: comparison.train(store.sales, store.catalog, path))
     return comparison.load_comparison(spark, path)
 
 
@@ -373,6 +376,57 @@ def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trained(spark, sf_dir)
 
 
+@query
+def comparison_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison as far as it can be foretold: scores of the exact models, for the trees whether they beat the naive
+    forecast or come within a tenth of it."""
+    scores = trained(spark, sf_dir)
+    naive = scores.filter(F.col("model") == comparison.NAIVE).select("product_id", F.col("mae").alias("_naive"))
+    exact = F.col("model") != comparison.BOOSTED
+    figures = ("mae", "rmse", "mape", "directional_accuracy")
+    return scores.join(naive, "product_id").select(
+        "product_id", "product_name", "model", "test_samples", "status",
+        *[F.when(exact, F.round(F.col(c), 2)).alias(c) for c in figures],
+        (exact | (F.col("mae") < F.col("_naive") * 1.1)).alias("holds"))
+
+
+@query
+def training_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training record merged with the comparison; the trees' errors are left out."""
+    scores, store = trained(spark, sf_dir), Store.of(spark, sf_dir)
+    record = spark.read.parquet(f"{store.path_once('models', lambda path: None)}/record")
+    exact = F.col("model") != comparison.BOOSTED
+    return comparison.recorded(scores, record).select(
+        "product_id", "model", "status", "test_samples", "frame_rows", "train_rows", "test_rows",
+        *[F.when(exact, F.round(F.col(c), 4)).alias(c) for c in ("scaled_mse", "scaled_mae")])
+
+
+@query
+def selected_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence models of the products of two categories only, scored on their test spans."""
+    store = Store.of(spark, sf_dir)
+    wanted = store.catalog.filter("category in ('fever', 'allergy')").select("product_id")
+    scaled = feats.scaled(comparison.select_products(stored_features(spark, sf_dir), wanted))
+    rows = regression.regression_rows(scaled)
+    tested = regression.test_predictions(rows, regression.fit(rows)).withColumn("model", F.lit(comparison.SEQUENCE))
+    return rounded(metrics.forecast_metrics(tested), ("mae", "rmse", "mape", "directional_accuracy"), 2)
+
+
+@query
+def model_first_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demand and stock from the stored models of all categories but one, which falls back to the trend."""
+    store = Store.of(spark, sf_dir)
+    scaled, rows = ar_rows(spark, sf_dir)
+    modelled = store.catalog.filter("category <> 'diabetes'").select("product_id")
+    path = scratch_path(spark, "weights")
+    regression.save_weights(comparison.select_products(regression.fit(rows), modelled), path)
+    rolled = regression.roll_out(scaled, regression.load_weights(spark, path), 30)
+    total = forecast.with_total(forecast.recent_trend(last_rows_of(spark, sf_dir)), 30).drop("slope", "deviation", "last_date")
+    demand = stock.with_season(stock.model_first(total, rolled), store.sales)
+    return stock.recommend(demand, store.catalog).select(
+        "product_id", "model_type", "season", "predicted_demand", "safety_stock", "reorder_point", "recommended_stock")
+
+
 @query
 def best_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.ranked(trained(spark, sf_dir)).select(
@@ -396,7 +450,7 @@ def product_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store.of(spark, sf_dir)
-    means = forecast.recent_trend(features_of(spark, sf_dir)).select("product_id", "mean")
+    means = forecast.recent_trend(last_rows_of(spark, sf_dir)).select("product_id", "mean")
     return means.join(store.catalog, "product_id")
 
 
@@ -415,7 +469,7 @@ def reorder_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def turnover_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_daily_mean(spark, sf_dir).select(
-        "product_id", stock_rules.turnover_class("mean").alias("turnover"))
+        "product_id", stock_rules.turnover_class(half_even("mean", 1)).alias("turnover"))
 
 
 @query
@@ -426,7 +480,7 @@ def recommend_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def recommend_all_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recommendation and alert of every product in each of the four seasons."""
-    total = forecast.with_total(forecast.recent_trend(features_of(spark, sf_dir)), 30)
+    total = forecast.with_total(forecast.recent_trend(last_rows_of(spark, sf_dir)), 30)
     seasons = F.explode(F.array(*[F.lit(s) for s in rules.SEASON_MONTHS]))
     store = Store.of(spark, sf_dir)
     recommended = stock.recommend(total.withColumn("season", seasons), store.catalog)
@@ -473,7 +527,7 @@ def stock_vs_recommended(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def forecast_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store.of(spark, sf_dir)
-    rows = stock.horizon_recommendations(features_of(spark, sf_dir), store.sales, store.catalog)
+    rows = stock.horizon_recommendations(last_rows_of(spark, sf_dir), store.sales, store.catalog)
     return rows.select(
         "product_id", "horizon", "predicted_demand", "recommended_stock", "safety_stock", "reorder_point",
         "buffer_pct", "seasonal_factor", F.col("avg_forecast").cast("long").alias("avg_forecast"))
@@ -494,18 +548,18 @@ def inventory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inventory_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of some products only, the rest filled from the catalog."""
+    """Counts of all categories but one, which is filled from the catalog."""
     catalog = Store.of(spark, sf_dir).catalog
-    counted = inv.defaults(catalog).filter(F.lit(False))
-    large = counts_of(table(spark, sf_dir, "events").filter("value > 200"))
-    return inv.back_fill(inv.upsert(counted, large, tie=("event_id",)), catalog)
+    counts = counts_of(table(spark, sf_dir, "events"), catalog).filter("category <> 'diabetes'")
+    return inv.back_fill(inv.upsert(inv.defaults(catalog).limit(0), counts), catalog)
 
 
 @query
 def inventory_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels as read from the store after a bulk update."""
-    store = inventory_store.InventoryStore(spark, scratch_path(spark, "inventory"), Store.of(spark, sf_dir).catalog)
-    store.bulk_update(counts_of(table(spark, sf_dir, "events")), tie=("event_id",))
+    catalog = Store.of(spark, sf_dir).catalog
+    store = inventory_store.InventoryStore(spark, scratch_path(spark, "inventory"), catalog)
+    store.bulk_update(counts_of(table(spark, sf_dir, "events"), catalog))
     return store.stock_levels()
 
 
@@ -519,17 +573,21 @@ def inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     def open_store(session: SparkSession) -> inventory_store.InventoryStore:
         return inventory_store.InventoryStore(session, path, catalog)
 
-    apply_counts(counts_of(stream), open_store, scratch_path(spark, "stream"), tie=("event_id",)).awaitTermination()
+    apply_counts(counts_of(stream, catalog), open_store, scratch_path(spark, "stream")).awaitTermination()
     return open_store(spark).load()
 
 
 # --- reports ---------------------------------------------------------------------------------
 
 
-@query
-def forecast_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def forecast_report(spark: SparkSession, sf_dir: str, horizon: int = 30) -> DataFrame:
     store = Store.of(spark, sf_dir)
-    return reports.forecast_report(store.sales, store.catalog, inventory_of(spark, sf_dir))
+    return reports.forecast_report(store.sales, store.catalog, inventory_of(spark, sf_dir), horizon=horizon)
+
+
+register("forecast_report", forecast_report)
+for days in (7, 60):
+    register(f"forecast_report_{days}", partial(forecast_report, horizon=days))
 
 
 @query

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from stockloom import rules
+
 from stockloom.functions.numeric import half_even
 
 
@@ -57,8 +59,13 @@ def seasonal_demand(sales: DataFrame) -> DataFrame:
     )
 
 
-def slow_movers(sales: DataFrame, threshold: float) -> DataFrame:
-    """Products whose rounded mean demand is below ``threshold``."""
+def slow_movers(sales: DataFrame, threshold: float | None = rules.SLOW_MOVER_LIMIT) -> DataFrame:
+    """Products whose rounded mean demand is below ``threshold``, without one: below the mean over all sales rows."""
+    if threshold is None:
+        overall = sales.agg(F.avg("quantity_sold").alias("_limit"))
+        means = sales.groupBy("product_name", "category").agg(mean_units("avg_daily_demand"), units("total_sold"))
+        below = means.crossJoin(F.broadcast(overall)).filter("avg_daily_demand < _limit")  # one row
+        return below.drop("_limit").orderBy("avg_daily_demand", "product_name")
     return (
         sales.groupBy("product_name", "category")
         .agg(mean_units("avg_daily_demand"), units("total_sold"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from stockloom import rules
 from stockloom.functions import calendar
@@ -34,8 +34,8 @@ def series_features(
 ) -> DataFrame:
     """The feature frame of all series.
 
-    Lags and rolling figures count rows, not days, and see the full series; rows without all lags
-    are dropped afterwards. The rolling figures include the row itself unless ``shifted``. The peak
+    Lags and rolling figures count rows, not days, and see the full series; the first rows, which lack lags, are dropped
+    afterwards. A null quantity gives null lags and stays out of the rolling figures; its row is kept and numbered. The rolling figures include the row itself unless ``shifted``. The peak
     season goes by the category of the first row of the series. ``frame_no`` and ``frame_rows`` number
     the rows that are kept. All that follows from the date is added after the shuffle.
     """
@@ -52,7 +52,7 @@ def series_features(
         "rolling_std_7": F.coalesce(F.stddev_samp(quantity).over(week), F.lit(0.0)),
     }))
     if not keep_warm_up:
-        framed = framed.dropna(subset=[f"lag_{n}" for n in LAGS])
+        framed = framed.filter(F.col("row_no") > WARM_UP)
     return with_calendar(framed).withColumns({
         "is_peak_disease_season": calendar.peak_season_flag("season", "first_category" if first else "'unknown'"),
         "frame_no": F.col("row_no") - WARM_UP,
@@ -99,6 +99,28 @@ def moving_averages(features: DataFrame, series: Sequence[str] = SERIES, chunk_r
     )
 
 
+def last_rows(sales: DataFrame, rows: int, series: Sequence[str] = SERIES) -> DataFrame:
+    """The last ``rows`` rows of each series' feature frame: date, quantity and numbers, without lags.
+
+    Row counts per month (combined before the shuffle) tell which months hold these rows. Only those months are joined,
+    shuffled and numbered, from the end; the cost follows the number of series, not the length of their history.
+    """
+    bucketed = dated(sales).select(*series, "date", "quantity_sold").withColumn("_month", F.trunc("date", "month"))
+    whole = Window.partitionBy(*series)
+    later = whole.orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
+    months = bucketed.groupBy(*series, "_month").agg(F.count(F.lit(1)).alias("_rows")).select(
+        *series, "_month", F.sum("_rows").over(whole).alias("series_rows"),
+        F.coalesce(F.sum("_rows").over(later), F.lit(0)).alias("_after"),
+    ).filter(F.col("_after") < rows)
+    local = Window.partitionBy(*series, "_month").orderBy(F.desc("date"))
+    numbered = bucketed.join(months, [*series, "_month"]).withColumn("_from_end", F.col("_after") + F.row_number().over(local))
+    return numbered.filter(F.col("_from_end") <= rows).select(
+        *series, "date", "quantity_sold",
+        (F.col("series_rows") + 1 - F.col("_from_end") - WARM_UP).alias("frame_no"),
+        (F.col("series_rows") - WARM_UP).alias("frame_rows"),
+    ).filter("frame_no > 0")
+
+
 def history(features: DataFrame, rows: int, series: Sequence[str] = SERIES) -> DataFrame:
     """The last ``rows`` feature rows of each series."""
     return features.filter(F.col("frame_no") > F.col("frame_rows") - rows).select(*series, "date", "quantity_sold")

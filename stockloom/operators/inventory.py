@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from stockloom import rules
@@ -37,30 +35,30 @@ def back_fill(inventory: DataFrame, catalog: DataFrame) -> DataFrame:
     return inventory.unionByName(defaults(missing))
 
 
-def latest_counts(updates: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
-    """The latest count per product; ``tie`` decides between counts of the same moment.
+def latest_counts(updates: DataFrame) -> DataFrame:
+    """The latest count per product; of counts of the same moment the largest one.
 
     The newest value is kept while combining before the shuffle, so a product with very many counts
     costs one row per task. Negative counts become 0, fractions are cut off.
     """
-    newest = F.struct("ts", *tie)
-    return updates.groupBy("product_id").agg(
-        F.max_by("new_quantity", newest).alias("_quantity"), F.max("ts").alias("_ts")
-    ).select(
-        "product_id",
-        F.greatest(F.lit(0), F.col("_quantity").cast("int")).alias("_quantity"),
-        F.col("_ts").cast("timestamp_ntz").alias("_ts"),
-    )
+    quantity = F.greatest(F.lit(0), F.col("new_quantity").cast("int"))
+    newest = F.max(F.struct(F.col("ts").cast("timestamp_ntz").alias("ts"), quantity.alias("quantity")))
+    return updates.filter("ts is not null").groupBy("product_id").agg(newest.alias("_newest")).select(
+        "product_id", F.col("_newest.quantity").alias("_quantity"), F.col("_newest.ts").alias("_ts"))
 
 
-def upsert(inventory: DataFrame, updates: DataFrame, tie: Sequence[str] = ()) -> DataFrame:
+def upsert(inventory: DataFrame, updates: DataFrame) -> DataFrame:
     """Apply counts: product_id, new_quantity, ts. Unknown products are added.
 
-    A count older than the stored one is ignored, so applying a batch again changes nothing.
+    A count that is older than the stored one, or of the same moment and smaller, is ignored. So the result doesn't depend
+    on how counts fall into batches, and applying a batch again changes nothing.
     """
-    counts = latest_counts(updates, tie)
-    stale = F.col("_ts") < F.col("last_updated")
-    use_new = F.col("_ts").isNotNull() & ~F.coalesce(stale, F.lit(False))
+    counts = latest_counts(updates)
+    def moment(time: str, quantity: str):
+        return F.struct(F.col(time).alias("time"), F.col(quantity).alias("quantity"))
+
+    stale = moment("_ts", "_quantity") < moment("last_updated", "current_stock")
+    use_new = F.col("_ts").isNotNull() & (F.col("last_updated").isNull() | ~stale)
     return inventory.join(counts, "product_id", "full_outer").select(
         "product_id",
         F.when(use_new, F.col("_quantity")).otherwise(F.col("current_stock")).alias("current_stock"),

@@ -46,6 +46,15 @@ def trend_recommendations(
     return recommend(with_season(total, sales, as_of), catalog)
 
 
+def model_first(totals: DataFrame, rolled_out: DataFrame) -> DataFrame:
+    """Demand from the stored model's roll-out where there is one, else from the trend; ``model_type`` names which."""
+    rolled = rolled_out.groupBy("product_id").agg(F.sum("quantity").alias("_rolled"))
+    return totals.join(rolled, "product_id", "left").withColumns({
+        "model_type": F.when(F.col("_rolled").isNull(), "trend").otherwise("AR"),
+        "predicted_demand": F.coalesce("_rolled", "predicted_demand"),
+    }).drop("_rolled")
+
+
 def with_stock(recommendations: DataFrame, inventory: DataFrame) -> DataFrame:
     """Add ``current_stock``; a product without a count has 0."""
     counted = inventory.select("product_id", F.col("current_stock").cast("long").alias("_counted"))

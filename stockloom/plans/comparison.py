@@ -52,32 +52,51 @@ def predictions(
 
 
 def compare(products: DataFrame, tested: DataFrame) -> DataFrame:
-    """Accuracy per product and model; products whose series is too short have a status instead."""
+    """Accuracy per product and model. A model for whose test span a series is too short has a status instead; that is so
+    for the sequence model first."""
     scores = forecast_metrics(tested)
-    return products.select("product_id", "product_name").join(scores, "product_id", "left").withColumn(
-        "status", F.when(F.col("model").isNull(), "too_short").otherwise("evaluated")
+    models = F.explode(F.array(*[F.lit(m) for m in (NAIVE, BOOSTED, SEQUENCE)])).alias("model")
+    return products.select("product_id", "product_name", models).join(scores, ["product_id", "model"], "left").withColumn(
+        "status", F.when(F.col("test_samples").isNull(), "too_short").otherwise("evaluated")
     )
 
 
+def training_record(features: DataFrame, tested: DataFrame) -> DataFrame:
+    """Per product and model: rows of the feature frame, training and test rows, and the errors in units scaled by the
+    product's range. Seconds per product mean nothing in a pooled job and aren't kept."""
+    spans = features.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("frame_rows"),
+        (F.max("quantity_sold") - F.min("quantity_sold")).cast("double").alias("_range"))
+    error = (F.col("y") - F.col("y_pred")) / F.nullif(F.col("_range"), F.lit(0.0))
+    return tested.join(spans, "product_id").groupBy("product_id", "model", "frame_rows").agg(
+        F.count(F.lit(1)).alias("test_rows"), F.avg(error * error).alias("scaled_mse"), F.avg(F.abs(error)).alias("scaled_mae"),
+    ).withColumn("train_rows", F.col("frame_rows") - F.col("test_rows"))
+
+
+def recorded(comparison: DataFrame, record: DataFrame) -> DataFrame:
+    """The comparison with the training record beside each score."""
+    return comparison.join(record, ["product_id", "model"], "left")
+
+
 def ranked(comparison: DataFrame) -> DataFrame:
     """The models of each product by MAE, the best one noted."""
     order = Window.partitionBy("product_id").orderBy("mae", "model")
     return (
-        comparison.filter(F.col("model").isNotNull())
+        comparison.filter("status = 'evaluated'")
         .withColumn("rank", F.row_number().over(order))
         .withColumn("notes", F.when(F.col("rank") == 1, "Best").otherwise(""))
     )
 
 
 def nested(comparison: DataFrame) -> DataFrame:
-    """One row per product with the scores of each model as a struct."""
+    """One row per product with the scores of each model as a struct; the status is that of its worst model."""
     def scores(model: str):
         fields = F.struct("mae", "rmse", "mape", "directional_accuracy")
-        return F.max(F.when(F.col("model") == model, fields)).alias(model)
+        return F.max(F.when((F.col("model") == model) & F.col("mae").isNotNull(), fields)).alias(model)
 
     return (
-        comparison.groupBy("product_id", "product_name", "status")
-        .agg(scores(NAIVE), scores(BOOSTED), scores(SEQUENCE))
+        comparison.groupBy("product_id", "product_name")
+        .agg(F.max("status").alias("status"), scores(NAIVE), scores(BOOSTED), scores(SEQUENCE))
         .select(
             "product_id", F.col("product_name").alias("name"), "status",
             F.struct(NAIVE, BOOSTED, SEQUENCE).alias("comparison"),
@@ -129,4 +148,5 @@ def train(
         booster=PipelineModel.load(f"{path}/booster"), weights=regression.load_weights(spark, f"{path}/weights"),
     )
     save_comparison(compare(catalog, tested), path)
+    training_record(features, tested).write.mode("overwrite").parquet(f"{path}/record")
     return load_comparison(spark, path)

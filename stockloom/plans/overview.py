@@ -10,7 +10,7 @@ from stockloom import rules
 from stockloom.functions import stock_rules
 from stockloom.functions.numeric import half_even
 from stockloom.operators import stock
-from stockloom.operators.features import series_features
+from stockloom.operators.features import last_rows
 
 
 def stock_status_table(
@@ -23,7 +23,7 @@ def stock_status_table(
     slow: float = rules.SLOW_UNITS,
 ) -> DataFrame:
     """Forecast, recommendation, stock, turnover class and alert status of every product."""
-    recommended = stock.trend_recommendations(series_features(sales), sales, catalog, as_of, horizon)
+    recommended = stock.trend_recommendations(last_rows(sales, rules.WINDOW_ROWS), sales, catalog, as_of, horizon)
     return (
         stock.with_alert(stock.with_stock(recommended, inventory))
         .select(

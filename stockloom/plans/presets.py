@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.operators import aggregates as agg
 
-DEFAULT_QUERY = "select product_name, sum(quantity_sold) as total_sold from sales group by product_name order by total_sold desc"
+EXAMPLE_QUERY = """
+    select category, season, count(distinct product_id) as products, sum(quantity_sold) as units
+    from sales where quantity_sold > 0 group by category, season"""
 
 
 def _by_mean(sales: DataFrame, fastest: bool) -> DataFrame:
@@ -22,7 +25,11 @@ def _by_mean(sales: DataFrame, fastest: bool) -> DataFrame:
 
 
 def top10_products(sales: DataFrame) -> DataFrame:
-    return agg.top_selling(sales, 10).select("product_name", "total_sold", "avg_daily")
+    """By name alone: a name sold in two categories is one line."""
+    return (
+        sales.groupBy("product_name").agg(agg.units("total_sold"), agg.mean_units())
+        .orderBy(F.desc("total_sold"), "product_name").limit(10)
+    )
 
 
 def monthly_sales(sales: DataFrame) -> DataFrame:
@@ -62,17 +69,18 @@ def festival_demand(sales: DataFrame) -> DataFrame:
     )
 
 
+#: By the names of the registered queries.
 PRESETS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "Top 10 Products by Total Sales": top10_products,
-    "Monthly Sales Trend": monthly_sales,
-    "Seasonal Demand by Category": seasonal_category,
-    "Slow-Moving Products (Bottom 5 Avg Daily)": lambda sales: _by_mean(sales, fastest=False),
-    "Fast-Moving Products (Top 5 Avg Daily)": lambda sales: _by_mean(sales, fastest=True),
-    "Season-wise Revenue": season_revenue,
-    "Expiry Risk Products (Current High Stock)": expiry_risk,
-    "Festival Month vs Normal Month Demand": festival_demand,
-    "Year-over-Year Sales Comparison": agg.yearly_totals,
-    "Low Stock Days per Product": agg.low_stock_days,
+    "preset_top10_products": top10_products,
+    "preset_monthly_trend": monthly_sales,
+    "preset_seasonal_category": seasonal_category,
+    "preset_slow_bottom5": lambda sales: _by_mean(sales, fastest=False),
+    "preset_fast_top5": lambda sales: _by_mean(sales, fastest=True),
+    "preset_season_revenue": season_revenue,
+    "expiry_risk_products": expiry_risk,
+    "preset_festival_vs_normal": festival_demand,
+    "preset_yoy": agg.yearly_totals,
+    "low_stock_days": agg.low_stock_days,
 }
 
 
@@ -87,5 +95,9 @@ def run_sql(sales: DataFrame, text: str, **params) -> DataFrame:
     change tables or settings do not parse.
     """
     spark: SparkSession = sales.sparkSession
-    sales.createOrReplaceTempView("sales")
-    return spark.sql(f"select * from (\n{text.strip().rstrip(';')}\n)", args=params or None)
+    view = f"sales_{uuid.uuid4().hex}"
+    sales.createOrReplaceTempView(view)
+    try:
+        return spark.sql(f"with sales as (select * from {view}) select * from (\n{text.strip().rstrip(';')}\n)", args=params or None)
+    finally:
+        spark.catalog.dropTempView(view)  # the plan is resolved by now

@@ -10,7 +10,8 @@ from stockloom import rules
 from stockloom.functions import alerts as alert_rules
 from stockloom.operators import stock
 from stockloom.operators.aggregates import tail
-from stockloom.operators.features import series_features
+from stockloom.operators.features import last_rows
+from stockloom.session import scratch_path
 from stockloom.sources.sales import with_revenue
 
 
@@ -20,11 +21,9 @@ def forecast_report(
     inventory: DataFrame,
     as_of: date | str | None = None,
     horizon: int = 30,
-    features: DataFrame | None = None,
 ) -> DataFrame:
-    """One line per product. ``features`` is the feature frame of the sales, where one is stored."""
-    features = series_features(sales) if features is None else features
-    recommended = stock.trend_recommendations(features, sales, catalog, as_of, horizon)
+    """One line per product."""
+    recommended = stock.trend_recommendations(last_rows(sales, rules.WINDOW_ROWS), sales, catalog, as_of, horizon)
     return stock.with_stock(recommended, inventory).select(
         "product_id", "product_name", F.initcap("category").alias("category"), "unit_price",
         F.lit(horizon).alias("horizon_days"), F.col("predicted_demand").alias("forecast"),
@@ -39,16 +38,17 @@ def alerts_report(
     inventory: DataFrame,
     as_of: date | str | None = None,
     horizon: int = 30,
-    features: DataFrame | None = None,
 ) -> DataFrame:
-    """The alerts, or one row saying that there are none."""
-    features = series_features(sales) if features is None else features
-    recommended = stock.trend_recommendations(features, sales, catalog, as_of, horizon)
+    """The alerts, or one row saying that there are none. The alerts are written once and read for both cases."""
+    recommended = stock.trend_recommendations(last_rows(sales, rules.WINDOW_ROWS), sales, catalog, as_of, horizon)
     listed = stock.unsorted_alerts(recommended, inventory).select(
         F.col("product_name").alias("product"), "alert_type", "severity", "current_stock", "recommended_stock",
         "reorder_point", F.coalesce("deficit", "excess").alias("deficit_or_excess"),
         F.lit(None).cast("string").alias("status"), "message", "product_id",
     )
+    path = scratch_path(sales.sparkSession, "alert_lines")
+    listed.write.parquet(path)
+    listed = sales.sparkSession.read.schema(listed.schema).parquet(path)
     counted = listed.limit(1).agg(F.count(F.lit(1)).alias("_n"))
     status, message = rules.NO_ALERTS
     healthy = counted.filter("_n = 0").select(*[

@@ -47,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything this application has written to ``scratch_path``; tables read from there are gone then."""
+    from stockloom.sources import files
+
+    files.remove(spark, f"{shared_dir(spark)}/stockloom/{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path nobody wrote to before, in the shared folder."""
     return f"{shared_dir(spark)}/stockloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,17 +1,20 @@
 """Inventory on storage: numbered snapshots, the highest one is current.
 
-A change writes the whole next snapshot (one row per product) and never touches earlier ones. A
-failed write leaves no files in its folder, so readers keep seeing the snapshot before.
+A change writes the whole next snapshot (one row per product) next to the earlier ones. A snapshot counts only
+with its success marker, which is written last: while a write runs, and after it failed, readers see the snapshot
+before. The newest snapshots are kept, older ones are removed after a write.
 """
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stockloom.operators import inventory as ops
+from stockloom.sources import files
+
+KEPT = 5
 
 
 class InventoryStore:
@@ -19,14 +22,8 @@ class InventoryStore:
         self.spark, self.path, self.catalog = spark, path, catalog
 
     def _newest(self) -> int | None:
-        schema = T.StructType([*ops.INVENTORY_SCHEMA, T.StructField("snapshot", T.LongType())])
-        try:
-            rows = self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as missing:
-            if "PATH_NOT_FOUND" in (missing.getCondition() or ""):
-                return None
-            raise
-        return rows.agg(F.max("snapshot")).first()[0]
+        found = files.numbered(self.spark, self.path, "snapshot")
+        return found[-1] if found else None
 
     def _read(self, snapshot: int) -> DataFrame:
         return self.spark.read.schema(ops.INVENTORY_SCHEMA).parquet(f"{self.path}/snapshot={snapshot}")
@@ -46,12 +43,14 @@ class InventoryStore:
         inventory.select("product_id", "current_stock", "last_updated").write.mode("overwrite").parquet(
             f"{self.path}/snapshot={snapshot}"
         )
+        for old in files.numbered(self.spark, self.path, "snapshot")[:-KEPT]:
+            files.remove(self.spark, f"{self.path}/snapshot={old}")
 
-    def bulk_update(self, updates: DataFrame, tie=()) -> None:
+    def bulk_update(self, updates: DataFrame) -> None:
         """Apply counts (product_id, new_quantity and optionally ts, by default the time of the call)."""
         if "ts" not in updates.columns:
-            updates = updates.withColumn("ts", F.date_trunc("second", F.current_timestamp()).cast("timestamp_ntz"))
-        self.save(ops.upsert(self.load(), updates, tie))
+            updates = updates.withColumn("ts", F.current_timestamp().cast("timestamp_ntz"))
+        self.save(ops.upsert(self.load(), updates))
 
     def update_stock(self, product_id: str, new_quantity: float, ts: datetime | None = None) -> None:
         row, schema = (product_id, float(new_quantity)), "product_id string, new_quantity double"

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from stockloom.sources import files
 
 SALES_SCHEMA = T.StructType([
     T.StructField("date", T.StringType(), False),
@@ -38,18 +40,26 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _required(name: str) -> Column:
+    return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is missing in a row of the sales"))).otherwise(F.col(name))
+
+
 def load_table(spark: SparkSession, rows: DataFrame, path: str, force_reload: bool = False) -> DataFrame:
-    """Store ``rows`` as the sales table unless a non-empty one is there, and return the table.
+    """Store ``rows`` as the sales table unless a complete, non-empty one is there, and return the table.
 
-    Rows are placed by product and year and sorted by product and date inside the files, so that
-    filters on either skip row groups and a product with very many rows is spread over many files.
+    Rows are placed by product and year and sorted by product and date inside the files, so that filters on either skip
+    row groups; parts that grow too large, also of one product and year, are split. A load that died half-way has left no
+    success marker and is done again. A row without date, product or quantity fails the load.
     """
-    stored = None if force_reload else read_table(spark, path)
+    stored = None if force_reload or not files.is_complete(spark, path) else read_table(spark, path)
     if stored is None or stored.isEmpty():
+        required = {f.name: _required(f.name) for f in SALES_SCHEMA if not f.nullable}
         (
-            rows.select(*SALES_COLUMNS)
-            .repartition("product_id", F.substring("date", 1, 4))
+            rows.select(*[required.get(c, F.col(c)).alias(c) for c in SALES_COLUMNS])
+            .withColumn("_year", F.substring("date", 1, 4))
+            .hint("rebalance", "product_id", "_year")
             .sortWithinPartitions("product_id", "date")
+            .drop("_year")
             .write.mode("overwrite")
             .parquet(path)
         )

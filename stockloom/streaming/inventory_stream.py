@@ -11,7 +11,7 @@ from stockloom.sources.inventory_store import InventoryStore
 
 
 def apply_counts(
-    counts: DataFrame, open_store: Callable[..., InventoryStore], checkpoint: str, tie=()
+    counts: DataFrame, open_store: Callable[..., InventoryStore], checkpoint: str
 ) -> StreamingQuery:
     """Apply a stream of counts (product_id, new_quantity, ts) until its source is used up.
 
@@ -20,7 +20,7 @@ def apply_counts(
     """
 
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
-        open_store(batch.sparkSession).bulk_update(batch, tie)
+        open_store(batch.sparkSession).bulk_update(batch)
 
     return (
         counts.writeStream.foreachBatch(apply_batch)

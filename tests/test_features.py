@@ -66,3 +66,20 @@ def test_split_keeps_order(make_sales):
     assert {r.t: r["count"] for r in counts} == {True: 852, False: 214}
     sets = feats.training_set(features).groupBy("is_train").count().collect()
     assert {r.is_train: r["count"] for r in sets} == {True: 828, False: 208}
+
+
+def test_numbers_agree_with_kept_rows_when_a_quantity_is_null(make_sales):
+    sales = make_sales({"A": range(1, 101)}).withColumn("quantity_sold", F.when(F.col("date") != "2022-02-20", F.col("quantity_sold")))
+    rows = feats.series_features(sales).orderBy("frame_no").collect()
+    assert [r.frame_no for r in rows] == list(range(1, 71)) and {r.frame_rows for r in rows} == {70}
+
+
+def test_last_rows_equal_the_end_of_the_feature_frame(make_sales):
+    sales = make_sales({"A": range(1, 201), "B": range(1, 51), "C": range(1, 20), "D": range(1, 32)})
+    columns = ("product_id", "date", "quantity_sold", "frame_no", "frame_rows")
+    features = feats.series_features(sales)
+    for n in (1, 30, 90):
+        wanted = features.filter(features.frame_no > features.frame_rows - n).select(*columns)
+        assert sorted(feats.last_rows(sales, n).select(*columns).collect()) == sorted(wanted.collect())
+    plan = feats.last_rows(sales, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "lag(" not in plan

@@ -34,11 +34,11 @@ def test_defaults_of_the_catalog(catalog):
 
 def test_upsert_latest_wins_and_clamps(spark, catalog):
     counts = updates(spark, ("P001", 7.9, 2, 1), ("P001", 5, 1, 9), ("P002", 1, 3, 1), ("P002", 2, 3, 2), ("X", -5, 1, 1))
-    got = inv.upsert(inv.defaults(catalog), counts, tie=("n",))
+    got = inv.upsert(inv.defaults(catalog), counts)
     assert got.count() == 13
     found = levels(got)
     assert (found["P001"], found["P002"], found["X"], found["P003"]) == (7, 2, 0, 1800)
-    assert levels(inv.upsert(got, counts, tie=("n",))) == found
+    assert levels(inv.upsert(got, counts)) == found
     stale = inv.upsert(got, updates(spark, ("P001", 99, 1, 1), ("P002", 50, 4, 1)))
     assert (levels(stale)["P001"], levels(stale)["P002"]) == (7, 50)
 
@@ -75,8 +75,35 @@ def test_stream_equals_batch_and_ignores_late_counts(spark, catalog, tmp_path):
     for part in (first, second):
         part.coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(first.schema).parquet(source)
-        apply_counts(stream, open_store, str(tmp_path / "cp"), tie=("n",)).awaitTermination()
+        apply_counts(stream, open_store, str(tmp_path / "cp")).awaitTermination()
     got = levels(open_store(spark).load())
     assert (got["P001"], got["P002"], got["P003"]) == (10, 21, 30)
-    batch = inv.upsert(inv.defaults(catalog), first.unionByName(second), tie=("n",))
+    batch = inv.upsert(inv.defaults(catalog), first.unionByName(second))
     assert got == levels(batch)
+
+
+def test_equal_times_give_the_same_in_one_batch_and_in_two(spark, catalog):
+    one, two = updates(spark, ("P001", 50, 5, 1), ("P002", 7, 5, 1)), updates(spark, ("P001", 30, 5, 2), ("P002", 9, 5, 2))
+    start = inv.defaults(catalog)
+    at_once = levels(inv.upsert(start, one.unionByName(two)))
+    assert (at_once["P001"], at_once["P002"]) == (50, 9)
+    assert at_once == levels(inv.upsert(inv.upsert(start, one), two)) == levels(inv.upsert(inv.upsert(start, two), one))
+
+
+def test_half_written_snapshot_is_not_served(spark, catalog, tmp_path):
+    store = InventoryStore(spark, str(tmp_path / "inv"), catalog)
+    store.update_stock("P001", 7)
+    before = levels(store.stock_levels())
+    inv.defaults(catalog).limit(3).write.parquet(str(tmp_path / "inv" / "snapshot=9"))
+    (tmp_path / "inv" / "snapshot=9" / "_SUCCESS").unlink()
+    assert levels(store.stock_levels()) == before and before["P001"] == 7
+    store.update_stock("P002", 8)
+    assert (levels(store.stock_levels())["P001"], levels(store.stock_levels())["P002"]) == (7, 8)
+
+
+def test_old_snapshots_are_removed(spark, catalog, tmp_path):
+    store = InventoryStore(spark, str(tmp_path / "inv"), catalog)
+    for n in range(8):
+        store.update_stock("P001", n)
+    assert len(list((tmp_path / "inv").glob("snapshot=*"))) == 5
+    assert levels(store.stock_levels())["P001"] == 7
