@@ -21,11 +21,14 @@ BOILERPLATE_TAGS = set("nav footer aside form dialog menu select search header n
 MAIN_TAGS = {"article", "main"}
 MAIN_NAMES = set("article main content post entry story articlebody maincontent postcontent".split())
 BOILERPLATE_NAMES = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies "
-    "disqus footer footnav gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification "
-    "pager pagination popup promo promoted recommended related replies reply respond share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split())
-READER_NAMES = set("comment comments disqus replies reply respond discussion".split())
+    "ad ads adbox adslot adsbygoogle advert adverts advertisement advertising alert banner breadcrumb breadcrumbs consent cookie "
+    "cookies cookiebar disclaimer footer footnav gdpr header login mainmenu masthead menu menubar modal nav navbar navigation "
+    "navmenu newsletter notice notices notification pagefooter pageheader pager pagination popup privacy promo promoted rail "
+    "recommended related share sharing sidebar signup sitefooter siteheader skip social sponsor sponsored subscribe subscription "
+    "tagcloud toolbar topbar topmenu topnav widget widgets".split())
+READER_NAMES = set(
+    "comment comments commentarea commentbox commentform commentlist commentsection discussion disqus feedback reactions replies "
+    "reply respond responses".split())
 ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"

@@ -17,10 +17,10 @@ def usable(vector: str | Column) -> Column:
 
 def one_per_id(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """``vec_id, vector`` (doubles, null if it takes no part), one row per id: of rows that repeat an id, the usable
-    vector that sorts first. Vectors of another length than most take no part."""
+    vector that sorts first. Vectors without id and those of another length than most take no part."""
     named = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
-    single = written(
-        named.groupBy("vec_id").agg(F.min(F.when(usable("vector"), F.col("vector"))).alias("vector")), "vectors")
+    taking_part = F.when(F.col("vec_id").isNotNull() & usable("vector"), F.col("vector"))
+    single = written(named.groupBy("vec_id").agg(F.min(taking_part).alias("vector")), "vectors")
     size = F.size("vector")
     common = single.filter("vector is not null").groupBy(size.alias("size")).count().orderBy(F.desc("count"), "size").first()
     if common is None:

@@ -119,7 +119,7 @@ def test_classes_without_vectors(spark):
 
 
 def test_rotation_balances_and_preserves():
-    rows = itq.unit(clustered(2000, 64, 6))
+    rows = itq.unit(clustered(2000, 64, 6).astype(np.float64))
     rotation = itq.fit(rows)
     turned = rotation.axes.T @ rotation.axes
     assert np.allclose(turned, np.eye(64), atol=1e-8)
