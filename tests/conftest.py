@@ -8,7 +8,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from stockloom.session import build_session  # noqa: E402
+from stockloom.session import build_session, clear_scratch  # noqa: E402
 from stockloom.sources.sales import SALES_SCHEMA  # noqa: E402
 
 
@@ -22,7 +22,8 @@ def spark():
         spark__ui__showConsoleProgress="false",
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    clear_scratch(session)
 
 
 def sales_rows(product_id, quantities, category="fever", start=date(2022, 1, 1), price=2.5, lead=3):
