@@ -6,6 +6,7 @@ and its training scales with rows, not with the number of products.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,6 +19,10 @@ from stockloom.operators.features import is_train
 from stockloom.operators.series import SERIES
 
 
+#: Training rows of a task. Each level of each tree is a job over all tasks, so that small tasks cost more than they save.
+TASK_ROWS = 25_000
+
+
 def fit(features: DataFrame, trees: int = 300, seed: int = 42) -> PipelineModel:
     """Train on the training rows of all series."""
     inputs = VectorAssembler(inputCols=list(rules.TABULAR_FEATURES), outputCol="_x")
@@ -27,7 +32,7 @@ def fit(features: DataFrame, trees: int = 300, seed: int = 42) -> PipelineModel:
         seed=seed, maxMemoryInMB=1024,
     )
     train = features.filter(is_train()).select(*rules.TABULAR_FEATURES, "quantity_sold")
-    return Pipeline(stages=[inputs, booster]).fit(train)
+    return Pipeline(stages=[inputs, booster]).fit(train.coalesce(math.ceil(train.count() / TASK_ROWS) or 1))
 
 
 def test_predictions(features: DataFrame, model: PipelineModel, series: Sequence[str] = SERIES) -> DataFrame:
