@@ -37,6 +37,22 @@ def op2_iterative_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itq.classes(table(spark, sf_dir, "embeddings"))
 
 
+#: All pairs, and all that is reachable through them.
+ORACLES["op2_iterative_quantisation"] = """
+with recursive v as materialized (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where len(embedding) > 0 and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+    and len([x for x in embedding if x <> 0]) > 0),
+near as materialized (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select vec_id as a, vec_id as b from v union select r.a, n.b from reach r join near n on r.b = n.a),
+links as (select a, count(*) as n from near group by a),
+least as (select a, min(b) as b from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, coalesce(b, vec_id) as component_id, coalesce(b, vec_id) = vec_id as kept
+from embeddings left join links on links.a = vec_id left join least on least.a = vec_id
+"""
+
+
 @query
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, and the output shards that hold its copies."""
