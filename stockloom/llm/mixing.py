@@ -18,10 +18,9 @@ from stockloom.llm.common import word_count, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
-#: Blocks of a source: about one for each BLOCK_WORDS words, at most BLOCKS. A draw is exact to one block.
+#: Blocks of a source: about one for each BLOCK_WORDS words, at most BLOCKS. A draw misses by half of the smallest block
+#: that it leaves out at most.
 BLOCK_WORDS, BLOCKS = 64, 4096
-#: Blocks that may be drawn out of turn to come nearer to a target.
-CLOSING = 3
 SHARDS = 16
 SEED = 20
 
@@ -157,8 +156,8 @@ def plan_of(
 ) -> Plan:
     """What the mix takes of ``rows`` (``doc_id, source, size``).
 
-    Whole passes over a source are taken as often as they fit into its target, then permuted blocks while they fit, then
-    up to CLOSING blocks out of turn that bring the sum nearer to the target.
+    Whole passes over a source are taken as often as they fit into its target, then each permuted block that fits into what
+    is left, then one more block if that brings the sum nearer to the target.
     """
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     planned = written(
@@ -185,25 +184,49 @@ def plan_of(
     return Plan(planned, written(taken, "taken_blocks"), seed)
 
 
+def filled(blocks: Column, rest: Column) -> Column:
+    """``gap, taken, left``: block by block, one that fits into what is left of ``rest`` is taken, another one is left out."""
+    none = F.array().cast("array<struct<block:bigint,words:bigint>>")
+
+    def turn(s, b):
+        fits = (b["words"] <= s["gap"]) & (s["gap"] > 0)
+        return F.when(fits, F.struct(
+            (s["gap"] - b["words"]).alias("gap"), F.concat(s["taken"], F.array(b)).alias("taken"), s["left"].alias("left"))).otherwise(
+            F.struct(s["gap"].alias("gap"), s["taken"].alias("taken"), F.concat(s["left"], F.array(b)).alias("left")))
+
+    return F.aggregate(blocks, F.struct(rest.cast("double").alias("gap"), none.alias("taken"), none.alias("left")), turn)
+
+
+def closed(draw: Column) -> Column:
+    """``miss, chosen``: the taken blocks, and the smallest one left out if the sum is nearer to the target with it."""
+    least = F.array_min(F.transform(draw["left"], lambda b: F.struct(b["words"].alias("words"), b["block"].alias("block"))))
+    chosen = F.transform(draw["taken"], lambda b: b["block"])
+    over = least["words"] - draw["gap"]
+    return F.when(over < draw["gap"], F.struct(
+        over.alias("miss"), F.concat(chosen, F.array(least["block"])).alias("chosen"))).otherwise(
+        F.struct(draw["gap"].alias("miss"), chosen.alias("chosen")))
+
+
 def drawn_blocks(sizes: DataFrame, plan: DataFrame) -> DataFrame:
     """``place, block, passes, drawn, position, extra, held``: whether a block is drawn beyond the whole passes, its position
-    among its source's ``held`` blocks, and how many blocks before it are drawn."""
+    among its source's ``held`` blocks, and how many blocks before it are drawn.
+
+    A source is one row with at most BLOCKS blocks. Where all that fits is less than the rest, because a very large block
+    came too late, the blocks left out take the first turns; the draw that comes nearer counts.
+    """
+    rest = F.col("target") - F.col("passes") * F.col("source_size")
+    pair = F.struct(F.col("block").cast("long").alias("block"), F.col("words").cast("long").alias("words"))
+    first = written(
+        sizes.groupBy("place").agg(F.sort_array(F.collect_list(pair)).alias("blocks")).join(plan, "place").select(
+            "place", "passes", "blocks", rest.alias("rest")).withColumn("draw", filled(F.col("blocks"), F.col("rest"))), "draws")
+    second = filled(F.concat("draw.left", "draw.taken"), F.col("rest"))
+    both = F.array(closed(F.col("draw")), F.transform(F.array(second), closed)[0])
+    chosen = F.transform(F.array(both), lambda d: F.when(d[1]["miss"] < d[0]["miss"], d[1]["chosen"]).otherwise(d[0]["chosen"]))[0]
+    drawn = written(first.select("place", "passes", "blocks", chosen.alias("chosen")), "chosen_blocks").select(
+        "place", "passes", F.explode(F.transform("blocks", lambda b: F.struct(
+            b["block"].alias("block"), F.array_contains("chosen", b["block"]).alias("drawn")))).alias("b")).select(
+        "place", "b.block", "passes", "b.drawn")
     per_source, upto = Window.partitionBy("place"), Window.partitionBy("place").orderBy("block")
-    laid = sizes.join(plan, "place").withColumns({
-        "rest": F.col("target") - F.col("passes") * F.col("source_size"),
-        "filled": F.sum("words").over(upto.rowsBetween(Window.unboundedPreceding, 0))})
-    fits = (F.col("filled") <= F.col("rest")) & (F.col("rest") > 0)
-    gap = F.col("rest") - F.coalesce(F.max(F.when(fits, F.col("filled"))).over(per_source), F.lit(0))
-    drawn = laid.withColumns({"drawn": fits, "gap": gap})
-    for closing in range(CLOSING):
-        # the largest block left that fits; at last the one that comes nearest, if it comes nearer than none
-        miss = F.abs(F.col("words") - F.col("gap"))
-        able = (miss < F.col("gap")) if closing == CLOSING - 1 else (F.col("words") <= F.col("gap"))
-        miss = F.when(~F.col("drawn") & (F.col("words") > 0) & able, miss)
-        nearest = F.row_number().over(Window.partitionBy("place").orderBy(miss.asc_nulls_last(), "block"))
-        drawn = drawn.withColumn("now", (nearest == 1) & miss.isNotNull()).withColumns({
-            "drawn": F.col("drawn") | F.col("now"),
-            "gap": F.col("gap") - F.coalesce(F.max(F.when(F.col("now"), F.col("words"))).over(per_source), F.lit(0))})
     before = upto.rowsBetween(Window.unboundedPreceding, -1)
     return drawn.withColumns({
         "position": F.row_number().over(upto) - 1,

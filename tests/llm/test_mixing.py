@@ -52,6 +52,16 @@ def test_taken_words_come_near_the_targets(spark):
     assert set(held.index) <= set(range(mixing.SHARDS))
 
 
+@pytest.mark.parametrize("huge", [20_000, 60_000])
+def test_a_very_long_document_does_not_end_the_draw(spark, huge):
+    rows = spark.range(20 * 2_000).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 20).alias("source"),
+        F.when(F.col("id") < 20, huge).otherwise(F.pmod(F.xxhash64("id"), F.lit(199)) + 1).cast("long").alias("size"))
+    taken = mixing.plan_of(rows).joined(rows, "doc_id", "source").groupBy("source").agg(
+        F.first("target").alias("target"), F.sum(F.col("size") * F.size("shards")).alias("taken")).collect()
+    assert len(taken) == 20 and max(abs(r.taken - r.target) / r.target for r in taken) <= 0.002
+
+
 def test_mixed_rows_are_the_assigned_copies(spark):
     docs = documents(spark, 300).withColumns({"shards": F.lit(1), "place": F.lit("x"), "_row": F.lit(2.0)})
     mixed = mixing.mixed(docs)
