@@ -15,9 +15,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Longest context. Counts of longer pairs of context and character share 2**PAIR_BITS slots an order, those of contexts
-#: 2**CONTEXT_BITS; this bounds the models to 8 MB, whatever the data.
+from stockloom.llm.common import written
+
+#: Longest context. The operator counts exactly, in tables that grow with the URLs; only ``Model``, which holds small data in
+#: memory, has slots: 2**PAIR_BITS an order for pairs of context and character, 2**CONTEXT_BITS for contexts.
 ORDER, PAIR_BITS, CONTEXT_BITS = 4, 18, 14
+#: Weights of grams are whole numbers of 1 / UNIT; at most FREQUENT grams are looked up without a shuffle.
+UNIT, FREQUENT = 1 << 36, 4096
 #: Weight of the shorter context, in characters.
 SMOOTHING = 2.0
 #: One of this many labelled URLs (by hash) calibrates the threshold; scores are counted in bins of 1 / BINS.
@@ -79,7 +83,8 @@ def characters(urls: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Counts of both classes (0 rejected, 1 accepted): pairs[order][class], contexts[order][class]."""
+    """Counts of both classes in memory (0 rejected, 1 accepted): pairs[order][class], contexts[order][class]. Longer contexts share
+    slots, so this is for small data; ``judged`` doesn't use it."""
 
     pairs: list[np.ndarray]
     contexts: list[np.ndarray]
@@ -139,24 +144,94 @@ def count_characters(labelled: DataFrame) -> Model:
     return model
 
 
-def scorer(docs: DataFrame, model: Model):
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def difference(urls: pd.Series) -> pd.Series:
-        values = urls.fillna("").tolist()
-        return pd.Series(np.concatenate(
-            [shared.value.difference(values[at:at + 4096]) for at in range(0, len(values), 4096)] or [np.zeros(0)]))
+def grams_of(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of the URLs with the ORDER bytes before each, as numbers (the character lowest, the nearest byte next),
+    and how many each URL has."""
+    encoded = [u.encode("utf-8", "surrogatepass") for u in urls]
+    data, here = np.frombuffer(b"".join(b"\0" * ORDER + u for u in encoded), np.uint8), characters(urls)
+    grams = np.zeros(len(here), np.int64)
+    for back in range(ORDER + 1):
+        grams |= data[here - back].astype(np.int64) << (8 * back)
+    return grams, np.array([len(u) for u in encoded], np.int64)
 
-    return difference
 
+def count_grams(urls: DataFrame) -> DataFrame:
+    """``gram, n, n0, n1``: every distinct gram of ``urls`` (``url, rows, accepted, held``), how often it occurs in all rows and
+    in the rows of both classes that the models learn from. Batches add up before the shuffle."""
+    def count(batches):
+        for batch in batches:
+            grams, lengths = grams_of(batch["url"].tolist())
+            rows = batch["rows"].to_numpy(np.int64)
+            learnt = ~batch["held"].to_numpy(bool)
+            parts = [rows, *(rows * (learnt & (batch["accepted"] == bool(c)).to_numpy(bool)) for c in (0, 1))]
+            names, place = np.unique(grams, return_inverse=True)
+            sums = [np.zeros(len(names), np.int64) for _ in parts]
+            for total, part in zip(sums, parts):
+                np.add.at(total, place, np.repeat(part, lengths))
+            yield pd.DataFrame({"gram": names, **dict(zip(("n", "n0", "n1"), sums))})
+
+    return urls.select("url", "rows", "accepted", "held").mapInPandas(count, "gram long, n long, n0 long, n1 long").groupBy(
+        "gram").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")])
+
+
+def weighed(grams: DataFrame) -> DataFrame:
+    """``gram, n, weight``: the log chance of a gram's character after its context if accepted minus if rejected, in units of
+    1 / UNIT.
+
+    The counts of shorter contexts are sums of those of the grams that end alike. At most 2**16 grams of a table look up
+    one key of an order above 1; the tables of shorter keys have at most 2**16 rows and go to all tasks.
+    """
+    out = grams.withColumns({"_chance0": F.lit(1 / 256), "_chance1": F.lit(1 / 256)})
+    for order in range(ORDER + 1):
+        pair = F.col("gram").bitwiseAND(F.lit((1 << 8 * (order + 1)) - 1))
+        context = F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * order) - 1))
+        seen = grams.groupBy(pair.alias("_pair")).agg(*[F.sum(f"n{c}").alias(f"_seen{c}") for c in (0, 1)])
+        total = grams.groupBy(context.alias("_context")).agg(*[F.sum(f"n{c}").alias(f"_total{c}") for c in (0, 1)])
+        seen, total = F.broadcast(seen) if order < 2 else seen, F.broadcast(total) if order < 3 else total
+        out = out.withColumns({"_pair": pair, "_context": context}).join(seen, "_pair").join(total, "_context").select(
+            "gram", "n", *[
+                ((F.col(f"_seen{c}") + SMOOTHING * F.col(f"_chance{c}")) / (F.col(f"_total{c}") + SMOOTHING)).alias(f"_chance{c}")
+                for c in (0, 1)])
+    return out.select("gram", "n", F.round((F.log("_chance1") - F.log("_chance0")) * UNIT).cast("long").alias("weight"))
+
+
+def scored_urls(urls: DataFrame) -> DataFrame:
+    """``urls`` (``id, url, rows, accepted, held``) with ``score``: the mean weight of a URL's grams; 0 for an empty URL.
+
+    The grams that make up more than a share of 1 / FREQUENT of all go to every task; the others are exploded and joined,
+    so that no key has more than that share of the rows. Sums are of whole numbers, so their order doesn't matter.
+    """
+    weights = written(weighed(written(count_grams(urls), "url_grams")), "gram_weights")
+    total = weights.agg(F.sum("n")).first()[0] or 0
+    frequent = weights.filter(F.col("n") > F.lit(total / FREQUENT)).select("gram", "weight").orderBy("gram").toPandas()
+    shared = urls.sparkSession.sparkContext.broadcast((frequent["gram"].to_numpy(np.int64), frequent["weight"].to_numpy(np.int64)))
 
-def calibrated(labelled: DataFrame, model: Model) -> float:
-    """The threshold with the best mean of both classes' accuracies (ties: the one nearest to 0); 0 if a class is missing.
-    Scores are counted in bins by Spark."""
-    bins = labelled.select(
-        "accepted", F.greatest(F.lit(-SPAN * BINS), F.least(F.lit(SPAN * BINS), F.floor(
-            scorer(labelled, model)(F.col("url")) * BINS))).cast("int").alias("bin")).groupBy("accepted", "bin").count().toPandas()
+    def split(batches):
+        names, values = shared.value
+        for batch in batches:
+            grams, lengths = grams_of(batch["url"].tolist())
+            owner = np.repeat(np.arange(len(batch)), lengths)
+            place = np.minimum(np.searchsorted(names, grams), max(0, len(names) - 1))
+            known = names[place] == grams if len(names) else np.zeros(len(grams), bool)
+            part = np.zeros(len(batch), np.int64)
+            np.add.at(part, owner[known], values[place[known]])
+            ends = np.cumsum(np.bincount(owner[~known], minlength=len(batch)))
+            rare = np.split(grams[~known], ends[:-1]) if len(batch) else []
+            yield pd.DataFrame({"id": batch["id"], "length": lengths, "part": part, "rare": rare})
+
+    parts = written(urls.select("id", "url").mapInPandas(split, "id long, length long, part long, rare array<long>"), "url_parts")
+    rest = parts.select("id", F.explode("rare").alias("gram")).join(weights.select("gram", "weight"), "gram").groupBy("id").agg(
+        F.sum("weight").alias("rest"))
+    score = (F.col("part") + F.coalesce("rest", F.lit(0))) / F.lit(float(UNIT)) / F.greatest("length", F.lit(1))
+    return urls.join(parts.join(rest, "id", "left").select("id", score.alias("score")), "id")
+
+
+def calibrated(scored: DataFrame) -> float:
+    """The threshold with the best mean of both classes' accuracies on the rows of held URLs (ties: the one nearest to 0); 0 if
+    a class is missing. Scores are counted in bins by Spark."""
+    bins = scored.filter("held and accepted is not null").select(
+        "accepted", "rows", F.greatest(F.lit(-SPAN * BINS), F.least(F.lit(SPAN * BINS), F.floor(
+            F.col("score") * BINS))).cast("int").alias("bin")).groupBy("accepted", "bin").agg(F.sum("rows").alias("count")).toPandas()
     counts = np.zeros((2, 2 * SPAN * BINS + 1))
     counts[bins["accepted"].astype(int), bins["bin"] + SPAN * BINS] = bins["count"]
     return best_edge(counts)
@@ -184,12 +259,14 @@ def judged(pages: DataFrame, rules: Sequence[Rule] = RULES, url: str = "url") ->
     apart = pages.select(F.struct(*pages.columns).alias("_row"), F.coalesce(F.col(url), F.lit("")).alias("url"))
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rule, verdict = longest_rule(host, path, rules)
-    labelled = apart.select("url", (verdict == "allow").alias("accepted")).filter("accepted is not null")
-    held = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
-    model = count_characters(labelled.filter(~held))
-    model.threshold = calibrated(labelled.filter(held), model)
-    scored = apart.withColumn("score", scorer(pages, model)(F.col("url")))
-    default = F.when(F.col("score") >= F.lit(model.threshold), "allow").otherwise("block")
+    # URLs are numbered when they are written, so that the numbers stay
+    urls = written(apart.groupBy("url").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.monotonically_increasing_id().alias("id"), "url", "rows", (verdict == "allow").alias("accepted"),
+        (F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0).alias("held")), "urls")
+    scores = written(scored_urls(urls), "url_scores")
+    threshold = calibrated(scores)
+    scored = apart.join(scores.select("url", "score"), "url")
+    default = F.when(F.col("score") >= F.lit(threshold), "allow").otherwise("block")
     new = {"host": host, "path": path, "rule": rule, "verdict": F.coalesce(verdict, default), "score": F.col("score")}
     return scored.select(
         *[F.col("_row").getField(c).alias(c) for c in pages.columns if c not in new], *[c.alias(n) for n, c in new.items()])

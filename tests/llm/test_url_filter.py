@@ -87,6 +87,21 @@ def test_scores_are_those_of_plain_models(spark, monkeypatch):
     assert np.allclose(model.difference(asked), [slow_difference(good, bad, u) for u in asked])
 
 
+def test_scores_stay_exact_when_contexts_outgrow_the_slots(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "CONTEXT_BITS", 6)  # as with more contexts than slots
+    monkeypatch.setattr(url_filter, "PAIR_BITS", 8)
+    monkeypatch.setattr(url_filter, "FREQUENT", 40)  # so that some grams are joined
+    urls = [f"http://good{i}.org/page/{i * 7919 % 1000}" for i in range(30)] + [f"http://spam{i}.com/de/win{i}" for i in range(30)]
+    asked = ["http://good.net/page", "http://spam.net/de/win", "é://x", "no scheme", ""]
+    rows = url_filter.judged(pages_of(spark, [*urls, *urls[:9], *asked, None])).collect()
+    held = {r.url for r in spark.createDataFrame([(u,) for u in urls], "url string").filter(
+        f"pmod(xxhash64(url), {url_filter.FOLDS}) = 0").collect()}
+    learnt = [u for u in [*urls, *urls[:9]] if u not in held]
+    good, bad = [u for u in learnt if ".org" in u], [u for u in learnt if ".com" in u]
+    assert len(rows) == len(urls) + 9 + 6 and good and bad and held
+    assert np.allclose([r.score for r in rows], [slow_difference(good, bad, r.url or "") for r in rows], atol=1e-8)
+
+
 def test_models_tell_unlabelled_urls_apart(spark):
     labelled = [f"http://site{i}.org/story/{i}" for i in range(60)] + [f"http://shop{i}.com/de/cheap-{i}" for i in range(60)]
     rows = url_filter.judged(pages_of(spark, [*labelled, "http://site.net/story/5", "http://shop.net/de/cheap-7"])).collect()
