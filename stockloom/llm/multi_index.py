@@ -17,14 +17,35 @@ from stockloom.llm.vectors import one_per_id, sample
 FITTED, CENTROIDS, ROUNDS = 16_384, 128, 12
 #: The share of all entries that a traversal gathers, and entries that it gathers at least.
 SHARE, LEAST = 0.45, 2_000
+#: The traversal also goes on until it holds that share when exact copies count once and no cell for more than OVERSIZED times
+#: the median cell, so that a hot group doesn't use it up.
+OVERSIZED = 4
+#: Rows whose distances tell how far seeds lie apart.
+SPACED = 1_024
 #: Entries and queries that are compared at once.
 ENTRY_BLOCK, QUERY_BLOCK = 4_096, 1_024
 
 
-def centroids(rows: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
-    """k-means, started from the first distinct rows (the sample is in hash order); fewer rows give fewer centroids."""
+def seeds(rows: np.ndarray, count: int) -> np.ndarray:
+    """The first distinct rows (the sample is in hash order) that lie apart by half the median distance, so that a group of near
+    copies gets one; if these are too few, the first others too."""
     _, first = np.unique(rows, axis=0, return_index=True)
-    middle = rows[np.sort(first)[:count]]
+    rows = rows[np.sort(first)]
+    some = rows[:SPACED]
+    apart = (some**2).sum(axis=1)[:, None] + (some**2).sum(axis=1)[None, :] - 2 * some @ some.T
+    limit = np.median(apart[np.triu_indices(len(some), 1)]) / 4 if len(some) > 1 else 0.0
+    nearest, chosen = np.full(len(rows), np.inf), np.zeros(len(rows), bool)
+    while chosen.sum() < count and (nearest > limit).any():
+        one = int(np.argmax(nearest > limit))
+        chosen[one] = True
+        nearest = np.minimum(nearest, ((rows - rows[one]) ** 2).sum(axis=1))
+    others = np.flatnonzero(~chosen)[:count - int(chosen.sum())]
+    return rows[[*np.flatnonzero(chosen), *others]]
+
+
+def centroids(rows: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
+    """k-means, started from spaced rows; fewer rows give fewer centroids."""
+    middle = seeds(rows, count)
     for _ in range(rounds):
         nearest = assign(rows, middle)
         counts = np.bincount(nearest, minlength=len(middle))
@@ -45,10 +66,12 @@ def assign(rows: np.ndarray, middle: np.ndarray) -> np.ndarray:
 
 @dataclass
 class MultiIndex:
-    """The centroids of both halves and how many entries each pair of them holds (CENTROIDS ** 2 counts)."""
+    """The centroids of both halves and how many entries each pair of them holds (CENTROIDS ** 2 counts); ``light`` are the
+    counts without copies and without what is beyond OVERSIZED."""
 
     halves: tuple[np.ndarray, np.ndarray]
     counts: np.ndarray
+    light: np.ndarray | None = None
 
     @property
     def split(self) -> int:
@@ -58,8 +81,9 @@ class MultiIndex:
         first, second = assign(rows[:, :self.split], self.halves[0]), assign(rows[:, self.split:], self.halves[1])
         return first * len(self.halves[1]) + second
 
-    def traverse(self, query: np.ndarray, needed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Visit pairs of centroids by summed distance, nearest first, until they hold ``needed`` entries.
+    def traverse(self, query: np.ndarray, needed: int, needed_light: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Visit pairs of centroids by summed distance, nearest first, until they hold ``needed`` entries, and ``needed_light`` by
+        the light counts.
 
         The distance of a half is its negative inner product with the centroid. For each centroid of the first half the
         visited pairs are the nearest ones of the second half; so the result is how many (``depth``, by centroid of the first
@@ -68,14 +92,16 @@ class MultiIndex:
         d1, d2 = -(self.halves[0] @ query[:self.split]), -(self.halves[1] @ query[self.split:])
         o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
         counts = self.counts.reshape(len(d1), len(d2))[o1][:, o2].tolist()
+        light = counts if self.light is None else self.light.reshape(len(d1), len(d2))[o1][:, o2].tolist()
         s1, s2 = d1[o1].tolist(), d2[o2].tolist()
         n1, n2 = len(s1), len(s2)
         depth = [0] * (n1 + 1)
         heap = [(s1[0] + s2[0], 0, 0)]
-        found = 0
-        while heap and found < needed:
+        found = found_light = 0
+        while heap and (found < needed or found_light < needed_light):
             _, i, j = heappop(heap)
             found += counts[i][j]
+            found_light += light[i][j]
             depth[i] = j + 1
             if j + 1 < n2 and (i == 0 or depth[i - 1] > j + 1):
                 heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
@@ -144,10 +170,13 @@ def search(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries = written(index_entries(usable, index), "entries")
     index.counts = np.zeros(len(index.halves[0]) * len(index.halves[1]), np.int64)
-    for row in entries.groupBy("cell").count().collect():  # at most CENTROIDS ** 2 rows
-        index.counts[row["cell"]] = row["count"]
+    index.light = np.zeros_like(index.counts)
+    copies = entries.groupBy("cell", F.xxhash64("vector").alias("_copy")).count()
+    for row in copies.groupBy("cell").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("distinct")).collect():
+        index.counts[row["cell"]], index.light[row["cell"]] = row["n"], row["distinct"]  # at most CENTROIDS ** 2 rows
+    index.light = np.minimum(index.light, math.ceil(OVERSIZED * np.median(index.light[index.light > 0])))
     total = int(index.counts.sum())
-    needed = max(math.ceil(share * total), min(total, LEAST))
+    needed, needed_light = max(math.ceil(share * total), min(total, LEAST)), math.ceil(share * index.light.sum())
     queries = entries.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector")
     entry_blocks = math.ceil(total / ENTRY_BLOCK)
     query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
@@ -155,7 +184,7 @@ def search(
 
     def visit(batches):
         for batch in batches:
-            found = [shared.value.traverse(q, needed) for q in matrix(batch["vector"])] if len(batch) else []
+            found = [shared.value.traverse(q, needed, needed_light) for q in matrix(batch["vector"])] if len(batch) else []
             yield batch.assign(
                 depth=[d.tobytes() for d, _ in found], place=[p.tobytes() for _, p in found])
 

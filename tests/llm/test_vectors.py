@@ -43,6 +43,24 @@ def test_search_finds_nearly_all_and_scores_exactly(spark, monkeypatch):
     assert set(found["query_id"]) == set(ids[queries].tolist())
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.05])
+def test_a_hot_third_does_not_use_up_the_search(spark, spread):
+    rng = np.random.default_rng(11)
+    rows, middle = itq.unit(rng.normal(size=(9000, 64))), itq.unit(rng.normal(size=(1, 64)))
+    rows[:3000] = itq.unit(middle + spread * rng.normal(size=(3000, 64)))
+    ids = np.arange(9000)
+    towards = 3000 + np.flatnonzero(rows[3000:] @ middle[0] > 0.2)[:150]
+    ids[towards] += 100_000  # these ask
+    rows = rows.astype(np.float32)
+    found = multi_index.search(table_of(spark, zip(ids.tolist(), rows.tolist())), "vec_id >= 100000", 20).toPandas()
+    exact, hits = rows.astype(np.float64), 0
+    for q in towards:
+        scores = (exact * exact[q]).sum(axis=1)
+        scores[q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -scores))[:20]]) & set(found[found["query_id"] == ids[q]]["vec_id"]))
+    assert hits / len(towards) / 20 >= 0.93
+
+
 def test_search_of_copies_takes_the_smallest_ids(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(300)] + [(300, [9.0, 9.0, 9.0])] * 2
     found = multi_index.search(table_of(spark, rows), "vec_id = 40", 5).orderBy("rank").collect()
