@@ -16,10 +16,11 @@ from stockloom.llm.vectors import one_per_id, sample
 #: The rotation is fitted on at most FITTED vectors; codes have at most 64 bits.
 FITTED, ROUNDS, BITS, SEED = 16_384, 40, 64, 7
 MIN_COSINE = 0.9
-#: Codes meet in TABLES tables of neighbouring bits, within RADIUS bits of each: that finds all pairs within
-#: TABLES * (RADIUS + 1) - 1 bits, and most of those a few bits further; pairs beyond MOST_BITS aren't reranked. At
-#: a cosine of 0.9 codes differ in 9 bits on average and in more than 16 once in a hundred.
-TABLES, RADIUS, MOST_BITS = 6, 1, 16
+#: Codes meet in tables of TABLES bit groups each, within RADIUS bits of a group at least. How many tables and what radius
+#: it takes follows from pairs at the minimum cosine that are made from the sample: as many as let FOUND of these meet.
+#: Other codes than these pairs', by MARGIN bits, aren't reranked.
+TABLES, RADIUS, FOUND, MARGIN = 6, 1, 0.995, 2
+MOST_TABLES, MOST_RADIUS = 120, 4
 #: Pairs whose cosines are computed at once.
 RERANKED = 50_000
 
@@ -65,6 +66,47 @@ def tables_of(bits: int) -> list[list[int]]:
     return [list(range(bits * t // n, bits * (t + 1) // n)) for t in range(n)]
 
 
+def differences(rotation: Rotation, rows: np.ndarray, min_cosine: float) -> np.ndarray:
+    """The bits in which the codes of pairs at the minimum cosine differ. Each row of the sample gets two partners: one towards
+    another row, one in any direction; both see the vectors' common mean as real pairs do."""
+    rows = unit(rows)
+    rng = np.random.default_rng(SEED)
+    out = []
+    for towards in (rows[rng.permutation(len(rows))], rng.normal(size=rows.shape)):
+        across = towards - (towards * rows).sum(axis=1, keepdims=True) * rows
+        length = np.sqrt((across**2).sum(axis=1, keepdims=True))
+        some = length[:, 0] > 1e-6
+        partner = min_cosine * rows[some] + np.sqrt(max(0.0, 1 - min_cosine**2)) * across[some] / length[some]
+        out.append(rotation.codes(rows[some]).view(np.uint64) ^ rotation.codes(partner).view(np.uint64))
+    return np.concatenate(out)
+
+
+def marks_of(tables: list[list[int]]) -> list[np.uint64]:
+    return [np.uint64(sum(1 << b for b in bits)) for bits in tables]
+
+
+def planned(differ: np.ndarray, bits: int) -> tuple[list[list[int]], int, int]:
+    """Tables, radius and the most bits that differ: the first that let the share FOUND of the differences meet, with the
+    least radius; if none does, all tables with the largest radius."""
+    most = int(hamming.popcount(differ).max(initial=0)) + MARGIN
+    tables: list[list[int]] = []
+    for radius in range(RADIUS, MOST_RADIUS + 1):
+        rng = np.random.default_rng(SEED)
+        tables = tables_of(bits)
+        runs, met = tables, np.zeros(len(differ), bool)
+        while True:
+            for mark in marks_of(runs):
+                met |= hamming.popcount(differ & mark) <= radius
+            if not len(differ) or met.mean() >= FOUND:
+                return tables, radius, most
+            if len(tables) + len(runs) > MOST_TABLES:
+                break
+            order = rng.permutation(bits)
+            runs = [sorted(int(order[b]) for b in run) for run in tables_of(bits)]
+            tables = tables + runs
+    return tables, MOST_RADIUS, most
+
+
 def links(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     """``id, links, root`` from distinct vectors (``id, copies, vector``): partial sums of the copies that each is linked to,
     and edges to the smallest id of its links, group by group. Pairs aren't given out.
@@ -77,9 +119,10 @@ def links(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
     fitted = sample(named, FITTED)
     if not fitted.size:
         return spark.createDataFrame([], "id long, links long, root long")
-    rotation = spark.sparkContext.broadcast(fit(fitted))
-    tables = tables_of(min(BITS, fitted.shape[1]))
-    marks = [np.uint64(sum(1 << b for b in bits)) for bits in tables]
+    learnt = fit(fitted)
+    rotation = spark.sparkContext.broadcast(learnt)
+    tables, radius, most = planned(differences(learnt, fitted, min_cosine), min(BITS, fitted.shape[1]))
+    marks = marks_of(tables)
 
     @F.pandas_udf("long")
     def code(vectors: pd.Series) -> pd.Series:
@@ -87,7 +130,7 @@ def links(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
         return pd.Series(rotation.value.codes(unit(rows_)) if len(rows_) else [], dtype="int64")
 
     coded = written(rows.withColumn("code", code("vector")), "codes")
-    met = written(hamming.meet(coded, tables, lambda codes: np.full((len(codes), len(tables)), RADIUS), RADIUS), "itq_cells")
+    met = written(hamming.meet(coded, tables, lambda codes: np.full((len(codes), len(tables)), radius), radius), "itq_cells")
     total = met.count()
 
     def first_met(frame: pd.DataFrame, visit) -> None:
@@ -97,11 +140,11 @@ def links(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
             differ = codes[p].view(np.uint64) ^ codes[e].view(np.uint64)
             before = np.zeros(len(p), bool)
             for t, mark in enumerate(marks):
-                before |= (table[p] > t) & (hamming.popcount(differ & mark) <= RADIUS)
+                before |= (table[p] > t) & (hamming.popcount(differ & mark) <= radius)
             visit(p[~before], e[~before])
 
         hamming.candidates(
-            hamming.named_blocks(frame), frame["id"].to_numpy(np.int64), codes, frame["probe"].to_numpy(bool), MOST_BITS, new)
+            hamming.named_blocks(frame), frame["id"].to_numpy(np.int64), codes, frame["probe"].to_numpy(bool), most, new)
 
     def near(frame: pd.DataFrame) -> pd.DataFrame:
         seen = np.zeros(len(frame), bool)

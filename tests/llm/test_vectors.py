@@ -119,6 +119,19 @@ def test_classes_against_brute_force(spark, monkeypatch, block):
     assert (found["kept"] == (found["component_id"] == found.index)).all()
 
 
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.8])
+def test_links_of_vectors_with_a_common_mean(spark, mean):
+    rng = np.random.default_rng(8)
+    rows = mean * np.eye(64)[0] + np.sqrt(1 - mean**2) * itq.unit(rng.normal(size=(1200, 64)))
+    across = rng.normal(size=rows.shape)
+    rows, across = itq.unit(rows), across - (across * itq.unit(rows)).sum(axis=1, keepdims=True) * itq.unit(rows)
+    pairs = 0.901 * rows + np.sqrt(1 - 0.901**2) * itq.unit(across)
+    both = np.concatenate([rows, pairs])
+    near = itq.unit(both) @ itq.unit(both).T >= 0.9
+    found = itq.classes(table_of(spark, enumerate(both.tolist()))).toPandas()
+    assert found["n_links"].sum() >= 0.98 * (near.sum() - len(both)) > 0
+
+
 def test_classes_of_odd_rows(spark):
     rows = [*ODD, (1, [1.0] * 16), (2, [2.0] * 16), (3, [1.0] * 16), (3, [1.0] * 16), (4, [-1.0] * 16), (5, [1e30] * 16)]
     found = {r.vec_id: r for r in itq.classes(table_of(spark, rows)).collect()}
