@@ -32,9 +32,11 @@ READER_NAMES = set(
 ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
 TOKENS = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
-    rf"|<(?P<raw>script|style|template|textarea|svg|math|object|canvas|button)\b{ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<raw>script|style|template|textarea)\b{ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"
     rf"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attributes>{ATTRIBUTES})>"
     r"|</?[A-Za-z][^>]*+(?:>|\Z)", re.S | re.I)
+#: Elements that are left out from their tag to their end tag; without one only the tag is.
+SHUT_TAGS = set("svg object canvas button annotation annotation-xml".split())
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bdisplay\s*:\s*none|\bvisibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -80,7 +82,15 @@ def state_of(name: str, attributes: str, main: bool, boilerplate: bool, apart: b
     """The state within a container from that around it; a main element inside of boilerplate is main again."""
     names = names_of(attributes) if attributes else set()
     plain = re.sub(r"(?:class|id)\s*=\s*(?:\"[^\"]*\"|'[^']*')", "", attributes)
-    if names & READER_NAMES or HIDDEN.search(plain):
+    # that comments are open is said of the page and of its articles, too; an article named just so is a reader's
+    if name in ("body", "html", "main"):
+        readers = False
+    elif name == "article" and names & READER_NAMES:
+        whole = {word.lower() for groups in NAMED.findall(attributes) for word in "".join(groups).split()}
+        readers = bool(whole & READER_NAMES) and not names & MAIN_NAMES
+    else:
+        readers = bool(names & READER_NAMES)
+    if readers or name not in ("body", "html") and HIDDEN.search(plain):
         return main, boilerplate, True
     if name in MAIN_TAGS:
         return True, False, apart
@@ -92,6 +102,21 @@ def state_of(name: str, attributes: str, main: bool, boilerplate: bool, apart: b
     return main, boilerplate, apart
 
 
+def shut_parts(tokens: list[re.Match[str]]) -> dict[int, int]:
+    """The places of the tags of SHUT_TAGS that have an end tag, with those of their end tags."""
+    open_: dict[str, list[int]] = {}
+    ends: dict[int, int] = {}
+    for place, token in enumerate(tokens):
+        name = (token["name"] or "").lower()
+        if name in SHUT_TAGS:
+            if not token["end"]:
+                if not token["attributes"].endswith("/"):
+                    open_.setdefault(name, []).append(place)
+            elif open_.get(name):
+                ends[open_[name].pop()] = place
+    return ends
+
+
 def blocks_of(html: str) -> list[tuple[str, float, bool, bool]]:
     """The text blocks in page order: text, link density, whether in boilerplate, whether in a main element."""
     out: list[tuple[str, float, bool, bool]] = []
@@ -111,14 +136,19 @@ def blocks_of(html: str) -> list[tuple[str, float, bool, bool]]:
             out.append((text, min(1.0, linked / words), boilerplate or apart, main))
         linked = 0
 
-    at = 0
-    for token in TOKENS.finditer(html):
+    at = shut = 0
+    tokens = list(TOKENS.finditer(html))
+    ends = shut_parts(tokens)
+    for number, token in enumerate(tokens):
+        if number < shut:
+            continue
         if token.start() > at:
             piece = html[at:token.start()]
             pieces.append(piece)
             if links:
                 linked += len(unescape(piece).split())
-        at = token.end()
+        shut = ends.get(number, number)
+        at = tokens[shut].end()
         name = (token["name"] or "").lower()
         if not name:
             continue  # comments, scripts, styles and broken tags

@@ -194,6 +194,23 @@ def test_broken_pages(page, text):
     assert html_text.main_text(page, TREE) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>Before</p><svg class='i'/><p>Article text</p></article>", "Before\nArticle text"),
+    ("<article><p>Before</p><button class=x><p>Article text</p><p>More <button>Send</button> text</p></article>", "Before\nArticle text\nMore text"),
+    ("<article><p>One <svg><path d='x'/><g><svg>in</svg></g><text>out</text></svg> two <object data=x>no</object></p>Three</article>", "One two\nThree"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> hold</p></article>", "Let x=1 hold"),
+    ("<article><p>A <canvas>b <!-- </canvas> --> c</p><script>'</canvas>'</script><p>d</p></article>", "A b c\nd"),
+    ("<body class='comments-open'><article><p>Article text</p></article></body>", "Article text"),
+    ("<html class='no-comments'><main id=reply><article class='post comment-open'><p>Article text</p></article></main>", "Article text"),
+    ("<main><p>Article text</p><article class='comment'><p>A reader</p></article></main>", "Article text")])
+def test_icons_buttons_and_open_comments_do_not_take_the_article(page, text):
+    assert html_text.main_text(page, TREE) == text
+
+
+def test_many_unclosed_buttons_take_linear_time():
+    assert html_text.main_text("<article>" + "<p>word <button>" * 20_000, TREE) == "\n".join(["word"] * 20_000)
+
+
 def test_deep_and_long_pages_take_linear_time():
     assert html_text.main_text("<article>" + "<div>" * 20_000 + "x" + "</div>" * 20_000, TREE) == "x"
     assert html_text.main_text("<article>" + "<p>word " * 20_000, TREE) == "\n".join(["word"] * 20_000)
