@@ -13,11 +13,31 @@ ROUNDS = 8
 #: The demonstration key of the registered queries; real jobs pass their own.
 KEY = "stockloom demonstration key"
 
+# Lengths of IBANs by country code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Groups of four up to the country's length, so that a word behind stays out; any length for other codes."""
+    fixed = [
+        rf"(?:{codes.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{(length - 4) // 4}}}"
+        + (rf" ?[A-Z0-9]{{{length % 4}}}" if length % 4 else "") for length, codes in IBAN_LENGTHS.items()]
+    known = "|".join(codes.replace(" ", "|") for codes in IBAN_LENGTHS.values())
+    other = rf"(?!{known})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*fixed, other])})(?![\p{{L}}\p{{N}}])"
+
+
 # What is looked for, in the order in which formats are tried.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}",
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": iban_pattern(),
     "iso_date": r"(?<![\p{L}\p{N}/.-])\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}]|[/.-]\d)",
     "day_date": r"(?<![\p{L}\p{N}/.-])\d{2}(?<part>[./])\d{2}\k<part>\d{4}(?![\p{L}\p{N}]|[/.-]\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",

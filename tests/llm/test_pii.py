@@ -35,6 +35,17 @@ def test_formats_stay_valid(spark):
     assert re.fullmatch(r"[a-z]{3}\.\d\d@mail7\.example\.com", mail) and mail != "und.34@mail7.example.com"
 
 
+def test_ibans_end_at_their_country_length(spark):
+    codes = [
+        "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "SE45 5000 0000 0583 9825 7466",
+        "PL61 1090 1014 0000 0712 1981 2874", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "BE68539007547034"]
+    behind = ["", " EUR 500", " BIC", " 123", " 1234 X", " 4111 1111 1111 1111", ", A", " AT61 1904 3002 3457 3201"]
+    pairs = [(code, tail) for code in codes for tail in behind]
+    alone = dict(zip([*codes, *behind], replaced(spark, *codes, *behind)))
+    assert all(alone[code] != code and alone[code][:2] == code[:2] for code in codes)
+    assert replaced(spark, *[code + tail for code, tail in pairs]) == [alone[code] + alone[tail] for code, tail in pairs]
+
+
 def test_equal_values_stay_linked(spark):
     a, b, c, d, e, f = replaced(
         spark, "call +1 (743) 555-3824!", "+1 743 555 3824", "UND.34@mail7.example.com", "und.34@mail7.example.com",
