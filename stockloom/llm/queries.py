@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stockloom.llm import html_text, itq, mixing, multi_index, packing, pii, quality, simhash, token_counts, url_filter
+from stockloom.llm import (
+    html_text, itq, line_rules, merkle, mixing, multi_index, packing, pii, quality, simhash, spelling, sql, token_counts, url_filter)
 from stockloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +110,32 @@ def op10_block_tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", html_text.extracted("html").alias("text"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op11_pivotal_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its near words' number, its form and the root of its forms."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_pivotal_spellings"] = sql.VARIANTS
+
+
+@query
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether it stays after the cleaning of its lines."""
+    judged = table(spark, sf_dir, "documents").select("doc_id", line_rules.judged("text").alias("_lines"))
+    return judged.select("doc_id", *[f"_lines.{name}" for name in (
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")])
+
+
+ORACLES["op12_line_rules"] = sql.line_cleaning()
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and what a tampered leaf folds to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), merkle.tampered_leaf())
+
+
+ORACLES["op13_merkle_manifest"] = sql.MANIFEST
