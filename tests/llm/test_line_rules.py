@@ -47,9 +47,8 @@ def test_good_lines_stay(spark):
 
 
 def test_a_document_that_loses_too_much_goes(spark):
-    menu = "One | Two | Three | Four | Five | Six | Seven\n"
-    n = len(PROSE.split())
-    few, many = judge(spark, PROSE + "\n" + menu * 2, PROSE + "\n" + "".join(f"{i} {menu}" for i in range(n // 7)))
+    menu = [f"a{i} | b{i} | c{i} | d{i}" for i in range(20)]
+    few, many = judge(spark, "\n".join([PROSE, *menu[:3]]), "\n".join([PROSE, *menu]))
     assert few.kept and not many.kept and not many.base_failed
 
 
