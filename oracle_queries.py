@@ -395,8 +395,9 @@ oracle("training_record", """
   select product_id, model, 'evaluated' as status, test_rows as test_samples, frame_rows, frame_rows - test_rows as train_rows, test_rows,
     round(scaled_mse, 4) as scaled_mse, round(scaled_mae, 4) as scaled_mae from errors""", "errors")
 oracle("selected_training", """
-  select product_id, model, test_samples, round(mae, 2) as mae, round(rmse, 2) as rmse, round(mape, 2) as mape, round(directional_accuracy, 2) as directional_accuracy
-  from ar_scores join catalog using (product_id) where category in ('fever', 'allergy')""", "ar_scores", "catalog")
+  select product_id, product_name, model, test_samples, 'evaluated' as status, round(mae, 2) as mae, round(rmse, 2) as rmse, round(mape, 2) as mape,
+    round(directional_accuracy, 2) as directional_accuracy, true as holds
+  from scores join catalog using (product_id) where category in ('fever', 'allergy')""", "scores", "catalog")
 oracle("product_selection", """
   select w.product_id, case when c.product_id is null then 'unknown' else 'selected' end as status
   from (select distinct 'P' || lpad(cast(c_custkey % 40 as varchar), 3, '0') as product_id from customer) w left join catalog c using (product_id)""", "catalog")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stockloom.operators import boosting, features as feats, forecast, regression
@@ -29,7 +28,7 @@ def predictions(
     features: DataFrame,
     scaled: DataFrame | None = None,
     trees: int = 300,
-    booster: PipelineModel | None = None,
+    booster: DataFrame | None = None,
     weights: DataFrame | None = None,
     series: Sequence[str] = SERIES,
 ) -> DataFrame:
@@ -40,7 +39,7 @@ def predictions(
     """
     scaled = feats.scaled(features, series=series) if scaled is None else scaled
     rows = regression.regression_rows(scaled, series)
-    booster = boosting.fit(features, trees) if booster is None else booster
+    booster = boosting.fit(features, trees, series=series) if booster is None else booster
     weights = regression.fit(rows, series) if weights is None else weights
     frames = {
         NAIVE: forecast.naive_forecast(features, series),
@@ -142,10 +141,10 @@ def train(
     params = feats.scaler_from_table(spark.read.parquet(f"{path}/scaler"))
     scaled = feats.scaled(features, params)
     regression.save_weights(regression.fit(regression.regression_rows(scaled)), f"{path}/weights")
-    boosting.fit(features, trees).write().overwrite().save(f"{path}/booster")
+    boosting.save_model(boosting.fit(features, trees), f"{path}/booster")
     tested = predictions(
         features, scaled,
-        booster=PipelineModel.load(f"{path}/booster"), weights=regression.load_weights(spark, f"{path}/weights"),
+        booster=boosting.load_model(spark, f"{path}/booster"), weights=regression.load_weights(spark, f"{path}/weights"),
     )
     save_comparison(compare(catalog, tested), path)
     training_record(features, tested).write.mode("overwrite").parquet(f"{path}/record")
