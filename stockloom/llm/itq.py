@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,11 +17,12 @@ from stockloom.llm.vectors import one_per_id, sample
 #: The rotation is fitted on at most FITTED vectors; codes have at most 64 bits.
 FITTED, ROUNDS, BITS, SEED = 16_384, 40, 64, 7
 MIN_COSINE = 0.9
-#: Codes meet in tables of TABLES bit groups each, within RADIUS bits of a group at least. How many tables and what radius
-#: it takes follows from pairs at the minimum cosine that are made from the sample: as many as let FOUND of these meet.
-#: Other codes than these pairs', by MARGIN bits, aren't reranked.
-TABLES, RADIUS, FOUND, MARGIN = 6, 1, 0.995, 2
-MOST_TABLES, MOST_RADIUS = 120, 4
+#: Codes meet in tables of bit groups, within a radius. How wide the groups are, how many tables and what radius it takes follows from the
+#: number of rows and from pairs at the minimum cosine that are made from the sample: the cheapest way that lets FOUND of these meet.
+#: Wider groups make more rows to be dealt and fewer comparisons; one dealt row costs as much as ROW_COST comparisons of codes.
+FOUND, WIDTHS, RADII, MOST_TABLES, ROW_COST = 0.995, range(6, 41), (0, 1, 2, 3, 4), 120, 100
+#: Codes that differ in more bits than this share of the made pairs' do aren't reranked.
+WITHIN = 0.9995
 #: Pairs whose cosines are computed at once.
 RERANKED = 50_000
 
@@ -60,12 +62,6 @@ def fit(rows: np.ndarray, bits: int = BITS, rounds: int = ROUNDS) -> Rotation:
     return Rotation(centre, axes @ turn)
 
 
-def tables_of(bits: int) -> list[list[int]]:
-    """The bits in runs of nearly equal length, of 8 bits at least."""
-    n = max(1, min(TABLES, bits // 8))
-    return [list(range(bits * t // n, bits * (t + 1) // n)) for t in range(n)]
-
-
 def differences(rotation: Rotation, rows: np.ndarray, min_cosine: float) -> np.ndarray:
     """The bits in which the codes of pairs at the minimum cosine differ. Each row of the sample gets two partners: one towards
     another row, one in any direction; both see the vectors' common mean as real pairs do."""
@@ -85,26 +81,33 @@ def marks_of(tables: list[list[int]]) -> list[np.uint64]:
     return [np.uint64(sum(1 << b for b in bits)) for bits in tables]
 
 
-def planned(differ: np.ndarray, bits: int) -> tuple[list[list[int]], int, int]:
-    """Tables, radius and the most bits that differ: the first that let the share FOUND of the differences meet, with the
-    least radius; if none does, all tables with the largest radius."""
-    most = int(hamming.popcount(differ).max(initial=0)) + MARGIN
-    tables: list[list[int]] = []
-    for radius in range(RADIUS, MOST_RADIUS + 1):
-        rng = np.random.default_rng(SEED)
-        tables = tables_of(bits)
-        runs, met = tables, np.zeros(len(differ), bool)
-        while True:
-            for mark in marks_of(runs):
-                met |= hamming.popcount(differ & mark) <= radius
-            if not len(differ) or met.mean() >= FOUND:
-                return tables, radius, most
-            if len(tables) + len(runs) > MOST_TABLES:
-                break
-            order = rng.permutation(bits)
-            runs = [sorted(int(order[b]) for b in run) for run in tables_of(bits)]
-            tables = tables + runs
-    return tables, MOST_RADIUS, most
+def runs_of(bits: int, width: int) -> list[list[int]]:
+    """Bit groups of a width, from the bits in order and then in fixed random orders, ``MOST_TABLES`` of them."""
+    rng = np.random.default_rng(SEED)
+    tables, order = [], np.arange(bits)
+    while len(tables) < MOST_TABLES:
+        tables += [sorted(int(b) for b in order[at:at + width]) for at in range(0, bits - width + 1, width)]
+        order = rng.permutation(bits)
+    return tables[:MOST_TABLES]
+
+
+def planned(differ: np.ndarray, bits: int, rows: int) -> tuple[list[list[int]], int, int]:
+    """Tables, radius and the most bits that differ: of the widths and radii whose tables let the share FOUND of the differences meet,
+    the cheapest for so many rows. Comparing all codes, in one table without bits, is always such a way."""
+    differing = hamming.popcount(differ)
+    most = int(np.quantile(differing, WITHIN, method="higher")) if len(differ) else bits
+    best = (float(rows), [[]], 0)
+    for width in (w for w in WIDTHS if w <= bits):
+        tables = runs_of(bits, width)
+        apart = np.stack([hamming.popcount(differ & mark) for mark in marks_of(tables)]) if len(differ) else np.zeros((MOST_TABLES, 1), np.uint8)
+        closest = np.minimum.accumulate(apart, axis=0)
+        for radius in RADII:
+            enough = np.flatnonzero((closest <= radius).mean(axis=1) >= FOUND)
+            if len(enough):
+                n, probes = int(enough[0]) + 1, sum(math.comb(width, r) for r in range(radius + 1))
+                cost = n * (ROW_COST * (probes + 1) + rows * probes / 2 ** width)
+                best = min(best, (cost, tables[:n], radius), key=lambda way: way[0])
+    return best[1], best[2], most
 
 
 def links(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
@@ -121,7 +124,7 @@ def links(rows: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
         return spark.createDataFrame([], "id long, links long, root long")
     learnt = fit(fitted)
     rotation = spark.sparkContext.broadcast(learnt)
-    tables, radius, most = planned(differences(learnt, fitted, min_cosine), min(BITS, fitted.shape[1]))
+    tables, radius, most = planned(differences(learnt, fitted, min_cosine), min(BITS, fitted.shape[1]), rows.count())
     marks = marks_of(tables)
 
     @F.pandas_udf("long")
