@@ -319,9 +319,9 @@ def gbt_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trees of the stored comparison, applied again to the test rows."""
     trained(spark, sf_dir)
     store = Store.of(spark, sf_dir)
-    path = store.path_once("models", lambda path: None)
-    booster = boosting.load_model(spark, f"{path}/booster")
-    return rounded(boosting.test_predictions(spark.read.parquet(f"{path}/features"), booster), ("y_pred",))
+    folder = comparison.artefacts(spark, store.path_once("models", lambda path: None))
+    booster = boosting.load_model(spark, f"{folder}/booster")
+    return rounded(boosting.test_predictions(spark.read.parquet(f"{folder}/features"), booster), ("y_pred",))
 
 
 def ar_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -401,7 +401,7 @@ def comparison_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def training_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The training record merged with the comparison; the trees' errors are left out."""
     scores, store = trained(spark, sf_dir), Store.of(spark, sf_dir)
-    record = spark.read.parquet(f"{store.path_once('models', lambda path: None)}/record")
+    record = spark.read.parquet(f"{comparison.artefacts(spark, store.path_once('models', lambda path: None))}/record")
     exact = F.col("model") != comparison.BOOSTED
     return comparison.recorded(scores, record).select(
         "product_id", "model", "status", "test_samples", "frame_rows", "train_rows", "test_rows",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from stockloom.operators import boosting, features as feats, forecast, regression
 from stockloom.operators.metrics import forecast_metrics
 from stockloom.operators.series import SERIES
+from stockloom.session import scratch_path
+from stockloom.sources.versions import Versions
 
 NAIVE, BOOSTED, SEQUENCE = "Naive", "GBT", "AR"
 
@@ -109,20 +110,30 @@ COMPARISON_SCHEMA = (
 )
 
 
-def save_comparison(comparison: DataFrame, path: str) -> None:
+#: The tables of a training.
+PARTS = ("features", "scaler", "weights", "booster", "table", "record")
+
+
+def save_comparison(comparison: DataFrame, folder: str) -> None:
     """The long table as Parquet, and per product as JSON."""
-    comparison.write.mode("overwrite").parquet(f"{path}/table")
-    nested(comparison.sparkSession.read.parquet(f"{path}/table")).write.mode("overwrite").json(f"{path}/json")
+    comparison.write.parquet(f"{folder}/table")
+    nested(comparison.sparkSession.read.parquet(f"{folder}/table")).write.json(f"{folder}/json")
+
 
+def artefacts(spark: SparkSession, path: str, version: int | None = None) -> str | None:
+    """The folder with all that a training stored (``features``, ``scaler``, ``weights``, ``booster``, ``table``, ``json``, ``record``), by
+    default the newest one's; None if there was none."""
+    versions = Versions(spark, path, "training")
+    version = versions.newest() if version is None else version
+    return None if version is None else versions.folder(version)
 
-def load_comparison(spark: SparkSession, path: str) -> DataFrame:
-    """The stored table; no rows if nothing was stored."""
-    try:
-        return spark.read.schema(COMPARISON_SCHEMA).parquet(f"{path}/table")
-    except AnalysisException as missing:
-        if "PATH_NOT_FOUND" in (missing.getCondition() or ""):
-            return spark.createDataFrame([], COMPARISON_SCHEMA)
-        raise
+
+def load_comparison(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored table of a training, by default the newest; no rows if there was none."""
+    folder = artefacts(spark, path, version)
+    if folder is None:
+        return spark.createDataFrame([], COMPARISON_SCHEMA)
+    return spark.read.schema(COMPARISON_SCHEMA).parquet(f"{folder}/table")
 
 
 def train(
@@ -130,22 +141,44 @@ def train(
 ) -> DataFrame:
     """Train on all or the requested products, store scaler, models and scores; returns the scores.
 
-    The feature frame is used by both trainings and all scores, so it is written first.
+    Everything goes into one new version, published when all of it is there: a failure half-way leaves the training before
+    as it was, and nobody meets new weights beside old scores. A training of requested products takes over what the newest
+    version has of the others. Of the versions the newest three and those of the last days stay.
     """
     spark = sales.sparkSession
-    if product_ids is not None:
-        sales, catalog = select_products(sales, product_ids), select_products(catalog, product_ids)
-    feats.series_features(sales).write.mode("overwrite").parquet(f"{path}/features")
-    features = spark.read.parquet(f"{path}/features")
-    feats.scaler_table(feats.scaler_params(features)).write.mode("overwrite").parquet(f"{path}/scaler")
-    params = feats.scaler_from_table(spark.read.parquet(f"{path}/scaler"))
-    scaled = feats.scaled(features, params)
-    regression.save_weights(regression.fit(regression.regression_rows(scaled)), f"{path}/weights")
-    boosting.save_model(boosting.fit(features, trees), f"{path}/booster")
+    versions = Versions(spark, path, "training")
+    if product_ids is None:
+        number = versions.add(lambda folder: _train_into(folder, sales, catalog, trees))
+    else:
+        trained = scratch_path(spark, "training")
+        _train_into(trained, select_products(sales, product_ids), select_products(catalog, product_ids), trees)
+        number = versions.publish(lambda folder, newest: _merge_into(folder, spark, trained, None if newest is None else versions.folder(newest), product_ids))
+    versions.remove_old(3)
+    return load_comparison(spark, path, number)
+
+
+def _merge_into(folder: str, spark: SparkSession, trained: str, before: str | None, product_ids: DataFrame) -> None:
+    """What was trained, and what there was of other products before."""
+    for part in PARTS:
+        rows = spark.read.parquet(f"{trained}/{part}")
+        if before:
+            rows = spark.read.parquet(f"{before}/{part}").join(product_ids, "product_id", "left_anti").unionByName(rows)
+        rows.write.parquet(f"{folder}/{part}")
+    nested(spark.read.parquet(f"{folder}/table")).write.json(f"{folder}/json")
+
+
+def _train_into(folder: str, sales: DataFrame, catalog: DataFrame, trees: int) -> None:
+    spark = sales.sparkSession
+    # The feature frame is used by both trainings and all scores, so it is written first.
+    feats.series_features(sales).write.parquet(f"{folder}/features")
+    features = spark.read.parquet(f"{folder}/features")
+    feats.scaler_table(feats.scaler_params(features)).write.parquet(f"{folder}/scaler")
+    scaled = feats.scaled(features, feats.scaler_from_table(spark.read.parquet(f"{folder}/scaler")))
+    regression.save_weights(regression.fit(regression.regression_rows(scaled)), f"{folder}/weights")
+    boosting.save_model(boosting.fit(features, trees), f"{folder}/booster")
     tested = predictions(
         features, scaled,
-        booster=boosting.load_model(spark, f"{path}/booster"), weights=regression.load_weights(spark, f"{path}/weights"),
+        booster=boosting.load_model(spark, f"{folder}/booster"), weights=regression.load_weights(spark, f"{folder}/weights"),
     )
-    save_comparison(compare(catalog, tested), path)
-    training_record(features, tested).write.mode("overwrite").parquet(f"{path}/record")
-    return load_comparison(spark, path)
+    save_comparison(compare(catalog, tested), folder)
+    training_record(features, tested).write.parquet(f"{folder}/record")

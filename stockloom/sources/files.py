@@ -1,7 +1,11 @@
-"""Folders that jobs write: which of them are complete, and removal."""
+"""Folders that jobs write: which of them are complete, renaming and removal.
+
+This goes through the storage layer of the session's JVM, which Spark Connect clients don't have.
+"""
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -30,3 +34,37 @@ def numbered(spark: SparkSession, path: str, name: str) -> list[int]:
 def remove(spark: SparkSession, path: str) -> None:
     files, place = _at(spark, path)
     files.delete(place, True)
+
+
+def mark_complete(spark: SparkSession, path: str) -> None:
+    files, place = _at(spark, f"{path}/_SUCCESS")
+    files.create(place, True).close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _at(spark, path)
+    return files.exists(place)
+
+
+def changed_at(spark: SparkSession, path: str) -> float:
+    """Seconds since 1970 of the last change."""
+    files, place = _at(spark, path)
+    return files.getFileStatus(place).getModificationTime() / 1000
+
+
+def rename_new(spark: SparkSession, old: str, new: str) -> bool:
+    """Rename a folder unless the new name is taken; whether that was done."""
+    jvm = spark._jvm
+    file_system = jvm.org.apache.hadoop.fs
+    _, source = _at(spark, old)
+    files, target = _at(spark, new)
+    qualified = files.makeQualified(target)
+    context = file_system.FileContext.getFileContext(qualified.toUri(), spark._jsc.hadoopConfiguration())
+    no_options = spark.sparkContext._gateway.new_array(getattr(file_system, "Options$Rename"), 0)
+    try:
+        context.rename(files.makeQualified(source), qualified, no_options)
+    except Py4JJavaError as failed:
+        if not files.exists(target) or not files.exists(source):
+            raise
+        return False
+    return True

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
-from datetime import datetime
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timedelta
+from unittest import mock
 
 import pytest
 
 from stockloom.operators import inventory as inv
+from stockloom.sources import inventory_store
 from stockloom.sources.inventory_store import InventoryStore
 from stockloom.streaming.inventory_stream import apply_counts
 
@@ -102,8 +105,80 @@ def test_half_written_snapshot_is_not_served(spark, catalog, tmp_path):
 
 
 def test_old_snapshots_are_removed(spark, catalog, tmp_path):
-    store = InventoryStore(spark, str(tmp_path / "inv"), catalog)
+    store = InventoryStore(spark, str(tmp_path / "inv"), catalog, retained=timedelta(0))
     for n in range(8):
         store.update_stock("P001", n)
     assert len(list((tmp_path / "inv").glob("snapshot=*"))) == 5
     assert levels(store.stock_levels())["P001"] == 7
+
+
+def test_a_slow_reader_keeps_its_version(spark, catalog, tmp_path):
+    store = InventoryStore(spark, str(tmp_path / "inv"), catalog)
+    store.update_stock("P001", 1)
+    loaded, version = store.load(), store.versions.newest()
+    for n in range(8):
+        store.update_stock("P001", 10 + n)
+    assert levels(loaded)["P001"] == 1 == levels(store.load(version))["P001"]
+    assert levels(store.load())["P001"] == 17
+
+
+def test_two_writers_at_once_lose_no_count(spark, catalog, tmp_path):
+    """The second writer publishes while the first computes; the first applies its counts again to what it finds."""
+    one, two = (InventoryStore(spark, str(tmp_path / "inv"), catalog) for _ in range(2))
+    one.load()
+    upsert, calls = inv.upsert, []
+
+    def interrupted(inventory, counts):
+        if not calls:
+            calls.append(1)
+            two.update_stock("P002", 22)
+        calls.append(2)
+        return upsert(inventory, counts)
+
+    with mock.patch.object(inv, "upsert", interrupted):
+        one.update_stock("P001", 11)
+    got = levels(one.stock_levels())
+    assert (got["P001"], got["P002"]) == (11, 22) and calls.count(2) == 3  # one was tried twice
+    assert one.versions.numbers() == [0, 1, 2] and not list((tmp_path / "inv").glob("_staged*"))
+
+
+def test_many_writers_at_once(spark, catalog, tmp_path):
+    InventoryStore(spark, str(tmp_path / "inv"), catalog).load()
+
+    def write(k):
+        InventoryStore(spark, str(tmp_path / "inv"), catalog).update_stock(f"P{k:03}", 1000 + k)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(1, 7)))
+    got = levels(InventoryStore(spark, str(tmp_path / "inv"), catalog).stock_levels())
+    assert [got[f"P{k:03}"] for k in range(1, 7)] == [1000 + k for k in range(1, 7)]
+
+
+def test_a_failed_write_leaves_nothing(spark, catalog, tmp_path):
+    store = InventoryStore(spark, str(tmp_path / "inv"), catalog)
+    store.load()
+    with pytest.raises(Exception, match="no_such_column"):
+        store.save(inv.defaults(catalog).filter("no_such_column = 1"))
+    assert store.versions.numbers() == [0] and not list((tmp_path / "inv").glob("_staged*"))
+
+
+def test_changes_are_read_over_the_snapshot_and_folded_in(spark, catalog, tmp_path):
+    store = InventoryStore(spark, str(tmp_path / "inv"), catalog)
+    for n in range(inventory_store.CHANGES + 2):
+        store.append(updates(spark, ("P001", 100 + n, 5, n % 50), ("NEW", n, 5, 0)))
+    assert (levels(store.load())["P001"], levels(store.load())["NEW"]) == (100 + n, n)
+    snapshot, behind = store._pending(store.versions.newest())
+    assert snapshot == inventory_store.CHANGES + 1 and behind == [snapshot + 1]
+    assert levels(store.load(3))["P001"] == 102
+
+
+def test_a_batch_of_the_stream_writes_its_products_only(spark, catalog, tmp_path):
+    source = str(tmp_path / "in")
+    store = InventoryStore(spark, str(tmp_path / "inv"), catalog)
+    for part in (updates(spark, ("P001", 10, 5, 1), ("P002", 20, 5, 2)), updates(spark, ("P002", 5, 4, 1), ("P003", 7, 6, 1))):
+        part.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        apply_counts(stream, lambda session: store, str(tmp_path / "cp")).awaitTermination()
+    changes = spark.read.parquet(f"{store.versions.folder(2)}/changes")
+    # The late count of P002 doesn't change the state that the first run left.
+    assert {r.product_id: r.current_stock for r in changes.collect()} == {"P002": 20, "P003": 7}

@@ -124,7 +124,7 @@ def test_training_and_comparison(spark, sales, catalog, tmp_path):
     assert rows["A", "Naive"].test_samples == 18 and rows["A", "AR"].test_samples == 12
     best = comparison.ranked(got).filter("rank = 1").collect()
     assert len(best) == 2 and all(r.notes == "Best" for r in best)
-    stored = [json.loads(r.value) for r in spark.read.text(f"{path}/json").collect()]
+    stored = [json.loads(r.value) for r in spark.read.text(f"{comparison.artefacts(spark, path)}/json").collect()]
     assert {r["product_id"] for r in stored} == {"A", "B", "C"}
     assert set(next(r for r in stored if r["product_id"] == "A")["comparison"]) == {"Naive", "GBT", "AR"}
 
@@ -161,3 +161,28 @@ def test_training_of_selected_products(spark, sales, catalog, tmp_path):
     assert [r.product_id for r in comparison.unknown_products(wanted, catalog).collect()] == ["NONE"]
     got = comparison.train(sales, catalog, str(tmp_path / "m"), wanted, trees=1)
     assert {r.product_id for r in got.collect()} == {"B"}
+
+
+def test_a_failed_training_leaves_the_one_before(spark, sales, catalog, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    before = sorted(comparison.train(sales, catalog, path, trees=1).collect())
+    folder = comparison.artefacts(spark, path)
+
+    def fails(*_, **__):
+        raise RuntimeError("disk full")
+
+    monkeypatch.setattr(comparison, "training_record", fails)
+    with pytest.raises(RuntimeError, match="disk full"):
+        comparison.train(sales, catalog, path, trees=2)
+    assert comparison.artefacts(spark, path) == folder and sorted(comparison.load_comparison(spark, path).collect()) == before
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["training=0"]
+
+
+def test_training_of_a_selection_keeps_the_other_products(spark, sales, catalog, tmp_path):
+    path = str(tmp_path / "m")
+    comparison.train(sales, catalog, path, trees=1)
+    comparison.train(sales, catalog, path, spark.createDataFrame([("B",)], "product_id string"), trees=3)
+    trees = {r.product_id: len(r.steps) for r in spark.read.parquet(f"{comparison.artefacts(spark, path)}/booster").collect()}
+    assert set(trees) == {"A", "B"} and trees["B"] == 3 * trees["A"]  # C is too short for trees
+    assert comparison.load_comparison(spark, path).count() == 9 == comparison.load_comparison(spark, path, 0).count()
+    assert spark.read.text(f"{comparison.artefacts(spark, path)}/json").count() == 3
