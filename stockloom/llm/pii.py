@@ -38,11 +38,11 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.)+[A-Za-z]{2,24}",
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
     "iban": iban_pattern(),
-    "iso_date": r"(?<![\p{L}\p{N}/.-])\d{4}-\d{2}-\d{2}(?![\p{L}\p{N}]|[/.-]\d)",
-    "day_date": r"(?<![\p{L}\p{N}/.-])\d{2}(?<part>[./])\d{2}\k<part>\d{4}(?![\p{L}\p{N}]|[/.-]\d)",
+    "iso_date": r"(?<![\p{L}\p{N}/.-])\d{4}-\d{2}-\d{2}(?:(?=T\d{2})|(?![\p{L}\p{N}]|[/.-]\d))",
+    "day_date": r"(?<![\p{L}\p{N}/.-])\d{1,2}(?<part>[./])\d{1,2}\k<part>\d{4}(?![\p{L}\p{N}]|[/.-]\d)",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|-\d)",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?![\p{L}\p{N}])"
-             r"|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])"
+             r"|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{1,4}){2,5}(?![\p{L}\p{N}])"
              r"|(?<![\p{L}\p{N}.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\p{L}\p{N}]|[.-]\d)",
     "card": r"(?<![\p{L}\p{N}])(?:\d{4}(?<gap>[ -])\d{4}\k<gap>\d{4}\k<gap>\d{4}|3\d{3}(?<space>[ -])\d{6}\k<space>\d{5}|\d{13,19})(?![\p{L}\p{N}])",
 }
@@ -50,8 +50,12 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 # Alphabets within which characters are permuted.
 ALPHABETS = (
     "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßÿ",
+    "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ",
 )
+# Capitals of the alphabets, letter by letter. Letters outside of these (ß, İ and others) have no capital of one letter, and stay.
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŸ", ALPHABETS[1] + ALPHABETS[3]
+# Country codes of one and two digits; the others have three.
+COUNTRY_CODE = r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
 #: 400 Gregorian years have 146,097 = 189 * 773 days; dates are permuted within those that start here.
 CYCLE_START, CYCLE = "1800-01-01", (189, 773)
 
@@ -121,7 +125,7 @@ def refilled(template: Column, filling: Column, wanted: str) -> Column:
 
     def put(s, c):
         new = F.substr(filling, s["at"], F.lit(1))
-        cased = F.when((c != F.lower(c)), F.upper(new)).otherwise(new)
+        cased = F.when(F.instr(F.lit(CAPITALS), c) > 0, F.translate(new, SMALL, CAPITALS)).otherwise(new)
         return F.when(c.rlike(wanted), F.struct(F.concat(s["out"], cased).alias("out"), (s["at"] + 1).alias("at"))).otherwise(
             F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at")))
 
@@ -152,7 +156,7 @@ def mod_97(code: Column) -> Column:
 
 def email(m: Column, key: str) -> Column:
     local, rest = F.substring_index(m, "@", 1), F.substr(m, F.instr(m, F.lit("@")), F.length(m))
-    return F.concat(refilled(local, feistel_text(F.lower(local), key, "email"), "(?s)."), rest)
+    return F.concat(refilled(local, feistel_text(F.translate(local, CAPITALS, SMALL), key, "email"), "(?s)."), rest)
 
 
 def ip(m: Column, key: str) -> Column:
@@ -189,11 +193,17 @@ def iso_date(m: Column, key: str) -> Column:
 
 
 def day_date(m: Column, key: str) -> Column:
-    """Day first; where that is no date, month first."""
+    """Day first; where that is no date, month first. Written without leading zeros if the value is."""
     plain = F.translate(m, "/", ".")
-    first, second = F.try_to_date(plain, "dd.MM.yyyy"), F.try_to_date(plain, "MM.dd.yyyy")
-    dotted = F.when(in_cycle(first), F.date_format(date_shift(first, key), "dd.MM.yyyy")).when(
-        in_cycle(second), F.date_format(date_shift(second, key), "MM.dd.yyyy")).otherwise(plain)
+    padded = F.regexp_replace(plain, r"(?<!\d)(\d\.)", "0$1")
+    first, second = F.try_to_date(padded, "dd.MM.yyyy"), F.try_to_date(padded, "MM.dd.yyyy")
+
+    def written_out(day: Column, wide: str, narrow: str) -> Column:
+        moved = date_shift(day, key)
+        return F.when(plain == padded, F.date_format(moved, wide)).otherwise(F.date_format(moved, narrow))
+
+    dotted = F.when(in_cycle(first), written_out(first, "dd.MM.yyyy", "d.M.yyyy")).when(
+        in_cycle(second), written_out(second, "MM.dd.yyyy", "M.d.yyyy")).otherwise(plain)
     return F.when(F.contains(m, F.lit("/")), F.translate(dotted, ".", "/")).otherwise(dotted)
 
 
@@ -214,8 +224,8 @@ def ssn(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    """The country code stays; numbers of fewer than 7 or more than 15 digits are none."""
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
+    """The country code behind a plus stays, whether or not it is set apart; numbers of fewer than 7 or more than 15 digits are none."""
+    code = F.regexp_extract(m, rf"^\+(?:{COUNTRY_CODE})", 0)
     rest = F.substr(m, F.length(code) + 1, F.length(m))
     new = F.concat(code, refilled(rest, feistel_text(digits_of(rest), key, "phone"), "[0-9]"))
     return F.when(F.length(digits_of(m)).between(7, 15), new).otherwise(m)

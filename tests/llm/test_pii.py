@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import re
 from datetime import date
 
@@ -14,6 +15,70 @@ def replaced(spark, *texts, key=pii.KEY):
     return [r.text for r in pii.pseudonymised(rows, key).orderBy("doc_id").collect()]
 
 
+def plain_text(value, key, kind, back=False):
+    """The text network by loops; ``back`` undoes it."""
+    middle = len(value) // 2
+    a, b = value[:middle], value[middle:]
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        moving, other = (a, b) if i % 2 == 0 else (b, a)
+        hashed = hashlib.sha256(f"{key}|{kind}|{i}|{other}".encode()).hexdigest()
+        out = ""
+        for j, c in enumerate(moving):
+            by = int(hashed[j % 16 * 4:j % 16 * 4 + 4], 16) * (-1 if back else 1)
+            for alphabet in pii.ALPHABETS:
+                if c in alphabet:
+                    c = alphabet[(alphabet.index(c) + by) % len(alphabet)]
+                    break
+            out += c
+        a, b = (out, b) if i % 2 == 0 else (a, out)
+    return a + b
+
+
+def plain_number(value, key, kind, p, q, back=False):
+    a, b = divmod(value, q)
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        hashed = hashlib.sha256(f"{key}|{kind}|{i}|{b if i % 2 == 0 else a}".encode()).hexdigest()
+        by = int(hashed[:13], 16) * (-1 if back else 1)
+        a, b = ((a + by) % p, b) if i % 2 == 0 else (a, (b + by) % q)
+    return a * q + b
+
+
+def test_pseudonyms_are_those_of_plain_networks_and_can_be_undone(spark):
+    phones = ["+1 743 555 3824", "(743) 555-3824", "+493012345678", "+353 1 234 5678"]
+    mails = ["und.34@a.org", "GROẞE.STRAßE@a.org", "ÉLAN.İ-x@a.org", "a@a.org"]
+    for text, new in zip(phones, replaced(spark, *phones)):
+        digits, moved = re.sub(r"\D", "", text), re.sub(r"\D", "", new)
+        code = 0 if text[0] != "+" else 1 if digits[0] == "1" else 2 if digits[:2] == "49" else 3
+        assert moved == digits[:code] + plain_text(digits[code:], pii.KEY, "phone")
+        assert plain_text(moved[code:], pii.KEY, "phone", back=True) == digits[code:]
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text)
+    small, capitals = str.maketrans(pii.CAPITALS, pii.SMALL), pii.CAPITALS
+    for text, new in zip(mails, replaced(spark, *mails)):
+        local, moved = text.split("@")[0], new.split("@")[0]
+        assert len(moved) == len(local) and [c in capitals for c in moved] == [c in capitals for c in local]
+        assert moved.translate(small) == plain_text(local.translate(small), pii.KEY, "email")
+        assert plain_text(moved.translate(small), pii.KEY, "email", back=True) == local.translate(small)
+    day, = replaced(spark, "2020-05-17")
+    start = date.fromisoformat(pii.CYCLE_START)
+    n = (date(2020, 5, 17) - start).days
+    assert (date.fromisoformat(day) - start).days == plain_number(n, pii.KEY, "date", *pii.CYCLE)
+    assert plain_number(plain_number(n, "k", "d", *pii.CYCLE), "k", "d", *pii.CYCLE, back=True) == n
+
+
+def test_one_phone_number_has_one_pseudonym(spark):
+    forms = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+1-555-123-4567", "+1.555.123.4567"]
+    assert len({re.sub(r"\D", "", new) for new in replaced(spark, *forms)}) == 1
+
+
+def test_dates_in_timestamps_and_without_zeros(spark):
+    plain, stamp, spaced, wide, narrow, slashed = replaced(
+        spark, "2021-03-04", "2021-03-04T10:15:00Z", "2021-03-04 10:15", "04.03.2021", "4.3.2021", "4/3/2021")
+    assert plain != "2021-03-04" and stamp == f"{plain}T10:15:00Z" and spaced == f"{plain} 10:15"
+    year, month, day = plain.split("-")
+    assert wide == f"{day}.{month}.{year}" and narrow == f"{int(day)}.{int(month)}.{year}" == slashed.replace("/", ".")
+    assert replaced(spark, "2021-03-04Tx", "2021-03-045") == ["2021-03-04Tx", "2021-03-045"]
+
+
 def luhn(digits):
     doubled = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
     return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
