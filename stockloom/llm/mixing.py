@@ -9,6 +9,7 @@ shuffled within their shard.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -22,6 +23,8 @@ MOST_REPEATS = 3
 #: that it leaves out at most.
 BLOCK_WORDS, BLOCKS = 64, 4096
 SHARDS = 16
+#: Rows of the corpus for each of the parts that a shard is written in; a shard has 64 at least.
+TASK_ROWS = 100_000
 SEED = 20
 
 
@@ -255,9 +258,11 @@ def assigned(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of the mix with the columns of ``docs``: each as often as the mix takes it, dealt out by shard and shuffled
     within. Rows of blocks that aren't drawn are left out."""
-    plan = plan_of(sized(docs, doc_id, text, source), **options)
+    sizes = sized(docs, doc_id, text, source)
+    plan = plan_of(sizes, **options)
+    spread = max(64, math.ceil(sizes.count() / TASK_ROWS))
     keys = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), F.col(source).alias("_from"))
     copies = plan.joined(keys, "_id", "_from").select("_row", "_id", F.posexplode("shards").alias("_copy", "_shard"))
     order = F.xxhash64(F.lit(plan.seed), "_id", "_copy")
-    return copies.withColumn("_order", order).repartition("_shard", F.pmod("_order", F.lit(64))).sortWithinPartitions(
+    return copies.withColumn("_order", order).repartition("_shard", F.pmod("_order", F.lit(spread))).sortWithinPartitions(
         "_shard", "_order").select("_row.*")

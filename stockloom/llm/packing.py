@@ -2,8 +2,9 @@
 
 Pieces and gaps are sorted by size and kept as runs (all pieces of one length, all gaps of one size). A superstep takes
 the longest run of pieces left, sweeps to the successor gaps (the smallest that hold it), resolves who gets which gap
-by the pieces' ranks within their run, and updates the gaps; pieces without a gap open new sequences. Large inputs are
-dealt into strands that sweep side by side. Rows never meet in one task: they only look up what their run's ranks got.
+by the pieces' ranks within their run, and updates the gaps; pieces without a gap open new sequences. The sweeps see
+runs only, at most as many as a sequence has tokens, whatever the number of rows. Rows never meet in one task: they only look up what their
+run's ranks got.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from stockloom.llm.common import in_blocks, written
 
 CAPACITY = 2048
 END_ID = 0
-#: Pieces of a strand; parts of a run within which rows are ranked side by side.
-STRAND_PIECES, RUN_PARTS = 4_000_000, 16
-#: Words whose ids a worker remembers (about 200 bytes each).
-REMEMBERED = 1_000_000
+#: Rows of a part of a run on average, should one run hold all rows; parts are ranked side by side.
+PART_ROWS = 100_000
+#: Words whose ids a worker remembers, and their longest in bytes (about 200 bytes each in all).
+REMEMBERED, LONGEST = 1_000_000, 32
 #: Characters of texts that are encoded at once.
 BLOCK_CHARACTERS = 2_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,8 +75,12 @@ class WordEncoder:
             new = list(words)
         self.learn(new)
         get = self.known.__getitem__
-        return [
+        found = [
             self.whole(text) if text and "<|" in text else b"".join(map(get, words)) for text, words in zip(texts, split)]
+        for word in new:
+            if len(word) > LONGEST:
+                del self.known[word]
+        return found
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -146,41 +151,37 @@ def sweep(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> pd.DataFram
     return pd.DataFrame(out, columns=["length", "first", "sequence", "each", "place"])
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, strand_pieces: int = STRAND_PIECES) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS) -> DataFrame:
     """``pieces`` (with ``doc_id, piece, length, ids_crc32``) and where they go: ``sequence_id, offset``.
 
-    Sequences hold at most ``capacity`` and have no holes. Pieces of equal length are ranked by doc_id, piece and check sum;
-    repeated rows are packed as often as they occur. An empty table gives no rows.
+    Sequences hold at most ``capacity`` and have no holes. Pieces of equal length are ranked by parts of a hash and there by doc_id,
+    piece and check sum; repeated rows are packed as often as they occur. An empty table gives no rows.
     """
-    spark = pieces.sparkSession
     rows = written(pieces, "pieces")
-    strands = max(1, math.ceil(rows.count() / strand_pieces))
-    dealt = rows.withColumns({
-        "strand": F.pmod(F.xxhash64("doc_id", F.lit("strand")), F.lit(strands)),
-        "part": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RUN_PARTS))})
-    keys = ["strand", "length", "part"]
-    counted = written(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "runs")
+    parts = max(16, math.ceil(rows.count() / part_rows))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
+    counted = written(dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "runs")
 
-    def strand(key: tuple, runs: pd.DataFrame) -> pd.DataFrame:
-        return sweep(runs["length"].to_numpy(), runs["n"].to_numpy(), capacity).assign(strand=key[0])
+    def all_runs(runs: pd.DataFrame) -> pd.DataFrame:
+        return sweep(runs["length"].to_numpy(), runs["n"].to_numpy(), capacity)
 
     plan = (
-        counted.groupBy("strand", "length").agg(F.sum("n").alias("n"))
-        .groupBy("strand").applyInPandas(strand, "strand long, length long, first long, sequence long, each long, place long")
-        .groupBy("strand", "length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "each", "place"))).alias("steps"))
+        counted.groupBy("length").agg(F.sum("n").alias("n"))
+        .groupBy().applyInPandas(all_runs, "length long, first long, sequence long, each long, place long")
+        .groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "sequence", "each", "place"))).alias("steps"))
     )
-    earlier = Window.partitionBy("strand", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = written(
-        counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, ["strand", "length"])
-        .select(*keys, "before", "steps"), "run_parts")
-    within = Window.partitionBy(*keys).orderBy("doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("_rank", F.row_number().over(within)).join(parts, keys).withColumn(
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_run = written(
+        counted.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(plan, "length")
+        .select("length", "part", "before", "steps"), "run_parts")
+    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    ranked = dealt.withColumn("_rank", F.row_number().over(within)).join(of_run, ["length", "part"]).withColumn(
         "_rank", F.col("_rank") - 1 + F.col("before"))
     step = F.element_at(F.filter("steps", lambda s: s["first"] <= F.col("_rank")), -1)
     placed = ranked.withColumn("_step", step).withColumn("_at", F.col("_rank") - F.col("_step.first"))
     return placed.select(
         *rows.columns,
-        (F.col("strand") * F.lit(1 << 40) + F.col("_step.sequence") + F.floor(F.col("_at") / F.col("_step.each"))).alias("sequence_id"),
+        (F.col("_step.sequence") + F.floor(F.col("_at") / F.col("_step.each"))).alias("sequence_id"),
         (F.col("_step.place") + F.pmod("_at", "_step.each") * F.col("length")).alias("offset"),
     )
 

@@ -11,8 +11,9 @@ from pyspark.sql import Column, functions as F
 
 from stockloom.llm.common import in_blocks
 
-#: Pieces between spaces whose counts a worker remembers (about 200 bytes each), and characters counted at once.
-REMEMBERED = 1_000_000
+#: Pieces between spaces whose counts a worker remembers, their longest in characters (about 200 bytes each in all), and
+#: characters counted at once.
+REMEMBERED, LONGEST = 1_000_000, 32
 BLOCK_CHARACTERS = 2_000_000
 #: The character that stands for a space in the vocabulary.
 SPACE = "▁"
@@ -111,7 +112,11 @@ class PieceCounter:
         known, merged = self.known, self.merged
         for word in new:
             known[word] = merged(SPACE + word.replace(" ", SPACE))
-        return [sum(map(known.__getitem__, words)) for words in split]
+        found = [sum(map(known.__getitem__, words)) for words in split]
+        for word in new:
+            if len(word) > LONGEST:
+                del known[word]
+        return found
 
 
 def token_count(text: str | Column, path: str) -> Column:
