@@ -13,6 +13,7 @@ import bisect
 import math
 import os
 import zlib
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -63,7 +64,8 @@ class WordEncoder:
             part = words[at:at + 20_000]
             texts = [w.decode("utf-8", "replace") for w in part]
             for word, encoding in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self.known[word] = np.array(encoding.ids, "<u4").tobytes()
+                ids = encoding.ids
+                self.known[word] = pack(f"<{len(ids)}I", *ids)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """The ids of whole texts as little-endian 32-bit numbers; none for a null or empty text."""
