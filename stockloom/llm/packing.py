@@ -18,6 +18,7 @@ from struct import pack
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from stockloom.llm.common import in_blocks, written
@@ -26,10 +27,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows of a part of a run on average, should one run hold all rows; parts are ranked side by side.
 PART_ROWS = 100_000
-#: Words whose ids a worker remembers, and their longest in bytes (about 200 bytes each in all).
+#: Words whose ids a worker remembers, and their longest in characters (about 200 bytes each in all).
 REMEMBERED, LONGEST = 1_000_000, 32
 #: Characters of texts that are encoded at once.
-BLOCK_CHARACTERS = 2_000_000
+BLOCK_CHARACTERS = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 _encoders: dict[str, "WordEncoder"] = {}
@@ -47,7 +48,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> "WordEncoder":
@@ -58,31 +59,41 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Encode words that are not known yet."""
         for at in range(0, len(words), 20_000):
             part = words[at:at + 20_000]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            for word, encoding in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            for word, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 ids = encoding.ids
                 self.known[word] = pack(f"<{len(ids)}I", *ids)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of whole texts as little-endian 32-bit numbers; none for a null or empty text."""
-        split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        words = set().union(*split)
+        """The ids of whole texts as little-endian 32-bit numbers; none for a null or empty text.
+
+        Only the different words of the texts are looked up one by one; their ids are then laid out with numpy.
+        """
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+        coded = split.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         new = [word for word in words if word not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = list(words)
+            new = words
         self.learn(new)
-        get = self.known.__getitem__
-        found = [
-            self.whole(text) if text and "<|" in text else b"".join(map(get, words)) for text, words in zip(texts, split)]
+        found = [self.known[word] for word in words]
         for word in new:
             if len(word) > LONGEST:
                 del self.known[word]
-        return found
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        lengths = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        at = np.repeat(starts[place] - ends[:-1], lengths) + np.arange(ends[-1])
+        laid_out = np.frombuffer(b"".join(found), "<u4")[at]
+        bounds = ends[split.offsets.to_numpy()]
+        return [
+            self.whole(text) if text and "<|" in text else laid_out[first:last].tobytes()
+            for text, first, last in zip(texts, bounds[:-1], bounds[1:])]
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:

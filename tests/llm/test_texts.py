@@ -142,7 +142,7 @@ def test_packing_is_as_tight_as_best_fit(spark, part_rows):
 def test_long_words_are_not_remembered():
     encoder, counter = packing.WordEncoder(WORDS), token_counts.PieceCounter(PIECES)
     texts = ["中文" * 200 + " short", "x" * 400 + " short"]
-    assert encoder.ids(texts) == [encoder.whole(text) for text in texts] and set(encoder.known) == {b"short"}
+    assert encoder.ids(texts) == [encoder.whole(text) for text in texts] and set(encoder.known) == {"short"}
     assert counter.counts(texts) == counter.counts(texts) and set(counter.known) == {"short"}
 
 
