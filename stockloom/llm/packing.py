@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import math
 import os
+import re
 import zlib
 from struct import pack
 
@@ -33,6 +34,10 @@ REMEMBERED, LONGEST = 1_000_000, 32
 BLOCK_CHARACTERS = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Words of small letters and perhaps one mark, and some to try whether a tokenizer leaves such words as they are.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]?)")
+TRIED = ("the", "a", "straße,", "élan.", "señor;", "çà!", "thanedble", "zzzzzzzz?", "don", "s", "re", "ll:", "ñandúes", "øre", "fi", "ie.")
+
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -48,7 +53,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.splitter = self.tokenizer.model, self.tokenizer.pre_tokenizer
         self.known: dict[str, bytes] = {}
+        self.plain = self.splitter is not None and all(self.direct(PLAIN.fullmatch(word)) == self.whole(word) for word in TRIED)
 
     @classmethod
     def at(cls, path: str) -> "WordEncoder":
@@ -59,8 +66,23 @@ class WordEncoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def direct(self, parts: re.Match[str]) -> bytes:
+        """The ids of a plain word: its letters and its mark go to the model, with other letters than ASCII's as the bytes that it knows."""
+        pieces = filter(None, parts.groups()) if parts[0].isascii() else (p for p, _ in self.splitter.pre_tokenize_str(parts[0]))
+        ids = [token.id for piece in pieces for token in self.model.tokenize(piece)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet."""
+        """Encode words that are not known yet; those that the tokenizer doesn't normalise, in its model alone."""
+        if self.plain:
+            others = []
+            for word in words:
+                parts = PLAIN.fullmatch(word)
+                if parts:
+                    self.known[word] = self.direct(parts)
+                else:
+                    others.append(word)
+            words = others
         for at in range(0, len(words), 20_000):
             part = words[at:at + 20_000]
             for word, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):

@@ -139,6 +139,16 @@ def test_packing_is_as_tight_as_best_fit(spark, part_rows):
     assert used <= best * 1.01 + 1
 
 
+def test_plain_words_have_the_library_ids():
+    encoder, draw = packing.WordEncoder(WORDS), random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+    words = {"".join(draw.choices(letters, k=draw.randint(1, 12))) + draw.choice(["", "", ",", ".", "!", "?", ";", ":"]) for _ in range(4000)}
+    words |= {a + b for a in ("s", "t", "re", "ve", "m", "ll", "d", "i") for b in ("", ".", ",")} | {"×a", "a÷b", "a..", "'s", "don't", "É", "e\u0301"}
+    assert encoder.plain
+    encoder.learn(sorted(words))
+    assert all(encoder.known[word] == encoder.whole(word) for word in words)
+
+
 def test_long_words_are_not_remembered():
     encoder, counter = packing.WordEncoder(WORDS), token_counts.PieceCounter(PIECES)
     texts = ["中文" * 200 + " short", "x" * 400 + " short"]
