@@ -4,7 +4,7 @@ A plain window over ``partitionBy(product)`` sends a whole series to one task. H
 cut into chunks of consecutive rows with the help of row counts per month, and the last rows before a
 chunk are copied into it, so that lags and bounded frames see the same rows as in the uncut series.
 A window group is thus bounded by the chunk length plus some months, however many rows one
-product has, and the rows are shuffled once.
+product has. The rows are shuffled once where the months' counts are small enough for Spark to broadcast them, else also to meet these.
 """
 
 from __future__ import annotations
@@ -75,7 +75,7 @@ def number_and_cut(
     bucket: Column | None = None,
     first: Sequence[str] = (),
 ) -> DataFrame:
-    """Number the rows of each series and cut it into chunks, with one shuffle of the rows.
+    """Number the rows of each series and cut it into chunks.
 
     Adds ``row_no``, ``series_rows``, ``chunk``, ``is_halo`` and ``first_<c>``, the value of each ``first``
     column in the first row of the series. A chunk is made of whole buckets (see ``number_rows``);
