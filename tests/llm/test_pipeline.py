@@ -30,7 +30,7 @@ def rows_of(df, *columns):
 
 def test_all_queries_are_registered():
     names = set(contract.queries())
-    assert set(QUERIES) | {"pipeline"} <= names and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(QUERIES) | {"pipeline"} <= names and sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_columns_stay_to_the_last_stage(stages):
