@@ -15,15 +15,16 @@ from stockloom.llm.vectors import one_per_id, sample
 
 #: The index is fitted on at most FITTED vectors; each half has CENTROIDS centroids, so that there are CENTROIDS ** 2 cells.
 FITTED, CENTROIDS, ROUNDS = 16_384, 128, 12
-#: The share of all entries that a traversal gathers, and entries that it gathers at least.
-SHARE, LEAST = 0.45, 2_000
+#: A traversal gathers the least share of all entries that holds this share of the nearest entries of ASKED queries, and LEAST
+#: entries at least.
+RECALL, ASKED, LEAST = 0.97, 128, 2_000
 #: The traversal also goes on until it holds that share when exact copies count once and no cell for more than OVERSIZED times
 #: the median cell, so that a hot group doesn't use it up.
 OVERSIZED = 4
 #: Rows whose distances tell how far seeds lie apart.
 SPACED = 1_024
-#: Entries and queries that are compared at once.
-ENTRY_BLOCK, QUERY_BLOCK = 4_096, 1_024
+#: Entries and queries that come together in a group, and how many of these queries are compared at once.
+ENTRY_BLOCK, QUERY_BLOCK, SLICE = 4_096, 4_096, 512
 
 
 def seeds(rows: np.ndarray, count: int) -> np.ndarray:
@@ -55,6 +56,14 @@ def centroids(rows: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
     return middle
 
 
+def in_line(middle: np.ndarray) -> np.ndarray:
+    """The centroids in the order of the direction in which they differ most, so that neighbours in number lie near."""
+    if not middle.size:
+        return middle
+    spread = middle - middle.mean(axis=0)
+    return middle[np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")]
+
+
 def assign(rows: np.ndarray, middle: np.ndarray) -> np.ndarray:
     """The nearest centroid of each row (ties: the first)."""
     out = np.empty(len(rows), np.int64)
@@ -67,11 +76,47 @@ def assign(rows: np.ndarray, middle: np.ndarray) -> np.ndarray:
 @dataclass
 class MultiIndex:
     """The centroids of both halves and how many entries each pair of them holds (CENTROIDS ** 2 counts); ``light`` are the
-    counts without copies and without what is beyond OVERSIZED."""
+    counts without copies and without what is beyond OVERSIZED. ``first`` and ``parts`` deal the cells into blocks."""
 
     halves: tuple[np.ndarray, np.ndarray]
     counts: np.ndarray
     light: np.ndarray | None = None
+    first: np.ndarray | None = None
+    parts: np.ndarray | None = None
+
+    def deal(self, most: int) -> int:
+        """Deal cells into blocks of at most ``most`` entries and return the number of blocks. A cell goes to block ``first``;
+        a larger one has ``parts`` blocks from there on to itself."""
+        self.parts = np.maximum(1, -(-self.counts // most))
+        self.first = np.zeros(len(self.counts), np.int64)
+        block = held = 0
+        for cell, (n, parts) in enumerate(zip(self.counts.tolist(), self.parts.tolist())):
+            if held and held + n > most:
+                block, held = block + 1, 0
+            self.first[cell] = block
+            held += n
+            if parts > 1:
+                block, held = block + parts, 0
+        return block + bool(held)
+
+    def blocks(self, depth: np.ndarray, place: np.ndarray, total: int) -> np.ndarray:
+        """The blocks that hold entries of the visited cells."""
+        cells = np.flatnonzero((place[None, :] < depth[:, None]).ravel() & (self.counts > 0))
+        edges = np.zeros(total + 1, np.int64)
+        np.add.at(edges, self.first[cells], 1)
+        np.add.at(edges, self.first[cells] + self.parts[cells], -1)
+        return np.flatnonzero(np.cumsum(edges)[:total])
+
+    def share_before(self, query: np.ndarray) -> np.ndarray:
+        """By cell: the share of all entries that a traversal holds before it visits the cell, by the full or the light
+        counts, whichever is less."""
+        far = -(self.halves[0] @ query[:self.split])[:, None] - (self.halves[1] @ query[self.split:])[None, :]
+        order = np.argsort(far.ravel(), kind="stable")
+        out = np.ones(len(order))
+        for counts in (self.counts, self.light):
+            inside = counts[order]
+            out[order] = np.minimum(out[order], (np.cumsum(inside) - inside) / inside.sum())
+        return out
 
     @property
     def split(self) -> int:
@@ -119,7 +164,8 @@ def fit(vectors: DataFrame, count: int = CENTROIDS, most: int = FITTED) -> Multi
     if not rows.size:
         return None
     half = (rows.shape[1] + 1) // 2
-    return MultiIndex((centroids(rows[:, :half], count), centroids(rows[:, half:], count)), np.zeros(0))
+    halves = in_line(centroids(rows[:, :half], count)), in_line(centroids(rows[:, half:], count))
+    return MultiIndex(halves, np.zeros(0))
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -150,16 +196,52 @@ def best_of(scores: np.ndarray, rows: np.ndarray, query: np.ndarray, ids: np.nda
     return ids[visited[order]], exact[order]
 
 
+def least_share(entries: DataFrame, queries: DataFrame, index: MultiIndex, k: int, recall: float = RECALL, most: int = ASKED) -> float:
+    """The least share of the entries that holds ``recall`` of the true ``k`` nearest of at most ``most`` queries.
+
+    The queries are of as many cells as can be, so that those of a hot group don't speak for all; they are compared with every
+    entry, in one pass.
+    """
+    spark = entries.sparkSession
+    by_cell = queries.groupBy("cell").agg(F.min_by(F.struct("query_id", "vector"), F.xxhash64("query_id")).alias("q"))
+    asked = by_cell.orderBy(F.xxhash64("cell")).limit(most).select("q.*").toPandas()
+    if not len(asked):
+        return 0.0
+    vectors, own = matrix(asked["vector"]), asked["query_id"].to_numpy()
+    shared = spark.sparkContext.broadcast((vectors, own))
+
+    def nearest(batches):
+        vectors, own = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, cells = batch["vec_id"].to_numpy(), batch["cell"].to_numpy()
+            scores = np.where(own[:, None] == ids[None, :], -np.inf, vectors @ matrix(batch["vector"]).T)
+            best = np.argpartition(-scores, min(k, len(ids)) - 1, axis=1)[:, :k]
+            who = np.repeat(np.arange(len(own)), best.shape[1])
+            yield pd.DataFrame({"q": who, "cell": cells[best.ravel()], "score": scores[who, best.ravel()]})
+
+    found = entries.select("vec_id", "vector", "cell").mapInPandas(nearest, "q int, cell int, score double")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cell"))
+    # at most ``most`` times ``k`` rows
+    true = found.filter("score > double('-Infinity')").withColumn("rank", rank).filter(F.col("rank") <= k).select("q", "cell").toPandas()
+    if not len(true):
+        return 0.0
+    before = np.concatenate([index.share_before(vectors[q])[part["cell"].to_numpy()] for q, part in true.groupby("q")])
+    return float(np.sort(before)[math.ceil(recall * len(before)) - 1]) + 1e-9
+
+
 def search(
     rows: DataFrame, is_query: Column | str, k: int, vec_id: str = "vec_id", vector: str = "embedding",
-    share: float = SHARE, count: int = CENTROIDS,
+    share: float | None = None, count: int = CENTROIDS,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k found vectors with the largest inner product, for every row that
     ``is_query`` holds for, among all other rows.
 
-    Entries and queries are dealt into blocks; each pair of blocks gives its own k best and these are merged. Vectors that are
-    null, zero or not finite, or have no id, take no part. Ids that repeat count once. Tables smaller than LEAST are
-    searched whole; a table without queries gives no rows. Ties go to the smaller id.
+    Entries lie in blocks of neighbouring cells, a large cell in several; a query goes to the blocks that hold cells it visits.
+    Each gives its own k best and these are merged. ``share`` is the share of entries that a traversal gathers, by default
+    the least that suffices (``least_share``). Vectors that are null, zero or not finite, or have no id, take no part. Ids that repeat
+    count once. Tables smaller than LEAST are searched whole; a table without queries gives no rows. Ties go to the smaller id.
     """
     spark = rows.sparkSession
     is_query = F.expr(is_query) if isinstance(is_query, str) else is_query
@@ -175,10 +257,11 @@ def search(
     for row in copies.groupBy("cell").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("distinct")).collect():
         index.counts[row["cell"]], index.light[row["cell"]] = row["n"], row["distinct"]  # at most CENTROIDS ** 2 rows
     index.light = np.minimum(index.light, math.ceil(OVERSIZED * np.median(index.light[index.light > 0])))
+    queries = entries.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector", "cell")
+    share = least_share(entries, queries, index, k) if share is None else share
     total = int(index.counts.sum())
     needed, needed_light = max(math.ceil(share * total), min(total, LEAST)), math.ceil(share * index.light.sum())
-    queries = entries.filter(is_query).select(F.col("vec_id").alias("query_id"), "vector")
-    entry_blocks = math.ceil(total / ENTRY_BLOCK)
+    entry_blocks = index.deal(ENTRY_BLOCK)
     query_blocks = max(1, math.ceil(queries.count() / QUERY_BLOCK))
     shared = spark.sparkContext.broadcast(index)
 
@@ -186,16 +269,21 @@ def search(
         for batch in batches:
             found = [shared.value.traverse(q, needed, needed_light) for q in matrix(batch["vector"])] if len(batch) else []
             yield batch.assign(
-                depth=[d.tobytes() for d, _ in found], place=[p.tobytes() for _, p in found])
+                depth=[d.tobytes() for d, _ in found], place=[p.tobytes() for _, p in found],
+                visited=[shared.value.blocks(d, p, entry_blocks) for d, p in found])
 
-    planned = written(queries.mapInPandas(
-        visit, "query_id long, vector array<double>, depth binary, place binary"), "queries")
+    planned = written(queries.drop("cell").mapInPandas(
+        visit, "query_id long, vector array<double>, depth binary, place binary, visited array<int>"), "queries")
 
-    def blocks(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    @F.pandas_udf("int")
+    def block(cells: pd.Series, spread: pd.Series) -> pd.Series:
+        at = cells.to_numpy()
+        return pd.Series(shared.value.first[at] + spread.to_numpy() % shared.value.parts[at], dtype="int32")
 
-    left = planned.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("e", blocks(entry_blocks))
-    right = entries.withColumn("e", F.pmod(F.xxhash64("vec_id"), F.lit(entry_blocks)).cast("int")).withColumn("q", blocks(query_blocks))
+    query_block = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
+    left = planned.withColumn("q", query_block).withColumn("e", F.explode("visited")).drop("visited")
+    right = entries.withColumn("e", block("cell", F.xxhash64("vec_id"))).withColumn(
+        "q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
     def rerank(queries_: pd.DataFrame, entries_: pd.DataFrame) -> pd.DataFrame:
         if not len(queries_) or not len(entries_):
@@ -204,19 +292,21 @@ def search(
         entries_ = entries_.sort_values(["cell", "vec_id"])
         ids, vectors = entries_["vec_id"].to_numpy(), matrix(entries_["vector"])
         first, second = np.divmod(entries_["cell"].to_numpy(), n2)
-        asked = matrix(queries_["vector"])
-        depth = np.frombuffer(b"".join(queries_["depth"]), np.uint16).reshape(len(asked), -1)
-        place = np.frombuffer(b"".join(queries_["place"]), np.uint16).reshape(len(asked), -1)
-        scores = np.full((len(asked), len(ids)), -np.inf)
         starts = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        for a, b in zip(starts, [*starts[1:], len(ids)]):
-            who = np.flatnonzero(depth[:, first[a]])
-            inside = place[who][:, second[a:b]] < depth[who, first[a], None]
-            scores[who, a:b] = np.where(inside, asked[who] @ vectors[a:b].T, -np.inf)
         parts = []
-        for i, own in enumerate(queries_["query_id"]):
-            near, exact = best_of(scores[i], vectors, asked[i], ids, own, k)
-            parts.append(pd.DataFrame({"query_id": own, "vec_id": near, "score": exact}))
+        for at in range(0, len(queries_), SLICE):
+            some = queries_.iloc[at:at + SLICE]
+            asked = matrix(some["vector"])
+            depth = np.frombuffer(b"".join(some["depth"]), np.uint16).reshape(len(asked), -1)
+            place = np.frombuffer(b"".join(some["place"]), np.uint16).reshape(len(asked), -1)
+            scores = np.full((len(asked), len(ids)), -np.inf)
+            for a, b in zip(starts, [*starts[1:], len(ids)]):
+                who = np.flatnonzero(depth[:, first[a]])
+                inside = place[who][:, second[a:b]] < depth[who, first[a], None]
+                scores[who, a:b] = np.where(inside, asked[who] @ vectors[a:b].T, -np.inf)
+            for i, own in enumerate(some["query_id"]):
+                near, exact = best_of(scores[i], vectors, asked[i], ids, own, k)
+                parts.append(pd.DataFrame({"query_id": own, "vec_id": near, "score": exact}))
         return pd.concat(parts, ignore_index=True)
 
     found = left.groupBy("q", "e").cogroup(right.groupBy("q", "e")).applyInPandas(rerank, out)

@@ -43,6 +43,38 @@ def test_search_finds_nearly_all_and_scores_exactly(spark, monkeypatch):
     assert set(found["query_id"]) == set(ids[queries].tolist())
 
 
+def test_the_share_follows_the_vectors(spark):
+    """Clustered vectors need a small share of the entries, and queries then reach few blocks; random ones need much more."""
+    rng = np.random.default_rng(3)
+    ids, shares = list(range(6000)), []
+    for spread in (0.1, 10.0):
+        middles = itq.unit(rng.normal(size=(120, 32)))
+        rows = itq.unit(middles[rng.integers(0, 120, 6000)] + spread * itq.unit(rng.normal(size=(6000, 32))))
+        usable = spark.createDataFrame(list(zip(ids, rows.tolist())), "vec_id long, vector array<double>")
+        index = multi_index.fit(usable, 24)
+        entries = multi_index.index_entries(usable, index)
+        cells = index.cells(rows)
+        index.counts = index.light = np.bincount(cells, minlength=24 * 24)
+        queries = entries.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+        shares.append(multi_index.least_share(entries, queries, index, 10))
+        before = []
+        for q in range(0, 6000, 20):
+            scores = rows @ rows[q]
+            scores[q] = -np.inf
+            before.extend(index.share_before(rows[q])[cells[np.argsort(-scores)[:10]]] < shares[-1])
+        assert np.mean(before) >= 0.94
+    assert shares[0] < 0.1 and 2 * shares[0] < shares[1]
+
+
+def test_blocks_hold_whole_cells_or_parts_of_large_ones():
+    index = multi_index.MultiIndex((np.zeros((2, 1)), np.zeros((4, 1))), np.array([3, 0, 5, 25, 9, 1, 0, 11]))
+    assert index.deal(10) == 7
+    assert index.first.tolist() == [0, 0, 0, 1, 4, 4, 4, 5]
+    assert index.parts.tolist() == [1, 1, 1, 3, 1, 1, 1, 2]
+    # the first centroid's nearest pair is the fourth of the second half, the other's all
+    assert index.blocks(np.array([1, 4]), np.array([3, 1, 2, 0]), 8).tolist() == [1, 2, 3, 4, 5, 6]
+
+
 @pytest.mark.parametrize("spread", [0.0, 0.05])
 def test_a_hot_third_does_not_use_up_the_search(spark, spread):
     rng = np.random.default_rng(11)
