@@ -172,6 +172,10 @@ TITLE = "upper(category[1]) || category[2:]"
 # --- sources and sinks -----------------------------------------------------------------------
 
 oracle("scan_sales", "select * replace (cast(date as date) as date) from sales", "sales")
+oracle("append_sales", """
+  select product_id, substr(cast(date as varchar), 1, 4) as year, count(*) as rows, max(cast(date as varchar)) as last_date,
+    cast(sum(quantity_sold + case when substr(cast(date as varchar), 1, 4) >= '1997' and isodow(cast(date as date)) = 1 then 1 else 0 end) as bigint) as units
+  from sales group by all""", "sales")
 oracle("load_sales_table", "select count(*) as rows, cast(sum(quantity_sold) as bigint) as units from sales", "sales")
 oracle("derived_sales", "select * from sales", "sales")
 oracle("derived_catalog", "select * from catalog", "catalog")

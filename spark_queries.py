@@ -76,7 +76,8 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def last_rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that trends and stock rules look back on."""
-    return feats.last_rows(Store.of(spark, sf_dir).sales, rules.WINDOW_ROWS)
+    store = Store.of(spark, sf_dir)
+    return feats.last_rows(store.sales_by_year, rules.WINDOW_ROWS, months=store.months)
 
 
 def counts_of(events: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -119,6 +120,18 @@ def load_sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.agg(F.count(F.lit(1)).alias("rows"), F.sum("quantity_sold").alias("units"))
 
 
+@query
+def append_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days up to mid-1997, then those from 1997 on with every Monday counted once more: the half-year that both hold is replaced."""
+    rows, path = Store.of(spark, sf_dir).sales, scratch_path(spark, "sales_grown")
+    sales_source.load_table(spark, rows.filter("date < '1997-07-01'"), path)
+    later = rows.filter("date >= '1997-01-01'").withColumn(
+        "quantity_sold", F.col("quantity_sold") + F.expr("case when weekday(to_date(date)) = 0 then 1 else 0 end"))
+    stored = sales_source.add_rows(spark, later, path)
+    return stored.groupBy("product_id", F.substring("date", 1, 4).alias("year")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("quantity_sold").alias("units"), F.max("date").alias("last_date"))
+
+
 @query
 def derived_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sales fact from the order lines."""
@@ -250,7 +263,14 @@ def catalog_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 on_features("eda_moving_average", lambda features: rounded(
     feats.moving_averages(features), ("ma_7", "ma_30")))
-on_sales("last_n_history", lambda sales: feats.last_rows(sales, 90).select("product_id", "date", "quantity_sold"))
+
+
+@query
+def last_n_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = Store.of(spark, sf_dir)
+    return feats.last_rows(store.sales_by_year, 90, months=store.months).select("product_id", "date", "quantity_sold")
+
+
 on_features("chrono_split", lambda features: features.groupBy("product_id").agg(
     F.count_if(feats.is_train()).alias("train_rows"), F.count_if(~feats.is_train()).alias("test_rows"),
     F.max(F.when(feats.is_train(), F.col("date"))).alias("last_train_date")))

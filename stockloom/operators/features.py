@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from stockloom import rules
 from stockloom.functions import calendar
 from stockloom.operators.series import CHUNK_ROWS, SERIES, chunk_order, cut, number_and_cut, uncut
-from stockloom.sources.sales import dated
+from stockloom.sources.sales import YEAR, dated
 
 LAGS = (1, 7, 30)
 WARM_UP = max(LAGS)
@@ -99,21 +99,32 @@ def moving_averages(features: DataFrame, series: Sequence[str] = SERIES, chunk_r
     )
 
 
-def last_rows(sales: DataFrame, rows: int, series: Sequence[str] = SERIES) -> DataFrame:
+def last_rows(
+    sales: DataFrame, rows: int, series: Sequence[str] = SERIES, months: DataFrame | None = None
+) -> DataFrame:
     """The last ``rows`` rows of each series' feature frame: date, quantity and numbers, without lags.
 
-    Row counts per month (combined before the shuffle) tell which months hold these rows. Only those months are joined,
-    shuffled and numbered, from the end; the cost follows the number of series, not the length of their history.
+    Row counts per month tell which months hold these rows. Only those months are joined, shuffled and numbered, from the end. The
+    counts are ``months`` (``sales.month_counts`` of the stored table) or else a scan of narrow columns, combined before the
+    shuffle. If ``sales`` has the ``year`` it is stored under, the folders of years before the first such month aren't read.
     """
-    bucketed = dated(sales).select(*series, "date", "quantity_sold").withColumn("_month", F.trunc("date", "month"))
+    stored = YEAR in sales.columns
+    year = [YEAR] if stored else []
+    bucketed = dated(sales).select(*series, "date", "quantity_sold", *year).withColumn("_month", F.trunc("date", "month"))
+    if months is None:
+        sizes = bucketed.groupBy(*series, "_month").agg(F.count(F.lit(1)).alias("_rows"))
+    else:
+        sizes = months.groupBy(*series, F.col("month").alias("_month")).agg(F.sum("rows").alias("_rows"))
     whole = Window.partitionBy(*series)
     later = whole.orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
-    months = bucketed.groupBy(*series, "_month").agg(F.count(F.lit(1)).alias("_rows")).select(
+    wanted = sizes.select(
         *series, "_month", F.sum("_rows").over(whole).alias("series_rows"),
         F.coalesce(F.sum("_rows").over(later), F.lit(0)).alias("_after"),
     ).filter(F.col("_after") < rows)
+    if stored:
+        bucketed = bucketed.filter(F.col(YEAR) >= wanted.agg(F.min(F.year("_month"))).scalar())
     local = Window.partitionBy(*series, "_month").orderBy(F.desc("date"))
-    numbered = bucketed.join(months, [*series, "_month"]).withColumn("_from_end", F.col("_after") + F.row_number().over(local))
+    numbered = bucketed.join(wanted, [*series, "_month"]).withColumn("_from_end", F.col("_after") + F.row_number().over(local))
     return numbered.filter(F.col("_from_end") <= rows).select(
         *series, "date", "quantity_sold",
         (F.col("series_rows") + 1 - F.col("_from_end") - WARM_UP).alias("frame_no"),

@@ -16,7 +16,7 @@ from stockloom.functions.numeric import lookup, whole
 from stockloom.operators.ledger import stock_ledger
 from stockloom.operators.series import number_rows
 from stockloom.session import scratch_path
-from stockloom.sources.sales import SALES_COLUMNS, SALES_SCHEMA, load_table
+from stockloom.sources.sales import SALES_SCHEMA, by_year, load_table, month_counts, read_table
 
 CATEGORY_OF_BRAND = {
     0: "fever", 1: "hydration", 2: "respiratory", 3: "allergy",
@@ -142,4 +142,12 @@ class Store:
 
     @property
     def sales(self) -> DataFrame:
-        return self.spark.read.schema(SALES_SCHEMA).parquet(self.sales_path).select(*SALES_COLUMNS)
+        return read_table(self.spark, self.sales_path)
+
+    @property
+    def sales_by_year(self) -> DataFrame:
+        return by_year(self.spark, self.sales_path)
+
+    @property
+    def months(self) -> DataFrame:
+        return month_counts(self.spark, self.sales_path)

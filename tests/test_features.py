@@ -1,10 +1,15 @@
 from __future__ import annotations
 
+import shutil
+from datetime import date
+
+import pytest
 from pyspark.sql import functions as F
 
 from stockloom import rules
 from stockloom.functions import calendar
 from stockloom.operators import features as feats
+from stockloom.sources import sales
 
 
 def test_calendar_of_new_year(make_sales):
@@ -83,3 +88,29 @@ def test_last_rows_equal_the_end_of_the_feature_frame(make_sales):
         assert sorted(feats.last_rows(sales, n).select(*columns).collect()) == sorted(wanted.collect())
     plan = feats.last_rows(sales, 30)._jdf.queryExecution().executedPlan().toString()
     assert "lag(" not in plan
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_last_rows_read_the_years_that_hold_them(spark, make_sales, tmp_path, broadcast):
+    """Products that end in different years: years before the first month that is needed aren't opened."""
+    long = make_sales({"A": range(1, 900), "B": range(1, 800)}, start=date(2019, 3, 1))
+    path = str(tmp_path / "sales")
+    sales.load_table(spark, long.union(make_sales({"C": range(1, 40)}, start=date(2021, 2, 1))), path)
+    stored, months = sales.by_year(spark, path), sales.month_counts(spark, path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        for n in (1, 30, 90):
+            wanted = sorted(feats.last_rows(stored.drop("year"), n).collect())
+            assert sorted(feats.last_rows(stored, n, months=months).collect()) == wanted
+            assert sorted(feats.last_rows(stored, n).collect()) == wanted
+        got = feats.last_rows(stored, 30, months=months)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.splitlines() if "FileScan" in line and "quantity_sold" in line]
+        assert len(scans) == 1 and "year#" in scans[0].split("PartitionFilters")[1].split("PushedFilters")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # files listed before and gone now aren't missed
+    for year in (2019, 2020):
+        shutil.rmtree(tmp_path / "sales" / f"year={year}")
+    assert feats.last_rows(stored, 30, months=months).count() == 30 + 30 + 9

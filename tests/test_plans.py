@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from datetime import date
 
 import numpy as np
 import pytest
@@ -151,6 +152,46 @@ def test_half_loaded_table_is_loaded_again(spark, sales, tmp_path):
         source.load_table(spark, sales.withColumn("quantity_sold", F.lit(None).cast("int")), str(tmp_path / "bad"))
 
 
+def test_added_rows_replace_their_days(spark, make_sales, tmp_path):
+    """Against a table kept as a dict: a row takes the place of its store, product and day; other years' files stay."""
+    path = str(tmp_path / "table")
+    with pytest.raises(ValueError, match="load it first"):
+        source.add_rows(spark, make_sales({"A": [1]}), path)
+    first = make_sales({"A": range(1, 800), "B": range(1, 500)}, start=date(2020, 1, 1))
+    first = first.withColumn("store_id", F.when(F.col("product_id") == "A", F.col("store_id")))  # a null store is a store too
+    source.load_table(spark, first, path)
+    files_of = {y: {f.name for f in (tmp_path / "table" / f"year={y}").glob("*.parquet")} for y in (2020, 2021, 2022)}
+    more = make_sales({"A": range(500, 600), "B": range(900, 1000), "N": [5, 5]}, start=date(2021, 4, 1))
+    more = more.withColumn("store_id", F.when(F.col("product_id") != "B", F.col("store_id"))).withColumn("extra", F.lit(1))
+
+    def rows(df):
+        return {(r.store_id, r.product_id, r.date): r.quantity_sold for r in df.collect()}
+
+    got = source.add_rows(spark, more, path)
+    assert got.columns == first.columns and rows(got) == rows(first) | rows(more)
+    assert got.count() == len(rows(first) | rows(more))
+    for year, names in files_of.items():
+        now = {f.name for f in (tmp_path / "table" / f"year={year}").glob("*.parquet")}
+        assert (now == names) == (year != 2021)
+    assert source.load_table(spark, more, path).count() == got.count()  # the table is complete
+    counted = got.groupBy("product_id", F.trunc("date", "month").alias("month")).count()
+    kept = source.month_counts(spark, path).select("product_id", "month", "rows")
+    assert sorted(kept.collect()) == sorted(counted.collect())
+    before = rows(got)
+    with pytest.raises(Exception, match="quantity_sold is missing"):
+        source.add_rows(spark, more.withColumn("quantity_sold", F.lit(None).cast("int")), path)
+    assert rows(source.add_rows(spark, more.limit(0), path)) == before
+    repeated = make_sales({"R": [7]}, start=date(2023, 1, 1))
+    assert source.add_rows(spark, repeated.union(repeated), path).filter("product_id = 'R'").count() == 2
+
+
+def test_an_empty_table_can_be_stored_and_grown(spark, make_sales, tmp_path):
+    path, rows = str(tmp_path / "table"), make_sales({"A": [1, 2]})
+    assert source.load_table(spark, rows.limit(0), path).count() == 0
+    assert source.add_rows(spark, rows, path).count() == 2
+    assert source.month_counts(spark, path).count() == 1
+
+
 def test_a_name_of_two_categories_is_one_line_of_the_top_list(sales):
     both = sales.unionByName(sales.withColumn("category", F.lit("other")))
     assert len(presets.run_preset(both, "preset_top10_products").collect()) == 3
