@@ -122,6 +122,10 @@ for span in (7, 60):
 define_recommendation("", "demand30")
 define_recommendation("_seasons", "demand_seasons")
 define_recommendation("_spans", "demand_spans")
+define("demand_cases", ["predicted7", "trend"], """
+  select p.product_id, p.predicted, t.mean / slower as mean, s.season from predicted7 p join trend t using (product_id)
+    cross join (values ('Summer'), ('Monsoon'), ('Post-Monsoon'), ('Winter')) s(season) cross join (values (1e0), (4e0), (16e0)) f(slower)""")
+define_recommendation("_cases", "demand_cases")
 
 define("counts", ["catalog"], """
   select product_id, category, cast(trunc(value * base_demand) as integer) as new_quantity, ts
@@ -136,9 +140,14 @@ define("inventory", ["catalog", "newest"], """
 
 def define_alerts(suffix: str) -> None:
     """alerts<suffix>: every row of rec<suffix> with its stock and alert columns."""
-    define(f"stocked{suffix}", [f"rec{suffix}", "inventory"], f"""
-      select r.*, cast(coalesce(i.current_stock, 0) as bigint) as current_stock
-      from rec{suffix} r left join inventory i on r.product_id = i.product_id""")
+    if suffix == "_cases":
+        define("stocked_cases", ["rec_cases"], """
+          select *, recommended_stock * percent // 100 as current_stock
+          from rec_cases cross join (values (0), (49), (50), (79), (80), (89), (100), (130), (131)) p(percent)""")
+    else:
+        define(f"stocked{suffix}", [f"rec{suffix}", "inventory"], f"""
+          select r.*, cast(coalesce(i.current_stock, 0) as bigint) as current_stock
+          from rec{suffix} r left join inventory i on r.product_id = i.product_id""")
     define(f"typed{suffix}", [f"stocked{suffix}"], f"""
       select *, current_stock::double / recommended_stock::double as share,
         case when recommended_stock = 0 then null
@@ -165,7 +174,7 @@ def define_alerts(suffix: str) -> None:
       from typed{suffix}""")
 
 
-for suffix in ("", "_seasons", "7", "60"):
+for suffix in ("", "_seasons", "_cases", "7", "60"):
     define_alerts(suffix)
 TITLE = "upper(category[1]) || category[2:]"
 
@@ -418,6 +427,9 @@ oracle("recommend_stock", """
 oracle("recommend_all_seasons", """
   select product_id, season, buffer_pct, buffer_units, recommended_stock, seasonal_factor, current_stock, alert_type, severity, label, deficit, excess, message
   from alerted_seasons""", "alerted_seasons")
+oracle("alert_cases", f"""
+  select product_id, season, percent, {TURNOVER.format(d='avg_daily_demand')} as turnover, recommended_stock, reorder_point, current_stock, alert_type,
+    severity, label, icon, deficit, excess, message from alerted_cases""", "alerted_cases")
 oracle("alerts", """
   select product_id, product_name, alert_type, severity, label, icon, current_stock, recommended_stock, reorder_point, deficit, excess, message
   from alerted where alert_type is not null""", "alerted")

@@ -514,6 +514,22 @@ def recommend_all_seasons(spark: SparkSession, sf_dir: str) -> DataFrame:
         "current_stock", "alert_type", "severity", "label", "deficit", "excess", "message")
 
 
+@query
+def alert_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every alert and turnover class: each product's week in each season, at three paces of selling and nine levels of stock."""
+    total = forecast.with_total(forecast.recent_trend(last_rows_of(spark, sf_dir)), 7)
+    seasons = F.explode(F.array(*[F.lit(s) for s in rules.SEASON_MONTHS]))
+    paced = total.withColumn("season", seasons).withColumn(
+        "mean", F.explode(F.array(*[F.col("mean") / F.lit(slower) for slower in (1.0, 4.0, 16.0)])))
+    recommended = stock.recommend(paced, Store.of(spark, sf_dir).catalog)
+    levels = F.explode(F.array(*[F.lit(percent) for percent in (0, 49, 50, 79, 80, 89, 100, 130, 131)]))
+    stocked = recommended.withColumn("percent", levels).withColumn(
+        "current_stock", F.expr("recommended_stock * percent div 100"))
+    return stock.with_alert(stocked).select(
+        "product_id", "season", "percent", stock_rules.turnover_class("avg_daily_demand").alias("turnover"), "recommended_stock",
+        "reorder_point", "current_stock", "alert_type", "severity", "label", "icon", "deficit", "excess", "message")
+
+
 @query
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stock.alerts(recommendations_of(spark, sf_dir), inventory_of(spark, sf_dir))

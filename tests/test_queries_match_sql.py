@@ -53,3 +53,15 @@ def test_query_without_sql_gives_rows(spark, name):
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 25
+
+
+@pytest.mark.parametrize("sf_dir", [SF_DIR, "/root/testdata/sf0.01"])
+def test_cases_reach_every_rule(sf_dir):
+    """The SQL's own rows at two scales hold each alert, health and each turnover class."""
+    connection = duckdb.connect()
+    for name in os.listdir(sf_dir):
+        connection.execute(f"create view {name.removesuffix('.parquet')} as select * from '{sf_dir}/{name}'")
+    sql = contract.oracle_sql()["alert_cases"]
+    kinds = {row[0] for row in connection.execute(f"select distinct alert_type from ({sql})").fetchall()}
+    assert kinds == {None, "CRITICAL", "SEASONAL_RISK", "RESTOCK_SOON", "LOW_STOCK", "OVERSTOCK"}
+    assert len(connection.execute(f"select distinct turnover from ({sql})").fetchall()) == 3
