@@ -292,6 +292,15 @@ oracle("eda_moving_average", """
     case when frame_no >= 7 then round(avg(quantity_sold) over (w rows 6 preceding), 6) end as ma_7,
     case when frame_no >= 30 then round(avg(quantity_sold) over (w rows 29 preceding), 6) end as ma_30
   from features window w as (partition by product_id order by dt)""", "features")
+ORACLES["order_line_lags"] = """
+  with numbered as (
+    select p_brand as product_id, year(l_shipdate) as year, l_quantity as quantity, row_number() over w as row_no, lag(l_quantity, 1) over w as lag_1,
+      lag(l_quantity, 30) over w as lag_30, avg(l_quantity) over (w rows 6 preceding) as mean_7
+    from lineitem join part on l_partkey = p_partkey
+    window w as (partition by p_brand order by cast(l_shipdate as date), l_orderkey, l_linenumber, l_quantity))
+  select product_id, year, count(*) as rows, max(row_no) - 30 as last_no, cast(sum(lag_1) as bigint) as lag_1, cast(sum(lag_30) as bigint) as lag_30,
+    cast(sum(round(mean_7 * 420)) as bigint) as mean_7
+  from numbered where row_no > 30 group by all"""
 oracle("last_n_history", """
   select product_id, dt as date, quantity_sold from features
   qualify row_number() over (partition by product_id order by dt desc) <= 90""", "features")

@@ -265,6 +265,20 @@ on_features("eda_moving_average", lambda features: rounded(
     feats.moving_averages(features), ("ma_7", "ma_30")))
 
 
+@query
+def order_line_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order line against the lines of its part's brand before it: a dense series, summed up per brand and year."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("product_id"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("date"),
+        F.col("l_quantity").cast("int").alias("quantity_sold"))
+    rows = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+    features = feats.series_features(rows, order=("date", "l_orderkey", "l_linenumber", "quantity_sold"), dense=True)
+    return features.groupBy("product_id", F.year("date").alias("year")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max("frame_no").alias("last_no"), F.sum("lag_1").alias("lag_1"), F.sum("lag_30").alias("lag_30"),
+        F.round(F.sum(F.round(F.col("rolling_mean_7") * 420)), 0).cast("long").alias("mean_7"))
+
+
 @query
 def last_n_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store.of(spark, sf_dir)

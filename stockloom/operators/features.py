@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from stockloom import rules
 from stockloom.functions import calendar
-from stockloom.operators.series import CHUNK_ROWS, SERIES, chunk_order, cut, number_and_cut, uncut
+from stockloom.operators.series import CHUNK_ROWS, SERIES, chunk_order, cut, number_and_cut, number_dense, uncut
 from stockloom.sources.sales import YEAR, dated
 
 LAGS = (1, 7, 30)
@@ -31,16 +31,21 @@ def series_features(
     keep_warm_up: bool = False,
     shifted: bool = False,
     chunk_rows: int = CHUNK_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
     """The feature frame of all series.
 
     Lags and rolling figures count rows, not days, and see the full series; the first rows, which lack lags, are dropped
     afterwards. A null quantity gives null lags and stays out of the rolling figures; its row is kept and numbered. The rolling figures include the row itself unless ``shifted``. The peak
     season goes by the category of the first row of the series. ``frame_no`` and ``frame_rows`` number
-    the rows that are kept. All that follows from the date is added after the shuffle.
+    the rows that are kept. All that follows from the date is added after the shuffle. ``dense`` is for series whose months are
+    too long for one task; it writes the sorted rows when called (``series.number_dense``).
     """
-    first = ("category",) if "category" in sales.columns else ()
-    rows = number_and_cut(dated(sales), WARM_UP + int(shifted), series, order, chunk_rows, first=first)
+    first, halo = ("category",) if "category" in sales.columns else (), WARM_UP + int(shifted)
+    if dense:
+        rows, order = cut(number_dense(dated(sales), series, order, first), halo, chunk_rows), ("row_no",)
+    else:
+        rows = number_and_cut(dated(sales), halo, series, order, chunk_rows, first=first)
     by = chunk_order(series, order)
     end = -1 if shifted else 0
     quantity = F.col("quantity_sold")

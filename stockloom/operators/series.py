@@ -5,6 +5,8 @@ cut into chunks of consecutive rows with the help of row counts per month, and t
 chunk are copied into it, so that lags and bounded frames see the same rows as in the uncut series.
 A window group is thus bounded by the chunk length plus some months, however many rows one
 product has. The rows are shuffled once where the months' counts are small enough for Spark to broadcast them, else also to meet these.
+Where a month of one series may itself be too long for a task, ``number_dense`` numbers the rows by ranges instead, and ``cut``
+cuts them.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from stockloom.session import scratch_path
+
 SERIES = ("product_id",)
 CHUNK_ROWS = 8192
 
@@ -110,6 +114,37 @@ def number_and_cut(
     return placed.withColumn("row_no", F.first("_before").over(local) + F.row_number().over(local)).drop("_before")
 
 
+def number_dense(
+    df: DataFrame, series: Sequence[str] = SERIES, order: Sequence[str] = ("date",), first: Sequence[str] = ()
+) -> DataFrame:
+    """Number the rows of each series, however many of them share a month, a day or any other bucket.
+
+    Gives the columns of ``number_rows`` and ``first_<c>``, as in ``number_and_cut``. The rows are dealt into ranges of (series, order),
+    sorted there and written to the shared folder with their places; a hot series, or a hot month of one, is simply cut into more
+    ranges. A second pass over the series columns and places counts each range's rows by series, a few rows per range, and running sums of
+    these give each range its first number. Rows that agree in series and order can't be told apart by a range: name a second
+    order column where many do. Written when called; series and order columns must not be null.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "dense")
+    ranged = df.repartitionByRange(*series, *order).sortWithinPartitions(*series, *order)
+    # the places of a partition's rows are consecutive, from its number times 2 ** 33 on
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path).withColumn("_range", F.shiftright("_at", 33))
+    runs = rows.groupBy(*series, "_range").agg(
+        F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_rows"), *[F.min_by(c, "_at").alias(f"first_{c}") for c in first])
+    whole = Window.partitionBy(*series)
+    by_range = whole.orderBy("_range")
+    offsets = runs.select(
+        *series, "_range", "_from",
+        F.coalesce(F.sum("_rows").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(whole).alias("series_rows"),
+        *[F.first(f"first_{c}").over(by_range).alias(f"first_{c}") for c in first],
+    )
+    return rows.join(offsets, [*series, "_range"]).withColumn(
+        "row_no", F.col("_before") + F.col("_at") - F.col("_from") + 1).drop("_before", "_at", "_from", "_range")
+
+
 def cut(df: DataFrame, halo: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Cut numbered series into chunks of ``chunk_rows`` rows; adds ``chunk`` and ``is_halo``.
 

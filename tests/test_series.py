@@ -143,3 +143,45 @@ def test_moving_averages_wait_for_a_full_frame(make_sales):
     kept = pd.Series(values[30:], dtype=float)
     np.testing.assert_allclose(got.ma_7, kept.rolling(7).mean())
     np.testing.assert_allclose(got.ma_30, kept.rolling(30).mean())
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_a_month_with_a_third_of_all_rows(spark, broadcast):
+    """Same features as uncut pandas work; neither a range nor a window group grows with the hot month."""
+    rng = np.random.default_rng(4)
+    sizes = {("HOT", "2022-03-05"): 4000, ("HOT", "2022-03-06"): 500, ("HOT", "2021-01-01"): 20}
+    sizes |= {(p, f"2022-{m:02d}-{d:02d}"): 10 for p in "ABCDE" for m in (1, 2, 3, 7) for d in (1, 9)} | {("F", "2022-01-01"): 7000}
+    rows = [(p, day, n, int(rng.integers(1, 99)), f"{p}-{day}") for (p, day), count in sizes.items() for n in range(count)]
+    want = pd.DataFrame(rows, columns=["product_id", "date", "n", "quantity_sold", "category"]).sort_values(["product_id", "date", "n"])
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "product_id string, date string, n int, quantity_sold int, category string").repartition(6)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        numbered = series.number_dense(dated(df), order=("date", "n"), first=("category",))
+        got = feats.series_features(df, order=("date", "n"), dense=True, chunk_rows=600, keep_warm_up=True)
+        mine = got.toPandas().sort_values(["product_id", "row_no"]).reset_index(drop=True)
+        plain = feats.series_features(df, order=("date", "n"), keep_warm_up=True).toPandas()
+        groups = series.cut(numbered, 30, 600).groupBy("product_id", "chunk").count().collect()
+        firsts = {(r.product_id, r.first_category) for r in numbered.select("product_id", "first_category").distinct().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert list(zip(mine.product_id, mine.n, mine.quantity_sold)) == list(zip(want.product_id, want.n, want.quantity_sold))
+    by = want.groupby("product_id")["quantity_sold"]
+    assert list(mine.row_no) == list(want.groupby("product_id").cumcount() + 1)
+    assert list(mine.series_rows) == list(by.transform("size"))
+    np.testing.assert_allclose(mine.lag_30.astype(float), by.shift(30).reset_index(drop=True))
+    np.testing.assert_allclose(
+        mine.rolling_mean_30, by.rolling(30, min_periods=1).mean().reset_index(level=0, drop=True).reset_index(drop=True))
+    plain = plain.sort_values(["product_id", "row_no"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(mine[sorted(mine)], plain[sorted(plain)], check_dtype=False, atol=1e-9, rtol=1e-12)
+    assert firsts == {(p, min(c for _, _, _, _, c in rows if c.startswith(p))) for p in {r[0] for r in rows}}
+    assert max(r["count"] for r in groups) <= 630
+    # ranges: rows of the hot month are dealt over several
+    ranged = dated(df).repartitionByRange(8, "product_id", "date", "n")
+    hot = ranged.filter("product_id = 'HOT'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(hot) >= 2 and max(r["count"] for r in hot) <= 2 * len(rows) / 8
+
+
+def test_dense_numbers_of_an_empty_table(make_sales):
+    assert series.number_dense(dated(make_sales({"A": [1]}).limit(0))).count() == 0
