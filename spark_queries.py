@@ -14,7 +14,7 @@ from stockloom import rules
 from stockloom.functions import stock_rules
 from stockloom.functions.numeric import half_even
 from stockloom.operators import (
-    aggregates as agg, boosting, features as feats, forecast, inventory as inv, ledger, metrics, regression, series, stock,
+    aggregates as agg, boosting, features as feats, forecast, inventory as inv, ledger, metrics, regression, reservoir, series, stock,
 )
 from stockloom.plans import comparison, overview, presets, reports
 from stockloom.session import scratch_path
@@ -396,6 +396,27 @@ def actual_vs_predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.select("product_id", "date", F.round("y", 2).alias("actual"), F.round("y_pred", 2).alias("predicted"))
 
 
+def reservoir_tested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reservoir.reservoir_rows(feats.scaled(stored_features(spark, sf_dir)))
+    return regression.test_predictions(rows, regression.fit(rows))
+
+
+@query
+def reservoir_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per product: the tested days, what was sold on them, and whether the reservoir's error stays below 1.5 times that of naming their mean."""
+    tested = reservoir_tested(spark, sf_dir)
+    means = tested.groupBy("product_id").agg(F.avg("y").alias("_mean"))
+    return tested.join(means, "product_id").groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("days"), F.round(F.sum("y")).cast("long").alias("sold"),
+        (F.avg(F.abs(F.col("y") - F.col("y_pred"))) < 1.5 * F.avg(F.abs(F.col("y") - F.col("_mean")))).alias("near"))
+
+
+@query
+def reservoir_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scaled = feats.scaled(stored_features(spark, sf_dir))
+    return reservoir.roll_out(scaled, regression.fit(reservoir.reservoir_rows(scaled)), 30)
+
+
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored model comparison, trained at its first use."""
     store = Store.of(spark, sf_dir)
