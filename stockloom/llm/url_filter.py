@@ -8,8 +8,7 @@ models haven't seen.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,9 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stockloom.llm.common import written
 
-#: Longest context. The operator counts exactly, in tables that grow with the URLs; only ``Model``, which holds small data in
-#: memory, has slots: 2**PAIR_BITS an order for pairs of context and character, 2**CONTEXT_BITS for contexts.
-ORDER, PAIR_BITS, CONTEXT_BITS = 4, 18, 14
+#: Longest context. All contexts are counted exactly, in tables that grow with the URLs.
+ORDER = 4
 #: Weights of grams are whole numbers of 1 / UNIT; at most FREQUENT grams are looked up without a shuffle.
 UNIT, FREQUENT = 1 << 36, 4096
 #: Weight of the shorter context, in characters.
@@ -55,25 +53,6 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Col
     return rule, verdict
 
 
-def slots(urls: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """For each order from 0, the slots of (context, character) and of the context of all characters of the URLs."""
-    data = np.frombuffer(b"".join(b"\0" * ORDER + u.encode("utf-8", "surrogatepass") for u in urls), np.uint8)
-    here = characters(urls)
-    keys = np.zeros(len(here), np.uint64)
-    chars = data[here].astype(np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            keys = keys | data[here - order].astype(np.uint64) << np.uint64(8 * (order - 1))
-        pairs = (keys << np.uint64(8) | chars) + np.uint64(1)
-        spread = np.uint64(0x9E3779B97F4A7C15)
-        if order == 0:
-            yield chars.astype(np.int64), None
-        else:
-            yield (
-                ((pairs * spread) >> np.uint64(64 - PAIR_BITS)).astype(np.int64),
-                (((keys + np.uint64(1)) * spread) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64))
-
-
 def characters(urls: list[str]) -> np.ndarray:
     """Places of the URLs' own bytes, between paddings."""
     lengths = np.array([len(u.encode("utf-8", "surrogatepass")) for u in urls], np.int64)
@@ -81,69 +60,6 @@ def characters(urls: list[str]) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-@dataclass
-class Model:
-    """Counts of both classes in memory (0 rejected, 1 accepted): pairs[order][class], contexts[order][class]. Longer contexts share
-    slots, so this is for small data; ``judged`` doesn't use it."""
-
-    pairs: list[np.ndarray]
-    contexts: list[np.ndarray]
-    threshold: float = 0.0
-
-    def difference(self, urls: list[str]) -> np.ndarray:
-        """Log likelihood if accepted minus if rejected, per character; 0 for an empty URL."""
-        lengths = np.array([len(u.encode("utf-8", "surrogatepass")) for u in urls], np.int64)
-        chance = np.full((2, int(lengths.sum())), 1 / 256)
-        for order, (pair, context) in enumerate(slots(urls)):
-            for c in range(2):
-                seen = self.pairs[order][c][pair]
-                total = self.pairs[0][c].sum() if context is None else np.maximum(self.contexts[order][c][context], seen)
-                chance[c] = (seen + SMOOTHING * chance[c]) / (total + SMOOTHING)
-        ratio = np.log(chance[1]) - np.log(chance[0])
-        owner = np.repeat(np.arange(len(urls)), lengths)
-        return np.bincount(owner, ratio, len(urls)) / np.maximum(lengths, 1)
-
-
-def empty_model() -> Model:
-    return Model(
-        [np.zeros((2, 256 if order == 0 else 1 << PAIR_BITS)) for order in range(ORDER + 1)],
-        [np.zeros((2, 1 if order == 0 else 1 << CONTEXT_BITS)) for order in range(ORDER + 1)])
-
-
-def add(model: Model, urls: list[str], accepted: int) -> None:
-    """Add the characters of URLs of one class to the counts."""
-    for order, (pair, context) in enumerate(slots(urls)):
-        model.pairs[order][accepted] += np.bincount(pair, minlength=model.pairs[order].shape[1])
-        if context is not None:
-            model.contexts[order][accepted] += np.bincount(context, minlength=model.contexts[order].shape[1])
-
-
-def count_characters(labelled: DataFrame) -> Model:
-    """The counts of all URLs (``url, accepted``). Tasks add up their rows; only sums of slots are shuffled."""
-    def count(batches):
-        model = empty_model()
-        for batch in batches:
-            for c in (0, 1):
-                urls = batch["url"][batch["accepted"] == bool(c)].tolist()
-                if urls:
-                    add(model, urls, c)
-        for kind, tables in enumerate((model.pairs, model.contexts)):
-            for order, both in enumerate(tables):
-                for c in (0, 1):
-                    used = np.flatnonzero(both[c])
-                    yield pd.DataFrame({
-                        "name": np.full(len(used), (kind * 16 + order) * 2 + c, np.int32), "slot": used.astype(np.int32),
-                        "n": both[c][used].astype(np.int64)})
-
-    sums = labelled.select("url", "accepted").mapInPandas(count, "name int, slot int, n long").groupBy("name", "slot").agg(
-        F.sum("n").alias("n")).toPandas()
-    model = empty_model()
-    for name, rows in sums.groupby("name"):
-        kind, order, c = name // 32, name // 2 % 16, name % 2
-        (model.contexts if kind else model.pairs)[order][c][rows["slot"].to_numpy()] = rows["n"].to_numpy()
-    return model
-
-
 def grams_of(urls: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The characters of the URLs with the ORDER bytes before each, as numbers (the character lowest, the nearest byte next),
     and how many each URL has."""
