@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,6 +26,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """What runs meanwhile hands batches of about ``most`` bytes to mapInArrow, not 10,000 rows of any length, unless the session has a limit."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def parts_for(spark: SparkSession, rows: int, rows_per_part: int) -> int:
     """How many parts to deal rows into: so that none is large, and every task slot gets some."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_part))

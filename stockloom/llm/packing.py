@@ -14,6 +14,7 @@ import math
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from struct import pack
 
 import numpy as np
@@ -22,16 +23,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from stockloom.llm.common import in_blocks, written
+from stockloom.llm.common import arrow_batches, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Rows of a part of a run on average, should one run hold all rows; parts are ranked side by side.
 PART_ROWS = 100_000
 #: Words whose ids a worker remembers, and their longest in characters (about 200 bytes each in all).
-REMEMBERED, LONGEST = 1_000_000, 32
-#: Characters of texts that are encoded at once.
-BLOCK_CHARACTERS = 4_000_000
+REMEMBERED, LONGEST = 700_000, 32
+#: Bytes of texts that are encoded at once.
+BLOCK_BYTES = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Words of small letters and perhaps one mark, and some to try whether a tokenizer leaves such words as they are.
@@ -89,33 +90,41 @@ class WordEncoder:
                 ids = encoding.ids
                 self.known[word] = pack(f"<{len(ids)}I", *ids)
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
+    def ids(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """The ids of whole texts as little-endian 32-bit numbers; none for a null or empty text.
 
-        Only the different words of the texts are looked up one by one; their ids are then laid out with numpy.
+        Only the different words of the texts are looked up one by one; their ids are then laid out by Arrow.
         """
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+        texts = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())).fill_null("")
+        if not len(texts):
+            return []
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = split.flatten().dictionary_encode()
-        words, place = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        words = coded.dictionary.to_pylist()
         new = [word for word in words if word not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
+            self.known = {word: self.known[word] for word in words if word in self.known}
         self.learn(new)
-        found = [self.known[word] for word in words]
+        found = pa.array([self.known[word] for word in words], pa.large_binary())
         for word in new:
             if len(word) > LONGEST:
                 del self.known[word]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        starts = np.cumsum(sizes) - sizes
-        lengths = sizes[place]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.repeat(starts[place] - ends[:-1], lengths) + np.arange(ends[-1])
-        laid_out = np.frombuffer(b"".join(found), "<u4")[at]
-        bounds = ends[split.offsets.to_numpy()]
-        return [
-            self.whole(text) if text and "<|" in text else laid_out[first:last].tobytes()
-            for text, first, last in zip(texts, bounds[:-1], bounds[1:])]
+        _, ends, data = found.take(coded.indices).buffers()
+        bounds = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
+        out = [data[first:last].to_pybytes() for first, last in zip(bounds[:-1], bounds[1:])]
+        for i in np.flatnonzero(pc.match_substring(texts, "<|")).tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
+
+
+def in_slices(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Consecutive ranges of texts, as many at once as stay within a number of bytes, or one."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0), dtype=np.int64)
+    first = held = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, held + most, "right")))
+        yield slice(first, last)
+        first, held = last, int(ends[last - 1])
 
 
 def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
@@ -123,18 +132,18 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY, doc_id: str
     def cut(batches):
         encoder = WordEncoder.at(path)
         for batch in batches:
-            columns = [[], [], [], [], [], []]
-            encoded = (data for block in in_blocks(batch.column(1).to_pylist(), BLOCK_CHARACTERS) for data in encoder.ids(block))
-            for doc, whole in zip(batch.column(0).to_pylist(), encoded):
-                data = whole + END_ID.to_bytes(4, "little")
-                for n, at in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[at:at + 4 * capacity]
-                    for column, value in zip(columns, (doc, n, at // 4, len(part) // 4, zlib.crc32(part), part)):
-                        column.append(value)
-            kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays[:6 if ids else 5], names[:6 if ids else 5])
+            for block in in_slices(batch.column(1), BLOCK_BYTES):
+                columns = [[], [], [], [], [], []]
+                for doc, whole in zip(batch.column(0)[block].to_pylist(), encoder.ids(batch.column(1)[block])):
+                    data = whole + END_ID.to_bytes(4, "little")
+                    for n, at in enumerate(range(0, len(data), 4 * capacity)):
+                        part = data[at:at + 4 * capacity]
+                        for column, value in zip(columns, (doc, n, at // 4, len(part) // 4, zlib.crc32(part), part if ids else None)):
+                            column.append(value)
+                kinds = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays(arrays[:6 if ids else 5], names[:6 if ids else 5])
 
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(cut, PIECES + (", ids binary" if ids else ""))
 
@@ -192,7 +201,8 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_RO
     Sequences hold at most ``capacity`` and have no holes. Pieces of equal length are ranked by parts of a hash and there by doc_id,
     piece and check sum; repeated rows are packed as often as they occur. An empty table gives no rows.
     """
-    rows = written(pieces, "pieces")
+    with arrow_batches(pieces.sparkSession, BLOCK_BYTES):
+        rows = written(pieces, "pieces")
     parts = max(16, math.ceil(rows.count() / part_rows))
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)))
     counted = written(dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "runs")

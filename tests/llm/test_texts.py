@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 import zlib
 from html import unescape
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stockloom.llm import html_text, packing, quality, token_counts
+from stockloom.llm.common import arrow_batches
 
 PIECES, WORDS = str(public_tokenizers.path("piece_bpe_32k.model")), str(public_tokenizers.path("word_bpe_49k.json"))
 
@@ -173,6 +176,65 @@ def test_pieces_hold_the_library_ids(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs, WORDS).count() == 0
 
 
+def test_a_large_batch_is_encoded_block_by_block(spark, monkeypatch):
+    texts = pa.array([f"{prose(random.Random(i), 40)} " * 100 for i in range(100)] * 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    docs, made, rows = spark.createDataFrame([], "doc_id long, text string"), [], 0
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, function, schema: made.append(function))
+    packing.pieces_of(docs, WORDS)
+    tracemalloc.start()
+    try:
+        for out in made[0](iter([batch])):
+            rows += out.num_rows
+        assert rows >= len(texts) and texts.nbytes > 20_000_000 and tracemalloc.get_traced_memory()[1] < texts.nbytes / 2
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("most", [1, 90, 10**6])
+def test_blocks_of_a_batch_have_the_library_ids(most):
+    library, encoder = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS)
+    texts = ["Ünïcödé 🦙 中文", None, "", " \n\t ", "A <|endoftext|> b", *[prose(random.Random(i), i % 30) + " É" for i in range(60)], "last", None]
+    column = pa.array(["left out, ", *texts, "left out"])[1:-1]
+    blocks = list(packing.in_slices(column, most))
+    assert [i for b in blocks for i in range(b.start, b.stop)] == list(range(len(texts)))
+    assert all(b.stop - b.start == 1 or sum(len((t or "").encode()) for t in texts[b]) <= most for b in blocks)
+    found = [ids for b in blocks for ids in encoder.ids(column[b])]
+    assert found == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.ids([]) == [] and list(packing.in_slices(column[:0], most)) == []
+
+
+def test_full_memory_keeps_the_words_in_use(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    encoder = packing.WordEncoder(WORDS)
+    encoder.ids(["a b c d e"])
+    encoder.ids(["d e f g"])
+    assert set(encoder.known) >= {"d", "e", "f", "g"} and not {"a", "b", "c"} & set(encoder.known)
+    learnt = []
+    monkeypatch.setattr(encoder, "learn", lambda words: learnt.extend(words))
+    assert encoder.ids(["d e"]) and not learnt
+
+
+def test_batches_are_bounded_while_pieces_are_written(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(300)], "doc_id long, text string").coalesce(1)
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    with arrow_batches(spark, 50_000):
+        assert docs.mapInArrow(rows, "n long").agg(F.max("n")).first()[0] < 100
+    assert spark.conf.get(name, None) is None
+    spark.conf.set(name, "20000")
+    try:
+        with arrow_batches(spark, 50_000):
+            assert spark.conf.get(name) == "20000"
+        assert spark.conf.get(name) == "20000"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_encoder_with_a_small_memory(monkeypatch):
     texts = [prose(random.Random(i), 30) for i in range(20)]
     whole = packing.WordEncoder(WORDS).ids(texts)
