@@ -29,8 +29,9 @@ CAPACITY = 2048
 END_ID = 0
 #: Rows of a part of a run on average, should one run hold all rows; parts are ranked side by side.
 PART_ROWS = 100_000
-#: Words whose ids a worker remembers, and their longest in characters (about 200 bytes each in all).
-REMEMBERED, LONGEST = 700_000, 32
+#: Words whose ids a worker remembers, and their longest in characters (about 200 bytes each in all). Words that come once in a block,
+#: most of the different ones, are encoded again instead.
+REMEMBERED, LONGEST = 500_000, 32
 #: Bytes of texts that are encoded at once.
 BLOCK_BYTES = 4_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -101,13 +102,14 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        new = [word for word in words if word not in self.known]
+        counts = np.bincount(coded.indices, minlength=len(words)).tolist()
+        new = {word: n for word, n in zip(words, counts) if word not in self.known}
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {word: self.known[word] for word in words if word in self.known}
-        self.learn(new)
+        self.learn(list(new))
         found = pa.array([self.known[word] for word in words], pa.large_binary())
-        for word in new:
-            if len(word) > LONGEST:
+        for word, n in new.items():
+            if n == 1 or len(word) > LONGEST:
                 del self.known[word]
         _, ends, data = found.take(coded.indices).buffers()
         bounds = np.frombuffer(ends, np.int64)[split.offsets.to_numpy()].tolist()
